@@ -369,28 +369,29 @@ def _inner_chars(raw: bytes, a: int, b: int) -> tuple[int, int]:
     return a, b
 
 
-def dedup_substrings(docs: DataFrame, length: int = 400, keep_first: bool = True, text: str = "text", key: str = "doc_id") -> DataFrame:
+def dedup_substrings(docs: DataFrame, length: int = 400, keep_first: bool = True, text: str = "text", key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove repeated strings of ``length`` bytes or more from every row's text.
 
     Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (array of
-    [begin, end) byte pairs) and kept (the text without the spans shrunk to whole
-    characters). With ``keep_first`` the first place of each repeated string, by key and
+    [begin, end) byte pairs), kept (the text without the spans shrunk to whole
+    characters) and the columns named in ``keep``. With ``keep_first`` the first place of each repeated string, by key and
     offset, stays; otherwise every place goes. Matches never cross texts. Null texts
     count as empty, texts below ``length`` bytes never lose anything, texts of any length
     are taken whole. Rows that repeat key and text are alike: with ``keep_first`` all of them keep
     what the first keeps. Null keys sort first. An empty table gives an empty
     result; other columns are ignored.
     """
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"))
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("kept_with"))
     ranges = repeated_ranges(named, length, keep_first)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
+        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]  # then kept_with, as it came
         schema = pa.schema(list(zip(names, [pa.int64()] * 4 + [pa.string(), pa.list_(pa.list_(pa.int64())), pa.string()], strict=True)))
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 out = []
-                for r in batch.slice(lo, 256).to_pylist():
+                part = batch.slice(lo, 256)
+                for r in part.select(["doc_id", "text", "ranges"]).to_pylist():
                     raw, spans = (r["text"] or "").encode(), _spans(r["ranges"], length)
                     kept, shown, at, shown_at = [], [], 0, 0
                     for a, b in spans:
@@ -401,7 +402,8 @@ def dedup_substrings(docs: DataFrame, length: int = 400, keep_first: bool = True
                         shown_at = b
                     kept, shown = b"".join([*kept, raw[at:]]), b"".join([*shown, raw[shown_at:]])
                     out.append((r["doc_id"], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [list(s) for s in spans], shown.decode()))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)), part.column("kept_with")], [*names, "kept_with"])
 
-    joined = named.join(ranges, ["did", "tkey"], "left").select("doc_id", "text", "ranges")
-    return joined.mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept string")
+    joined = named.join(ranges, ["did", "tkey"], "left").select("doc_id", "text", "ranges", "kept_with")
+    made = joined.mapInArrow(finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept string, kept_with {joined.schema['kept_with'].dataType.simpleString()}")
+    return made.select("*", *(F.col("kept_with")[c].alias(c) for c in keep)).drop("kept_with")
