@@ -31,8 +31,8 @@ from plumbline.llm.common import hot_keys, join_on_skewed_key, materialise
 #: Bytes of an anchor string.
 K = 100
 #: Bytes that are hashed at once; positions in a chunk take POS_BITS bits.
-CHUNK = 1 << 20
-POS_BITS = 21
+CHUNK = 1 << 18
+POS_BITS = 19
 #: Bytes of classes that one suffix array holds.
 ARRAY_BYTES = 1 << 20
 #: Bytes of distinct classes of one anchor beyond which windows meet by digest.
@@ -141,7 +141,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                 h = np.fromiter((digest(raw[a : a + c]) for a, c in zip(start.tolist(), (n + length - 1).tolist(), strict=True)), np.uint64, len(start))
                 row = np.array(rows)[doc]
                 begin = start - at[doc] + np.array(begins)[doc] - offsets[row]
-                own = batch.take(pa.array(row))
+                own = batch.select(["did", "tkey"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchor.view(np.int64)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), own.column("did"), own.column("tkey"), pa.array(begin.astype(np.int64))],
                     ["h", "s", "n", "did", "tkey", "start"],
@@ -290,7 +290,7 @@ def _windows(segments: DataFrame, length: int) -> DataFrame:
                 off = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 d = [xxhash.xxh3_128_digest(raw[i][a : a + length]) for i, a in zip(row.tolist(), off.tolist(), strict=True)]
                 two = np.frombuffer(b"".join(d), np.int64).reshape(-1, 2)
-                own = part.take(pa.array(row))
+                own = part.select(["h", "s", "n", "did", "start"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays([pa.array(two[:, 0].copy()), pa.array(two[:, 1].copy()), *(own.column(c) for c in ("h", "s", "n", "did", "start")), pa.array(off.astype(np.int32))], ["d1", "d2", "h", "s", "n", "did", "start", "off"])
 
     rows = materialise(segments.mapInArrow(spread, "d1 long, d2 long, h long, s long, n int, did long, start long, off int").dropDuplicates(["h", "s", "n", "off"]))
