@@ -30,9 +30,9 @@ from plumbline.llm.common import hot_keys, join_on_skewed_key, map_batches, mate
 from plumbline.llm.components import components
 
 #: Fingerprints of one sub-fingerprint's tree that a shard has on average, at most.
-SHARD_ROWS = 32_768
+SHARD_ROWS = 65_536
 #: Rows of a shard from which it is cut into tiles.
-TILE_ROWS = 65_536
+TILE_ROWS = 262_144
 MAX_LEVELS = 12
 #: Vantage points of the shard levels are chosen from so many fingerprints.
 SAMPLE = 2_048
