@@ -5,8 +5,8 @@ content. Every window of ``length`` bytes has one anchor: the smallest hash of i
 ``K``-byte strings, leftmost first. Equal windows have equal anchors at equal offsets, so
 consecutive windows with one anchor form a *run*, and a window can be repeated only
 among runs with the same anchor hash. Runs whose anchor occurs once leave at once.
-Equal runs collapse (map-side) into one class, so a hot group of copies costs one
-class. Only anchors with several classes need bytes: their classes are
+Rows with one text collapse (map-side) into one, and equal runs into one class, so a
+hot group of copies costs one class. Only anchors with several classes need bytes: their classes are
 concatenated, a suffix array is built (ranks of doubling prefixes), and previous and next
 smaller positions in suffix order give the longest earlier match of each window
 start, previous and next larger ones the longest later match.
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hot_keys, join_on_skewed_key, materialise
+from plumbline.llm.common import HOT_SHARE, hot_keys, join_on_skewed_key, materialise
 
 #: Bytes of an anchor string.
 K = 100
@@ -141,13 +141,13 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                 h = np.fromiter((digest(raw[a : a + c]) for a, c in zip(start.tolist(), (n + length - 1).tolist(), strict=True)), np.uint64, len(start))
                 row = np.array(rows)[doc]
                 begin = start - at[doc] + np.array(begins)[doc] - offsets[row]
-                own = batch.select(["did", "tkey"]).take(pa.array(row))
+                own = batch.select(["did", "t1", "t2"]).take(pa.array(row))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchor.view(np.int64)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), own.column("did"), own.column("tkey"), pa.array(begin.astype(np.int64))],
-                    ["h", "s", "n", "did", "tkey", "start"],
+                    [pa.array(anchor.view(np.int64)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), own.column("did"), own.column("t1"), own.column("t2"), pa.array(begin.astype(np.int64))],
+                    ["h", "s", "n", "did", "t1", "t2", "start"],
                 )
 
-    return docs.mapInArrow(run, "h long, s long, n int, did long, tkey long, start long")
+    return docs.mapInArrow(run, "h long, s long, n int, did long, t1 long, t2 long, start long")
 
 
 # --- suffix arrays --------------------------------------------------------------
@@ -305,20 +305,28 @@ def _windows(segments: DataFrame, length: int) -> DataFrame:
 # --- the operator ---------------------------------------------------------------
 
 
-def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = True) -> DataFrame:
-    """(did, tkey, ranges) of ``docs`` (did, tkey, text): byte ranges that repeated windows cover.
+TEXT = ["t1", "t2"]
 
-    With ``keep_first`` the first place of a repeated window, by key and offset, stays out.
+
+def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Ranges that repeated windows cover in each text of ``docs`` (did, t1, t2, text).
+
+    Returns (t1, t2, lead, ranges, others): ``ranges`` hold for the row with key ``lead``,
+    ``others`` for further rows with that text; and the keys of texts with very many rows. With
+    ``keep_first`` the first place of a window, by key and offset, stays out.
     """
-    runs = materialise(_runs(docs.select("did", "tkey", "text"), length))
+    runs = materialise(_runs(docs.select("did", *TEXT, "text"), length))
     anchors = materialise(runs.groupBy("h").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1").select("h", "c", (F.col("s0") != F.col("s1")).alias("several")))
     total = runs.count()
-    found = materialise(join_on_skewed_key(runs, anchors.select("h", "several"), hot_keys(anchors, "h", "c", total), "h"))
     keys = ["h", "s", "n"]
-    classes = materialise(found.where(F.lit(keep_first) | F.col("several")).groupBy(*keys).agg(F.count("*").alias("c"), F.min(F.struct("did", "tkey", "start")).alias("first"), F.first("several").alias("several")))
+    # rows with one text collapse here, before anything else looks at their runs
+    again = join_on_skewed_key(runs, anchors.select("h", "several"), hot_keys(anchors, "h", "c", total), "h")
+    found = materialise(again.groupBy(*keys, *TEXT, "start").agg(F.count("*").alias("places"), F.min("did").alias("did"), F.first("several").alias("several")))
+    here = F.struct("did", *TEXT, "start")
+    classes = materialise(found.where(F.lit(keep_first) | F.col("several")).groupBy(*keys).agg(F.sum("places").alias("c"), F.count("*").alias("texts"), F.min(here).alias("first"), F.first("several").alias("several")))
     crowd = classes.where("several").groupBy("h").agg(F.sum(F.col("n") + length).alias("size"))
-    wanted = classes.where("several").join(crowd, "h").select(*keys, F.col("first.did").alias("did"), F.col("first.tkey").alias("tkey"), F.col("first.start").alias("start"), (F.col("size") > GROUP_BYTES).alias("wide"))
-    by_doc = wanted.groupBy("did", "tkey").agg(F.collect_list(F.struct("h", "s", "n", "start", "wide")).alias("want"))
+    wanted = classes.where("several").join(crowd, "h").select(*keys, *(F.col(f"first.{c}").alias(c) for c in ("did", *TEXT, "start")), (F.col("size") > GROUP_BYTES).alias("wide"))
+    by_doc = wanted.groupBy("did", *TEXT).agg(F.collect_list(F.struct("h", "s", "n", "start", "wide")).alias("want"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("h", pa.int64()), ("s", pa.int64()), ("n", pa.int32()), ("did", pa.int64()), ("start", pa.int64()), ("bytes", pa.binary()), ("wide", pa.bool_())])
@@ -330,22 +338,26 @@ def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = True)
                     out += [w | {"did": r["did"], "bytes": raw[w["start"] : w["start"] + w["n"] + length - 1]} for w in r["want"]]
                 yield pa.RecordBatch.from_pylist(out, schema=schema)
 
-    segments = materialise(docs.join(by_doc, ["did", "tkey"]).select("did", "text", "want").mapInArrow(cut, "h long, s long, n int, did long, start long, bytes binary, wide boolean"))
+    segments = materialise(docs.join(by_doc, ["did", *TEXT]).select("did", "text", "want").mapInArrow(cut, "h long, s long, n int, did long, start long, bytes binary, wide boolean"))
     by_array = _matched(segments.where("not wide").drop("wide").repartition("h").sortWithinPartitions("h", "did", "start"), length)
     ranges = by_array.unionByName(_windows(segments.where("wide").drop("wide"), length)) if segments.where("wide").limit(1).count() else by_array
     solved = materialise(classes.join(ranges, keys, "left"))
     every = F.array(F.lit(0), F.col("n"))
+    cols = [*TEXT, "did", "start"]
     if keep_first:
-        here = F.struct("did", "tkey", "start")
-        own = F.when(here != F.col("first"), every).otherwise(F.col("earlier"))
+        dim = solved.select(*keys, "first", "earlier", "texts")
+        joined = join_on_skewed_key(found, dim, hot_keys(dim, keys, "texts", total), keys)
+        covered = joined.select(*cols, F.when(here != F.col("first"), every).otherwise(F.coalesce("earlier", F.array().cast("array<int>"))).alias("r"), every.alias("o"))
     else:
-        own = F.when(F.col("c") > 1, every).otherwise(F.col("either"))
-    cols = ["did", "tkey", "start", "n"]
-    dim = solved.select(*keys, "c", "first", "earlier", "either")
-    one = found.where("not several").select(*cols, every.alias("r")) if not keep_first else None
-    some = join_on_skewed_key(found if keep_first else found.where("several"), dim, hot_keys(dim, keys, "c", total), keys).select(*cols, own.alias("r"))
-    covered = (some.unionByName(one) if one is not None else some).where("size(r) > 0")
-    return covered.groupBy("did", "tkey").agg(F.collect_list(F.struct("start", "r")).alias("ranges"))
+        # a class with one place is its own row; every place of the others goes
+        single = solved.where("c = 1").select(*(F.col(f"first.{c}").alias(c) for c in cols), F.col("either").alias("r"))
+        dim = solved.where("c > 1").select(*keys, "texts")
+        many = join_on_skewed_key(found.where("several"), dim, hot_keys(dim, keys, "texts", total), keys)
+        covered = single.unionByName(many.select(*cols, every.alias("r"))).unionByName(found.where("not several").select(*cols, every.alias("r"))).withColumn("o", F.col("r"))
+    by_text = covered.groupBy(*TEXT).agg(F.min("did").alias("lead"), F.collect_list(F.struct("start", "r")).alias("ranges"), F.collect_list(F.struct("start", F.col("o").alias("r"))).alias("others"))
+    # texts whose rows are many: at least a share of all runs for each of their windows
+    hot = found.groupBy(*TEXT).agg(F.max("places").alias("rows")).orderBy(F.desc("rows"), *TEXT).limit(int(1 / HOT_SHARE)).where("rows > 16").select(*TEXT)
+    return by_text, materialise(hot)
 
 
 def _spans(ranges: list[dict] | None, length: int) -> list[tuple[int, int]]:
@@ -381,8 +393,8 @@ def dedup_substrings(docs: DataFrame, length: int = 400, keep_first: bool = True
     what the first keeps. Null keys sort first. An empty table gives an empty
     result; other columns are ignored.
     """
-    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("tkey"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("kept_with"))
-    ranges = repeated_ranges(named, length, keep_first)
+    named = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))).alias("did"), F.xxhash64(text).alias("t1"), (F.shiftleft(F.crc32(F.coalesce(F.col(text), F.lit(""))), 31).bitwiseXOR(F.coalesce(F.octet_length(text), F.lit(-1)).cast("long"))).alias("t2"), F.col(text).alias("text"), F.struct(F.lit(0).alias("_"), *keep).alias("kept_with"))
+    ranges, hot = repeated_ranges(named, length, keep_first)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]  # then kept_with, as it came
@@ -404,6 +416,6 @@ def dedup_substrings(docs: DataFrame, length: int = 400, keep_first: bool = True
                     out.append((r["doc_id"], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [list(s) for s in spans], shown.decode()))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)), part.column("kept_with")], [*names, "kept_with"])
 
-    joined = named.join(ranges, ["did", "tkey"], "left").select("doc_id", "text", "ranges", "kept_with")
+    joined = join_on_skewed_key(named, ranges, hot, TEXT, "left").select("doc_id", "text", F.when(F.col("did") == F.col("lead"), F.col("ranges")).otherwise(F.col("others")).alias("ranges"), "kept_with")
     made = joined.mapInArrow(finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept string, kept_with {joined.schema['kept_with'].dataType.simpleString()}")
     return made.select("*", *(F.col("kept_with")[c].alias(c) for c in keep)).drop("kept_with")
