@@ -341,13 +341,14 @@ def repeated_ranges(docs: DataFrame, length: int = 400, keep_first: bool = True)
     segments = materialise(docs.join(by_doc, ["did", *TEXT]).select("did", "text", "want").mapInArrow(cut, "h long, s long, n int, did long, start long, bytes binary, wide boolean"))
     by_array = _matched(segments.where("not wide").drop("wide").repartition("h").sortWithinPartitions("h", "did", "start"), length)
     ranges = by_array.unionByName(_windows(segments.where("wide").drop("wide"), length)) if segments.where("wide").limit(1).count() else by_array
-    solved = materialise(classes.join(ranges, keys, "left"))
+    none = F.array().cast("array<int>")
+    solved = materialise(classes.join(ranges, keys, "left").withColumns({c: F.coalesce(c, none) for c in ("earlier", "either")}))
     every = F.array(F.lit(0), F.col("n"))
     cols = [*TEXT, "did", "start"]
     if keep_first:
         dim = solved.select(*keys, "first", "earlier", "texts")
         joined = join_on_skewed_key(found, dim, hot_keys(dim, keys, "texts", total), keys)
-        covered = joined.select(*cols, F.when(here != F.col("first"), every).otherwise(F.coalesce("earlier", F.array().cast("array<int>"))).alias("r"), every.alias("o"))
+        covered = joined.select(*cols, F.when(here != F.col("first"), every).otherwise(F.col("earlier")).alias("r"), every.alias("o"))
     else:
         # a class with one place is its own row; every place of the others goes
         single = solved.where("c = 1").select(*(F.col(f"first.{c}").alias(c) for c in cols), F.col("either").alias("r"))
