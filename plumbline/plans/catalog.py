@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from plumbline.plans import quality_queries, similarity_queries, stream_queries, vote_queries
+from plumbline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "quality_queries", "similarity_queries", "stream_queries", "vote_queries"]
