@@ -14,7 +14,7 @@ HALF_LIFE_DAYS = 90.0
 
 def temporal_weight(age_days: Column) -> Column:
     """2 * e^(-ln 2 * age / 90); rows without an age weigh 1."""
-    return F.coalesce(2 * F.exp(-F.log(F.lit(2.0)) * F.greatest(age_days, F.lit(0)) / HALF_LIFE_DAYS), F.lit(1.0))
+    return F.when(age_days.isNull(), 1.0).otherwise(2 * F.exp(-F.log(F.lit(2.0)) * F.greatest(age_days, F.lit(0)) / HALF_LIFE_DAYS))
 
 
 def distribution(rows: DataFrame, group: str | list[str], pattern: str, entity: str, weight: Column | None = None) -> DataFrame:

@@ -1,7 +1,7 @@
 import json
 import math
+from datetime import datetime, timedelta
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from plumbline.operators import graph, scoring, similarity, vote
@@ -69,8 +69,8 @@ def test_cosine_of_zero_and_unequal(spark):
 
 
 def test_cooldown_depends_on_last_kept(spark):
-    base = pd.Timestamp("2024-01-01")
-    rows = spark.createDataFrame([("k", i, base + pd.Timedelta(seconds=s)) for i, s in enumerate((0, 4, 6, 8, 11))], "k string, id int, ts timestamp")
+    base = datetime(2024, 1, 1)
+    rows = spark.createDataFrame([("k", i, base + timedelta(seconds=s)) for i, s in enumerate((0, 4, 6, 8, 11))], "k string, id int, ts timestamp")
     kept = sorted(r.id for r in sessions.cooldown(rows, ["k"], "ts", "id", 5).collect())
     assert kept == [0, 2, 4]
 
