@@ -42,11 +42,11 @@ LEAF = 48
 # --- fingerprints ---------------------------------------------------------------
 
 
-def text_fingerprint(text: str | None, shingle: int) -> int:
-    """64-bit SimHash of word shingles (ASCII lower case), as a signed integer."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 (seed 42) of each word shingle (ASCII lower case), in order, repeats included."""
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     n = max(1, len(words) - shingle + 1)
     lens = np.fromiter(map(len, words), np.int64, len(words)) + 1
@@ -54,8 +54,12 @@ def text_fingerprint(text: str | None, shingle: int) -> int:
     starts = (ends - lens + 1)[:n].tolist()
     stops = ends[len(words) - n :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
-    counts = np.zeros(64, np.int64)
+    return np.fromiter((digest(joined[a:b], 42) for a, b in zip(starts, stops, strict=True)), np.uint64, n)
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits that over half the hashes have, as a signed integer; zero without a hash."""
+    n, counts = len(h), np.zeros(64, np.int64)
     for lo in range(0, n, 1 << 16):
         part = h[lo : lo + (1 << 16)]
         counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -63,6 +67,21 @@ def text_fingerprint(text: str | None, shingle: int) -> int:
     return int(bits.view(np.int64)[0])
 
 
+def text_fingerprint(text: str | None, shingle: int) -> int:
+    """64-bit SimHash of word shingles, as a signed integer."""
+    return majority(shingle_hashes(text, shingle))
+
+
+def remix(h: np.ndarray, number: int) -> np.ndarray:
+    """An independent hash of each hash (the splitmix64 finaliser); number 0 is the hash itself."""
+    if not number:
+        return h
+    z = h + np.uint64(number * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, fp) of every row; null and wordless texts have fingerprint zero."""
 
@@ -268,3 +287,167 @@ def near_duplicates(docs: DataFrame, radius: int = 4, shingle: int = 4, text: st
     hot = hot_keys(counts, "fp", "n", prints.count())
     joined = join_on_skewed_key(prints, named, hot, "fp")
     return joined.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# --- near copies by similarity -----------------------------------------------------
+
+#: Words of 64 bits of a wide fingerprint. One 64-bit word tells a Jaccard similarity of
+#: 0.8 apart from 0.6 too badly, and pairs of 0.8 differ in about ten of its bits.
+WIDE = 4
+#: Bits of the wide fingerprint that candidates may differ in. One spanning forest is kept for
+#: each limit, so that an edge that verification drops is not the only trace of closer pairs.
+LIMITS = (24, 32, 38, 44, 52)
+#: Bits of one word that candidates may differ in: far over what pairs of 0.8 do.
+WORD_LIMIT = 20
+_WORDS = [f"w{k}" for k in range(WIDE)]
+
+
+def wide_fingerprints(docs: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
+    """(doc_id, w0 .. w3): SimHash over the distinct shingles, once for each of WIDE hash functions."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        last: dict[str | None, list[int]] = {}
+        out = []
+        for t in batch.column(1).to_pylist():
+            if t not in last:
+                if len(last) > 2048:
+                    last.clear()
+                h = np.unique(shingle_hashes(t, shingle))
+                last[t] = [majority(remix(h, k)) for k in range(WIDE)]
+            out.append(last[t])
+        words = np.array(out, np.int64).reshape(-1, WIDE)
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, k]) for k in range(WIDE))], ["doc_id", *_WORDS])
+
+    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)), run, "doc_id long, " + ", ".join(f"{w} long" for w in _WORDS))
+
+
+def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, limits: tuple[int, ...] = LIMITS, seed: int = 7) -> np.ndarray:
+    """Edges (k x 2) of one spanning forest for each limit, over the pairs (home, any) that the tree reaches.
+
+    The tree is over the bits ``mask`` of word ``tree``, in which a pair may differ in one bit.
+    """
+    fp, m = words[:, tree], np.uint64(mask)
+    forests, rng = [Forest(len(fp)) for _ in limits], np.random.default_rng(seed)
+    stack = [(np.flatnonzero(home), np.arange(len(fp)), 0)]
+    while stack:
+        data, asked, failed = stack.pop()
+        if not len(data) or not len(asked):
+            continue
+        if len(data) <= LEAF or failed >= 3:
+            step = max(1, (1 << 21) // len(asked))
+            for lo in range(0, len(data), step):
+                part = data[lo : lo + step]
+                i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[asked][None, :]) <= WORD_LIMIT)
+                a, b = part[i], asked[j]
+                d = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int16)
+                for limit, forest in zip(limits, forests, strict=True):
+                    near = (d <= limit) & (a != b)
+                    if near.any():
+                        forest.join(a[near], b[near])
+            continue
+        v = fp[data[rng.integers(len(data))]] ^ rng.integers(0, 1 << 63, dtype=np.uint64)
+        d = _distance(fp[data], v, m)
+        mu = int(np.median(d))
+        near = d <= mu
+        if near.all():
+            mu -= 1
+            near = d <= mu
+        if not near.any() or near.all():
+            stack.append((data, asked, failed + 1))
+            continue
+        e = _distance(fp[asked], v, m)
+        lopsided = failed + 1 if min(near.sum(), (~near).sum()) < len(data) // 16 else 0
+        stack.append((data[near], asked[e <= mu + 1], lopsided))
+        stack.append((data[~near], asked[e >= mu], lopsided))
+    return np.array([e for f in forests for e in f.edges], np.int64).reshape(-1, 2)
+
+
+def wide_links(points: DataFrame, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """Distinct candidate edges (a, b), a < b, between reps of ``points`` (w0 .. w3 distinct, rep)."""
+    n = points.count()
+    levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard_rows))))))
+    seen = points.orderBy(F.xxhash64(*_WORDS)).limit(SAMPLE).select(*_WORDS).collect() if levels else []
+    sample = np.array(seen, np.int64).reshape(-1, WIDE).view(np.uint64)
+    trees = [(k, mask, build_shards(sample[:, k], mask, levels, 16 * k + i)) for k in range(WIDE) for i, mask in enumerate(masks(7))]
+
+    def spread(batch: pa.RecordBatch) -> pa.RecordBatch:
+        shard, rows, home = [], [], []
+        for number, (k, mask, nodes) in enumerate(trees):
+            for leaf, own, is_home in _route(batch.column(_WORDS[k]).to_numpy().view(np.uint64), mask, nodes, levels, 1):
+                shard.append(np.full(len(own), (number << MAX_LEVELS) + leaf, np.int32))
+                rows.append(own)
+                home.append(is_home)
+        out = batch.take(pa.array(np.concatenate(rows)))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), *(out.column(w) for w in _WORDS), out.column("rep"), pa.array(np.concatenate(home))], ["shard", *_WORDS, "rep", "home"])
+
+    rows = map_batches(points.select(*_WORDS, "rep"), spread, "shard int, " + ", ".join(f"{w} long" for w in _WORDS) + ", rep long, home boolean")
+    # at most len(trees) << MAX_LEVELS shards, whatever the input
+    sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows)
+    tiles = sizes.select("shard", F.ceil(F.col("n") / tile_rows).cast("int").alias("cuts"))
+    cut = rows.join(F.broadcast(tiles), "shard", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cuts")).cast("int")
+    every = F.sequence(F.lit(0), F.col("cuts") - 1)
+    # in an uncut shard the home rows are visitors too, so each row goes there once
+    whole = cut.where("cuts = 1").select("shard", *_WORDS, "rep", "home", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    as_home = cut.where("cuts > 1 and home").select("shard", *_WORDS, "rep", F.lit(True).alias("home"), own.alias("i"), F.explode(every).alias("j"))
+    as_guest = cut.where("cuts > 1").select("shard", *_WORDS, "rep", F.lit(False).alias("home"), F.explode(every).alias("i"), own.alias("j"))
+    dealt = whole.unionByName(as_home).unionByName(as_guest)
+
+    def link(key: tuple, group: pa.Table) -> pa.Table:
+        words = np.stack([group.column(w).to_numpy() for w in _WORDS], 1).view(np.uint64)
+        rep, home = group.column("rep").to_numpy(), group.column("home").to_numpy()
+        k, mask, _ = trees[key[0].as_py() >> MAX_LEVELS]
+        edges = link_wide(words, home, k, mask)
+        a, b = rep[edges[:, 0]], rep[edges[:, 1]]
+        keep = a != b
+        return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
+
+    return dealt.groupBy("shard", "i", "j").applyInArrow(link, "a long, b long").distinct()
+
+
+def verified(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
+    """The edges whose texts have a Jaccard similarity of shingle sets of ``similarity`` or more.
+
+    Texts at the hub of many edges are sent out in a copy for each 1/1024 of the edges.
+    """
+
+    def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
+        got = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
+        offsets = np.concatenate(([0], np.cumsum([len(g) for g in got]))).astype(np.int32)
+        flat = np.concatenate(got) if got else np.empty(0, np.int64)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], ["doc_id", "shingles"])
+
+    used = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text")).join(used, "doc_id", "left_semi")
+    have = materialise(map_batches(own, sets, "doc_id long, shingles array<long>"))
+    total = edges.count()
+    share = max(2, total // 1024)
+    hubs = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= share).select("a", F.ceil(F.col("n") / share).cast("int").alias("copies"))
+    hubs = F.broadcast(materialise(hubs))  # at most 1,024 rows
+    salted = edges.join(hubs, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
+    first = have.withColumnRenamed("doc_id", "a").join(hubs, "a", "left").select("a", F.col("shingles").alias("__x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt"))
+    second = have.select(F.col("doc_id").alias("b"), F.col("shingles").alias("__y"))
+    both = salted.join(second, "b").join(first, ["a", "salt"])
+    shared = F.size(F.array_intersect("__x", "__y"))
+    rows = both.select("a", "b", shared.alias("s"), (F.size("__x") + F.size("__y")).alias("n"))
+    return rows.where(F.col("s") >= similarity * (F.col("n") - F.col("s")) - 1e-9).select("a", "b").distinct()
+
+
+def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, component_id) of every row: groups of texts whose sets of word shingles are similar.
+
+    Candidates come from vantage-point trees over wide fingerprints; each edge is then
+    verified by the exact Jaccard similarity. ``component_id`` is the smallest key that can be reached over
+    verified edges. A pair of just 0.8 is a candidate with probability 0.99; the closer, the surer.
+    Null, empty and wordless texts form one group; texts of one shingle set are one group. Rows
+    with a null key take the component of their text (null if no other row has the text). Rows that
+    repeat a key should repeat the text too; they stay. Other columns are ignored. An empty table gives an empty
+    result.
+    """
+    prints = materialise(wide_fingerprints(docs, shingle, text, key))
+    counts = materialise(prints.groupBy(*_WORDS).agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")))
+    edges = materialise(wide_links(counts.where("rep is not null")))
+    found = components(materialise(verified(edges, docs, similarity, shingle, text, key)))
+    named = counts.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select(*_WORDS, F.coalesce("component", "rep").alias("component_id"))
+    hot = hot_keys(counts, _WORDS, "n", prints.count())
+    return join_on_skewed_key(prints, named, hot, _WORDS).select("doc_id", "component_id")
