@@ -27,9 +27,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: the smallest doc_id."""
-    groups = simhash_vp.near_duplicates(docs, radius=PIPELINE_RADIUS, shingle=5)
-    lead = groups.where("doc_id = component_id").select("doc_id")
-    return docs.join(lead, "doc_id", "left_semi").select(*COLUMNS)
+    groups = simhash_vp.near_copies(docs, similarity=0.8, shingle=5)
+    gone = groups.where("doc_id <> component_id").select("doc_id")
+    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,6 @@ def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_bpe.encode(docs, public_tokenizers.path("piece_bpe_32k.model"), full=False)
 
 
-#: Bits that the fingerprints of near copies may differ in.
-PIPELINE_RADIUS = 7
 #: Repeated strings have this many bytes at least: about fifty words.
 STRING_BYTES = 250
 
