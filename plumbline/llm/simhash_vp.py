@@ -297,6 +297,8 @@ WIDE = 4
 #: Bits of the wide fingerprint that candidates may differ in. One spanning forest is kept for
 #: each limit, so that an edge that verification drops is not the only trace of closer pairs.
 LIMITS = (24, 32, 38, 44, 52)
+#: Partners in a leaf up to which a row's pairs are all verified; rows with more have their forests' edges.
+FEW = 32
 #: Bits of one word that candidates may differ in: far over what pairs of 0.8 do.
 WORD_LIMIT = 20
 _WORDS = [f"w{k}" for k in range(WIDE)]
@@ -324,9 +326,12 @@ def wide_fingerprints(docs: DataFrame, shingle: int, text: str, key: str) -> Dat
 def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, limits: tuple[int, ...] = LIMITS, seed: int = 7) -> np.ndarray:
     """Edges (k x 2) of one spanning forest for each limit, over the pairs (home, any) that the tree reaches.
 
+    Pairs of rows with FEW partners at most are edges besides, so that small groups are verified whole.
+
     The tree is over the bits ``mask`` of word ``tree``, in which a pair may differ in one bit.
     """
     fp, m = words[:, tree], np.uint64(mask)
+    direct: list[np.ndarray] = []
     forests, rng = [Forest(len(fp)) for _ in limits], np.random.default_rng(seed)
     stack = [(np.flatnonzero(home), np.arange(len(fp)), 0)]
     while stack:
@@ -344,6 +349,8 @@ def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, limits:
                     near = (d <= limit) & (a != b)
                     if near.any():
                         forest.join(a[near], b[near])
+                few = near & (np.bincount(a[near], minlength=len(fp))[a] <= FEW) & (np.bincount(b[near], minlength=len(fp))[b] <= FEW) if near.any() else near
+                direct.append(np.stack([a[few], b[few]], 1))
             continue
         v = fp[data[rng.integers(len(data))]] ^ rng.integers(0, 1 << 63, dtype=np.uint64)
         d = _distance(fp[data], v, m)
@@ -359,7 +366,7 @@ def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, limits:
         lopsided = failed + 1 if min(near.sum(), (~near).sum()) < len(data) // 16 else 0
         stack.append((data[near], asked[e <= mu + 1], lopsided))
         stack.append((data[~near], asked[e >= mu], lopsided))
-    return np.array([e for f in forests for e in f.edges], np.int64).reshape(-1, 2)
+    return np.concatenate([np.array([e for f in forests for e in f.edges], np.int64).reshape(-1, 2), *direct])
 
 
 def wide_links(points: DataFrame, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
