@@ -299,6 +299,9 @@ WIDE = 4
 LIMITS = (24, 32, 38, 44, 52)
 #: Partners in a leaf up to which a row's pairs are all verified; rows with more have their forests' edges.
 FEW = 32
+#: As SHARD_ROWS. Each level of shards sends about 1.4 times the rows, so shards are as large as a task
+#: bears: this many rows of 41 bytes.
+WIDE_SHARD_ROWS = 262_144
 #: Bits of one word that candidates may differ in: far over what pairs of 0.8 do.
 WORD_LIMIT = 20
 _WORDS = [f"w{k}" for k in range(WIDE)]
@@ -369,7 +372,7 @@ def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, limits:
     return np.concatenate([np.array([e for f in forests for e in f.edges], np.int64).reshape(-1, 2), *direct])
 
 
-def wide_links(points: DataFrame, shard_rows: int = SHARD_ROWS, tile_rows: int = TILE_ROWS) -> DataFrame:
+def wide_links(points: DataFrame, shard_rows: int = WIDE_SHARD_ROWS, tile_rows: int = 4 * WIDE_SHARD_ROWS) -> DataFrame:
     """Distinct candidate edges (a, b), a < b, between reps of ``points`` (w0 .. w3 distinct, rep)."""
     n = points.count()
     levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard_rows))))))
