@@ -386,3 +386,29 @@ def test_nothing_else_imports_llm():
     for p in pathlib.Path(__file__).parents[2].glob("plumbline/**/*.py"):
         if "llm" not in p.parts:
             assert "plumbline.llm" not in p.read_text()
+
+
+def test_near_copies_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefghij") + str(rng.randrange(90)) for _ in range(120)] for _ in range(6)]
+    texts = []
+    for words in base:
+        for edits in (0, 0, 1, 2, 3, 5, 9):
+            own = list(words)
+            for at in rng.sample(range(120), edits):
+                own[at] = "new" + str(rng.randrange(10**6))
+            texts.append(" ".join(own))
+    texts += [None, "", " \n", "one", "ONE", "one two"]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    want = list(range(len(texts)))
+    for _ in texts:
+        for i, x in enumerate(sets):
+            for j in range(i):
+                if x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j]):
+                    want[i] = want[j] = min(want[i], want[j])
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash_vp.near_copies(docs).collect()}
+    assert got == dict(enumerate(want))
+    assert simhash_vp.near_copies(docs.where("false")).count() == 0
