@@ -448,7 +448,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text
 
     Candidates come from vantage-point trees over wide fingerprints; each edge is then
     verified by the exact Jaccard similarity. ``component_id`` is the smallest key that can be reached over
-    verified edges. A pair of just 0.8 is a candidate with probability 0.99; the closer, the surer.
+    verified edges. A pair of just 0.8 is a candidate with a probability of about 0.99 by calculation; the closer, the surer.
+    In groups where rows have over FEW candidates a link can be lost where a forest's edge fails.
     Null, empty and wordless texts form one group; texts of one shingle set are one group. Rows
     with a null key take the component of their text (null if no other row has the text). Rows that
     repeat a key should repeat the text too; they stay. Other columns are ignored. An empty table gives an empty
