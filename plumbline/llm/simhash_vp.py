@@ -297,8 +297,11 @@ WIDE = 4
 #: Bits of the wide fingerprint that candidates may differ in. One spanning forest is kept for
 #: each limit, so that an edge that verification drops is not the only trace of closer pairs.
 LIMITS = (24, 32, 38, 44, 52)
-#: Partners in a leaf up to which a row's pairs are all verified; rows with more have their forests' edges.
+#: Partners in a leaf up to which a row's pairs are all verified at once; rows with more have their forests' edges
+#: verified first, and after that their pairs with other components.
 FEW = 32
+#: Candidates in other components that a row of a group that is not settled has verified, in each tree, before all of them.
+NEAREST = 4
 #: As SHARD_ROWS. Each level of shards sends about 1.4 times the rows, so shards are as large as a task
 #: bears: this many rows of 41 bytes.
 WIDE_SHARD_ROWS = 262_144
@@ -326,10 +329,13 @@ def wide_fingerprints(docs: DataFrame, shingle: int, text: str, key: str) -> Dat
     return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)), run, "doc_id long, " + ", ".join(f"{w} long" for w in _WORDS))
 
 
-def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, limits: tuple[int, ...] = LIMITS, seed: int = 7) -> np.ndarray:
+def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, label: np.ndarray | None = None, nearest: int | None = None, limits: tuple[int, ...] = LIMITS, seed: int = 7) -> np.ndarray:
     """Edges (k x 2) of one spanning forest for each limit, over the pairs (home, any) that the tree reaches.
 
     Pairs of rows with FEW partners at most are edges besides, so that small groups are verified whole.
+    A row with a pair that is in neither gets the edge (row, row) as a mark. With ``label`` there are no
+    forests and marks: all pairs of rows with different labels are edges, or those of a home row with the
+    ``nearest`` of them.
 
     The tree is over the bits ``mask`` of word ``tree``, in which a pair may differ in one bit.
     """
@@ -348,12 +354,24 @@ def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, limits:
                 i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[asked][None, :]) <= WORD_LIMIT)
                 a, b = part[i], asked[j]
                 d = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int16)
+                if label is not None:
+                    near = (d <= limits[-1]) & (label[a] != label[b])
+                    a, b = a[near], b[near]
+                    if nearest is not None:
+                        order = np.lexsort((b, d[near], a))
+                        a, b = a[order], b[order]
+                        own = np.arange(len(a)) - np.searchsorted(a, a) < nearest
+                        a, b = a[own], b[own]
+                    direct.append(np.stack([a, b], 1))
+                    continue
                 for limit, forest in zip(limits, forests, strict=True):
                     near = (d <= limit) & (a != b)
                     if near.any():
                         forest.join(a[near], b[near])
-                few = near & (np.bincount(a[near], minlength=len(fp))[a] <= FEW) & (np.bincount(b[near], minlength=len(fp))[b] <= FEW) if near.any() else near
-                direct.append(np.stack([a[few], b[few]], 1))
+                a, b = a[near], b[near]
+                few = (np.bincount(a, minlength=1)[a] <= FEW) & (np.bincount(b, minlength=1)[b] <= FEW)
+                marked = np.unique(np.concatenate([a[~few], b[~few]]))
+                direct += [np.stack([a[few], b[few]], 1), np.stack([marked, marked], 1)]
             continue
         v = fp[data[rng.integers(len(data))]] ^ rng.integers(0, 1 << 63, dtype=np.uint64)
         d = _distance(fp[data], v, m)
@@ -372,9 +390,14 @@ def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, limits:
     return np.concatenate([np.array([e for f in forests for e in f.edges], np.int64).reshape(-1, 2), *direct])
 
 
-def wide_links(points: DataFrame, shard_rows: int = WIDE_SHARD_ROWS, tile_rows: int = 4 * WIDE_SHARD_ROWS) -> DataFrame:
-    """Distinct candidate edges (a, b), a < b, between reps of ``points`` (w0 .. w3 distinct, rep)."""
-    n = points.count()
+def wide_links(points: DataFrame, nearest: int | None = None, shard_rows: int = WIDE_SHARD_ROWS, tile_rows: int = 4 * WIDE_SHARD_ROWS) -> DataFrame:
+    """Distinct candidate edges (a, b), a < b, between reps of ``points`` (w0 .. w3 distinct, rep).
+
+    Rows (a, a) mark the reps that have candidates besides. Where ``points`` has a column ``label``, all
+    candidates with different labels are edges (``nearest``: a row's closest in each tree), and there are no marks.
+    """
+    n, labelled = points.count(), "label" in points.columns
+    carried = ["rep", "label"] if labelled else ["rep"]
     levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard_rows))))))
     seen = points.orderBy(F.xxhash64(*_WORDS)).limit(SAMPLE).select(*_WORDS).collect() if levels else []
     sample = np.array(seen, np.int64).reshape(-1, WIDE).view(np.uint64)
@@ -388,9 +411,9 @@ def wide_links(points: DataFrame, shard_rows: int = WIDE_SHARD_ROWS, tile_rows:
                 rows.append(own)
                 home.append(is_home)
         out = batch.take(pa.array(np.concatenate(rows)))
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), *(out.column(w) for w in _WORDS), out.column("rep"), pa.array(np.concatenate(home))], ["shard", *_WORDS, "rep", "home"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(shard)), *(out.column(w) for w in (*_WORDS, *carried)), pa.array(np.concatenate(home))], ["shard", *_WORDS, *carried, "home"])
 
-    rows = map_batches(points.select(*_WORDS, "rep"), spread, "shard int, " + ", ".join(f"{w} long" for w in _WORDS) + ", rep long, home boolean")
+    rows = map_batches(points.select(*_WORDS, *carried), spread, "shard int, " + ", ".join(f"{w} long" for w in (*_WORDS, *carried)) + ", home boolean")
     # at most len(trees) << MAX_LEVELS shards, whatever the input
     sizes = rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows)
     tiles = sizes.select("shard", F.ceil(F.col("n") / tile_rows).cast("int").alias("cuts"))
@@ -398,18 +421,18 @@ def wide_links(points: DataFrame, shard_rows: int = WIDE_SHARD_ROWS, tile_rows:
     own = F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cuts")).cast("int")
     every = F.sequence(F.lit(0), F.col("cuts") - 1)
     # in an uncut shard the home rows are visitors too, so each row goes there once
-    whole = cut.where("cuts = 1").select("shard", *_WORDS, "rep", "home", F.lit(0).alias("i"), F.lit(0).alias("j"))
-    as_home = cut.where("cuts > 1 and home").select("shard", *_WORDS, "rep", F.lit(True).alias("home"), own.alias("i"), F.explode(every).alias("j"))
-    as_guest = cut.where("cuts > 1").select("shard", *_WORDS, "rep", F.lit(False).alias("home"), F.explode(every).alias("i"), own.alias("j"))
+    whole = cut.where("cuts = 1").select("shard", *_WORDS, *carried, "home", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    as_home = cut.where("cuts > 1 and home").select("shard", *_WORDS, *carried, F.lit(True).alias("home"), own.alias("i"), F.explode(every).alias("j"))
+    as_guest = cut.where("cuts > 1").select("shard", *_WORDS, *carried, F.lit(False).alias("home"), F.explode(every).alias("i"), own.alias("j"))
     dealt = whole.unionByName(as_home).unionByName(as_guest)
 
     def link(key: tuple, group: pa.Table) -> pa.Table:
         words = np.stack([group.column(w).to_numpy() for w in _WORDS], 1).view(np.uint64)
         rep, home = group.column("rep").to_numpy(), group.column("home").to_numpy()
         k, mask, _ = trees[key[0].as_py() >> MAX_LEVELS]
-        edges = link_wide(words, home, k, mask)
+        edges = link_wide(words, home, k, mask, group.column("label").to_numpy() if labelled else None, nearest)
         a, b = rep[edges[:, 0]], rep[edges[:, 1]]
-        keep = a != b
+        keep = (a != b) | (edges[:, 0] == edges[:, 1])
         return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
 
     return dealt.groupBy("shard", "i", "j").applyInArrow(link, "a long, b long").distinct()
@@ -443,13 +466,28 @@ def verified(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int,
     return rows.where(F.col("s") >= similarity * (F.col("n") - F.col("s")) - 1e-9).select("a", "b").distinct()
 
 
+def unsettled(points: DataFrame, candidates: DataFrame, found: DataFrame) -> DataFrame:
+    """The marked points (w0 .. w3, rep, label) of groups of candidates that are not one component yet.
+
+    ``label`` is the component in ``found``. A candidate pair lies within one group, so all others are settled.
+    """
+    marked = candidates.where("a = b").select(F.col("a").alias("rep"))
+    groups = components(candidates).select(F.col("vertex").alias("rep"), F.col("component").alias("of"))
+    named = marked.join(groups, "rep").join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
+    named = materialise(named.select("rep", "of", F.coalesce("component", "rep").alias("label")))
+    sizes = materialise(named.groupBy("of").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")))
+    mixed = sizes.where("low < high").select("of")
+    mine = join_on_skewed_key(named, mixed, hot_keys(sizes, "of", "n", named.count()), "of")
+    return points.join(mine.select("rep", "label"), "rep").select(*_WORDS, "rep", "label")
+
+
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, component_id) of every row: groups of texts whose sets of word shingles are similar.
 
     Candidates come from vantage-point trees over wide fingerprints; each edge is then
     verified by the exact Jaccard similarity. ``component_id`` is the smallest key that can be reached over
     verified edges. A pair of just 0.8 is a candidate with a probability of about 0.99 by calculation; the closer, the surer.
-    In groups where rows have over FEW candidates a link can be lost where a forest's edge fails.
+    Every candidate pair is verified, or its two texts are connected by verified edges already.
     Null, empty and wordless texts form one group; texts of one shingle set are one group. Rows
     with a null key take the component of their text (null if no other row has the text). Rows that
     repeat a key should repeat the text too; they stay. Other columns are ignored. An empty table gives an empty
@@ -457,8 +495,18 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text
     """
     prints = materialise(wide_fingerprints(docs, shingle, text, key))
     counts = materialise(prints.groupBy(*_WORDS).agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")))
-    edges = materialise(wide_links(counts.where("rep is not null")))
-    found = components(materialise(verified(edges, docs, similarity, shingle, text, key)))
+    points = counts.where("rep is not null").drop("n")
+    candidates = materialise(wide_links(points))
+    edges = candidates.where("a < b")
+    sure = materialise(verified(edges, docs, similarity, shingle, text, key))
+    found = materialise(components(sure))
+    for nearest in (NEAREST, None):  # the closest pairs first: they settle most groups, and few pairs remain for the last pass
+        left = materialise(unsettled(points, candidates, found))
+        if left.isEmpty():
+            break
+        more = materialise(wide_links(left, nearest).join(edges, ["a", "b"], "left_anti"))
+        sure = materialise(sure.unionByName(verified(more, docs, similarity, shingle, text, key)))
+        edges, found = edges.unionByName(more), materialise(components(sure))
     named = counts.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select(*_WORDS, F.coalesce("component", "rep").alias("component_id"))
     hot = hot_keys(counts, _WORDS, "n", prints.count())
     return join_on_skewed_key(prints, named, hot, _WORDS).select("doc_id", "component_id")

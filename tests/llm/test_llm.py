@@ -400,15 +400,41 @@ def test_near_copies_against_brute_force(spark):
             for at in rng.sample(range(120), edits):
                 own[at] = "new" + str(rng.randrange(10**6))
             texts.append(" ".join(own))
+    for edits in rng.choices(range(1, 8), k=60):  # over simhash_vp.FEW candidates each, some links below 0.8
+        own = list(base[0])
+        for at in rng.sample(range(120), edits):
+            own[at] = "new" + str(rng.randrange(10**6))
+        texts.append(" ".join(own))
     texts += [None, "", " \n", "one", "ONE", "one two"]
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
     want = list(range(len(texts)))
+    near = [(i, j) for i, x in enumerate(sets) for j in range(i) if x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j])]
     for _ in texts:
-        for i, x in enumerate(sets):
-            for j in range(i):
-                if x == sets[j] or len(x & sets[j]) >= 0.8 * len(x | sets[j]):
-                    want[i] = want[j] = min(want[i], want[j])
+        for i, j in near:
+            want[i] = want[j] = min(want[i], want[j])
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.component_id for r in simhash_vp.near_copies(docs).collect()}
     assert got == dict(enumerate(want))
     assert simhash_vp.near_copies(docs.where("false")).count() == 0
+
+
+def test_near_copies_of_unsettled_groups():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    center = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    flips = np.zeros((80, 4), np.uint64)
+    for row in flips:
+        for bit in rng.choice(256, 12, replace=False):
+            row[bit // 64] |= np.uint64(1 << int(bit % 64))
+    words, home, mask = center ^ flips, np.ones(80, bool), (1 << 16) - 1
+    first = simhash_vp.link_wide(words, home, 0, mask)
+    marks = {a for a, b in first.tolist() if a == b}
+    label = np.arange(80) % 7
+    pairs = {(min(p), max(p)) for p in simhash_vp.link_wide(words, home, 0, mask, label).tolist()}
+    within = [(a, b) for a in range(80) for b in range(a) if np.bitwise_count((words[a] ^ words[b]) & np.uint64(mask)).sum(where=[True, False, False, False]) <= 1]
+    assert marks and {a for p in within for a in p} <= marks | {x for p in first.tolist() for x in p}
+    assert {(b, a) for a, b in within if label[a] != label[b]} <= pairs
+    assert all(label[a] != label[b] for a, b in pairs)
+    near = simhash_vp.link_wide(words, home, 0, mask, label, 2)
+    assert np.bincount(near[:, 0]).max() == 2
