@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame) -> DataFrame:
+    """``df``, written to the shared folder."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
@@ -17,14 +18,14 @@ def _cut(df: DataFrame) -> DataFrame:
 
 def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
     """(id, cluster) of every id in ``pairs`` (a, b): the smallest id that can be reached."""
-    both = _cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")))
+    both = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("c")))
     for _ in range(rounds):
         near = both.join(labels.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("c").alias("n"))
         step = labels.join(near, "a").select("a", F.least("c", "n").alias("c"))
         # pointer jumping: take the label of the label
         jump = step.alias("s").join(step.select(F.col("a").alias("c"), F.col("c").alias("up")), "c").select("a", F.least("c", "up").alias("c"))
-        new = _cut(jump)
+        new = cut(jump)
         done = new.join(labels.withColumnRenamed("c", "old"), "a").where("c <> old").limit(1).count() == 0
         labels = new
         if done:

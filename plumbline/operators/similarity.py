@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -43,6 +43,53 @@ def minhash(shingle: Column, perms: int) -> Column:
     return bind(shingle, seeded)
 
 
+#: Permutations and rows a band of the reference: pairs of similarity 0.8 meet with 94.7 %, of 0.9 with 99.999 %.
+PERMS, ROWS = 128, 8
+_SEEDS = np.random.default_rng(42).integers(0, 1 << 63, PERMS, dtype=np.uint64)
+
+
+def _least(hashes: np.ndarray) -> np.ndarray:
+    least = np.full(PERMS, np.iinfo(np.uint64).max, np.uint64)
+    for lo in range(0, len(hashes), 512):
+        x = np.asarray(hashes[lo : lo + 512], np.int64).view(np.uint64)[:, None] ^ _SEEDS
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        np.minimum(least, (x ^ (x >> np.uint64(31))).min(axis=0), out=least)
+    return least.view(np.int64)
+
+
+def wide_signatures(rows: DataFrame, key: str, hashes: str) -> DataFrame:
+    """(key, sig): MinHash of PERMS permutations over each row's 64-bit shingle hashes, of which it has one at least."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame({key: b[key], "sig": [_least(h) for h in b[hashes]]})
+
+    return rows.select(key, hashes).mapInPandas(run, f"{key} long, sig array<long>")
+
+
+def _bands(sigs: DataFrame, key: str, sig: str) -> tuple[DataFrame, DataFrame]:
+    """(band, value, rep) of one row of each signature, and the links (a, b) of the others to it."""
+    reps = sigs.groupBy(sig).agg(F.min(key).alias("rep"))
+    value = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(PERMS // ROWS - 1)), lambda b: F.xxhash64(F.slice(F.col(sig), b * ROWS + 1, ROWS))))
+    same = sigs.join(reps, sig).where(F.col(key) != F.col("rep")).select(F.col("rep").alias("a"), F.col(key).alias("b"))
+    return reps.select("rep", value.alias("band", "value")), same
+
+
+def wide_pairs(sigs: DataFrame, key: str, sig: str) -> DataFrame:
+    """As ``lsh_pairs``, for signatures of ``wide_signatures``: distinct pairs that share a band."""
+    bands, same = _bands(sigs, key, sig)
+    near = bands.withColumnRenamed("rep", "a").join(bands.withColumnRenamed("rep", "b"), ["band", "value"])
+    return near.where("a < b").select("a", "b").distinct().unionByName(same)
+
+
+def wide_stars(sigs: DataFrame, key: str, sig: str) -> DataFrame:
+    """Links with the same components as ``wide_pairs``: each row of a band to the smallest, so n rows give n links."""
+    bands, same = _bands(sigs, key, sig)
+    stars = bands.join(bands.groupBy("band", "value").agg(F.min("rep").alias("a")), ["band", "value"])
+    return stars.where("a < rep").select("a", F.col("rep").alias("b")).distinct().unionByName(same)
+
+
 def lsh_pairs(sigs: DataFrame, key: str, sig: str, rows: int, perms: int) -> DataFrame:
     """Distinct pairs that share a band of ``rows`` values.
 
@@ -67,13 +114,16 @@ def lcs_similarity(a: pd.Series, b: pd.Series) -> pd.Series:
         if not n or not m or min(n, m) / max(n, m) < 0.5:
             out.append(0.0)
             continue
-        code = {t: i for i, t in enumerate(set(x) | set(y))}
-        p, q = np.array([code[t] for t in x]), np.array([code[t] for t in y])
-        row = np.zeros(m + 1, np.int64)
-        for v in p:
-            step = np.where(q == v, row[:-1] + 1, row[1:])
-            row[1:] = np.maximum.accumulate(step)
-        out.append(2.0 * int(row[-1]) / (n + m))
+        # bit-parallel (Hyyro): the zero bits of v are the places of y where the row of the table rises
+        places: dict[str, int] = {}
+        for i, token in enumerate(y):
+            places[token] = places.get(token, 0) | 1 << i
+        full = (1 << m) - 1
+        v = full
+        for token in x:
+            u = v & places.get(token, 0)
+            v = ((v + u) | (v - u)) & full
+        out.append(2.0 * (m - v.bit_count()) / (n + m))
     return pd.Series(out)
 
 

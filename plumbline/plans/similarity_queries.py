@@ -67,6 +67,39 @@ def lcs_verified_pairs(t):
     return both.select("a", "b", M.lcs_similarity("wa", "wb").alias("lcs")).where("lcs >= 0.7")
 
 
+def _document_sigs(t):
+    hashes = F.transform(M.shingles(M.tokens(F.col("text"))), lambda s: F.xxhash64(s))
+    rows = t("documents").select("doc_id", hashes.alias("h")).where(F.size("h") > 0)
+    return graph.cut(M.wide_signatures(rows, "doc_id", "h"))
+
+
+@query()
+def document_signatures(t):
+    """The reference's 128 hashes for every document that has a shingle."""
+    return _document_sigs(t)
+
+
+@query()
+def document_lsh_candidates(t):
+    """Documents that share one of 16 bands of 8 hashes; rows of one signature are linked to the smallest."""
+    return M.wide_pairs(_document_sigs(t), "doc_id", "sig")
+
+
+@query()
+def document_clusters(t):
+    """Components of ``document_lsh_candidates``."""
+    return graph.clusters(M.wide_stars(_document_sigs(t), "doc_id", "sig"))
+
+
+@query()
+def document_lcs_pairs(t):
+    """Candidates among documents, verified by their longest common subsequence."""
+    words = t("documents").select("doc_id", M.tokens(F.col("text")).alias("w"))
+    pairs = M.wide_pairs(_document_sigs(t), "doc_id", "sig")
+    both = pairs.join(words.select(F.col("doc_id").alias("a"), F.col("w").alias("wa")), "a").join(words.select(F.col("doc_id").alias("b"), F.col("w").alias("wb")), "b")
+    return both.select("a", "b", M.lcs_similarity("wa", "wb").alias("lcs")).where("lcs >= 0.7")
+
+
 COSINE = "with q as (select embedding::double[] v from embeddings where vec_id = 0), c as (select vec_id, list_cosine_similarity(embedding::double[], v) c from embeddings, q where vec_id <> 0)"
 
 
