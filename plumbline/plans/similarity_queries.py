@@ -156,6 +156,18 @@ def prefix_asof(t):
     return pages.select("page_id", F.explode(F.array_distinct(above)).alias("scope")).join(scopes, "scope").groupBy("page_id").agg(F.max_by("scope", F.length("scope")).alias("scope"))
 
 
+@query("""with s as (select distinct regexp_extract(url, '^(https?://[^/]+)', 1) scope from pages union select distinct regexp_extract(url, '^(https?://[^/]+/[^/]+)/', 1) from pages)
+select page_id, arg_max(scope, length(scope)) as scope from pages join s on scope <> '' and (url = scope or starts_with(url, scope || '/')) group by 1""")
+def prefix_asof_all(t):
+    """The deepest scope above each page, with the scopes of all pages."""
+    pages = t("pages").select("page_id", "url")
+    hosts, dirs = (pages.select(F.regexp_extract("url", p, 1).alias("scope")) for p in ("^(https?://[^/]+)", "^(https?://[^/]+/[^/]+)/"))
+    scopes = hosts.unionByName(dirs).where("scope <> ''").distinct()
+    parts = F.split("url", "/")
+    above = F.transform(F.sequence(F.lit(3), F.greatest(F.size(parts), F.lit(3))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
+    return pages.select("page_id", F.explode(F.array_distinct(above)).alias("scope")).join(scopes, "scope").groupBy("page_id").agg(F.max_by("scope", F.length("scope")).alias("scope"))
+
+
 @query("select l.label, count(*) as n, round(avg(len(e.embedding)), 2) as width, min(e.vec_id) as first_id from embeddings e join (select distinct label from embeddings) l on e.label = l.label group by 1")
 def embedding_index(t):
     e = t("embeddings")

@@ -34,3 +34,11 @@ def test_document_near_copies_against_brute_force(spark):
     assert {(smallest[d], d) for d in sets if smallest[d] != d} <= pairs
     lcs = {(r.a, r.b): r.lcs for r in QUERIES["document_lcs_pairs"](spark, SF).collect()}
     assert all(lcs[p] == 1.0 for p in pairs if texts[p[0]] == texts[p[1]])
+
+
+def test_prefix_asof_has_the_scopes_of_all_pages(spark):
+    urls = {r.page_id: r.url for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
+    scopes = {m.group(1) for u in urls.values() for p in ("(https?://[^/]+)", "(https?://[^/]+/[^/]+)/") if (m := re.match(p, u))}
+    want = {i: max((s for s in scopes if u == s or u.startswith(s + "/")), key=len) for i, u in urls.items()}
+    assert {r.page_id: r.scope for r in QUERIES["prefix_asof_all"](spark, SF).collect()} == want
+    assert {r.page_id: r.scope for r in QUERIES["prefix_asof"](spark, SF).collect()} != want
