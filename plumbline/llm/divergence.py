@@ -144,12 +144,13 @@ def distances(measured: DataFrame, refs: dict[str, tuple[list[float], dict[str,
     return measured.withColumns({"char_distance": nearest(chars), "word_distance": nearest(words)})
 
 
-def quality(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.3, min_chars: int = 200, min_words: int = 150, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
+def quality(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.2, min_chars: int = 200, min_words: int = 40, word_noise: float = 1.0, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
     """Base figures, distances and verdict of every row.
 
     ``base_failed``: under 20 words, or over 30 % of the words in repeated windows.
     ``kept`` is false if the base failed, or if a distance to the nearest language
-    reference is over its limit; texts below ``min_chars`` or ``min_words`` are not
+    reference is over its limit, which for words is ``word_limit`` plus ``word_noise`` / sqrt(n_words), as short
+    texts are farther from any reference by chance; texts below ``min_chars`` or ``min_words`` are not
     judged by that histogram, nor are rows of a language without a reference. Null and empty texts
     have no words and fail the base. Null languages join no reference. Ties between
     references do not matter. Rows that repeat are judged alike; an empty table gives
@@ -160,6 +161,6 @@ def quality(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.3,
     judged = distances(rows, refs)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     total = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    far = F.coalesce((total >= min_chars) & (F.col("char_distance") > char_limit), F.lit(False)) | F.coalesce((F.col("n_words") >= min_words) & (F.col("word_distance") > word_limit), F.lit(False))
+    far = F.coalesce((total >= min_chars) & (F.col("char_distance") > char_limit), F.lit(False)) | F.coalesce((F.col("n_words") >= min_words) & (F.col("word_distance") > word_limit + word_noise / F.sqrt("n_words")), F.lit(False))
     far &= F.col("lang").isNull() | F.col("lang").isin(sorted(refs))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))

@@ -203,6 +203,16 @@ def test_symbols_are_rejected_and_prose_stays(docs):
             assert not r.kept
 
 
+def test_short_junk_is_rejected_and_short_prose_stays(spark):
+    common, rng = divergence.COMMON_WORDS["en"], __import__("random").Random(4)
+    prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else "w" + "".join(rng.choices("aeinorst", k=6)) for _ in range(n))
+    junk = lambda n: " ".join("".join(rng.choices("aeinorst", k=7)) for _ in range(n))
+    texts = [prose(400) for _ in range(60)] + [prose(n) for n in (45, 60, 90, 140)] + [junk(n) for n in (45, 60, 90, 140)]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in divergence.quality(rows).collect()}
+    assert [got[i].kept for i in range(68)] == [True] * 64 + [False] * 4 and not any(r.base_failed for r in got.values())
+
+
 def test_shards(spark, docs, odd):
     got = slots.shard(docs, 16).toPandas()
     size = got.groupby("shard")["size"].sum()
