@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 
 def tokens(text: Column) -> Column:
@@ -134,6 +135,44 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when((F.size(a) != F.size(b)) | (norm == 0), 0.0).otherwise(dot(a, b) / norm)
 
 
+def block_cosines(rows: DataFrame, queries: DataFrame, top: int, low: float, high: float, block: int = 4096) -> tuple[DataFrame, DataFrame]:
+    """(query_id, vec_id, c) of the ``top`` nearest rows, and (query_id, in_band) with ``low`` <= c < ``high``, of every query.
+
+    Both tables have vec_id and v; a query does not meet its own id. Cosines count to 12 places; ties go by id.
+    """
+    cut = lambda df: df.count() // block + 1
+    nr, nq = cut(rows), cut(queries)
+    part = lambda n, seed: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    both = rows.select("vec_id", "v", part(nr, 1).alias("i"), every(nq).alias("j"), F.lit(False).alias("asks")).unionByName(queries.select("vec_id", "v", every(nr).alias("i"), part(nq, 2).alias("j"), F.lit(True).alias("asks")))
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("vec_id")
+        vectors = [np.asarray(v if v is not None else [], float) for v in group["v"]]
+        size = np.array([len(v) for v in vectors])
+        flat = np.zeros((len(vectors), size.max()))
+        for row, v in zip(flat, vectors, strict=True):
+            row[: len(v)] = v
+        norm = np.sqrt((flat**2).sum(axis=1))
+        flat /= np.where(norm > 0, norm, 1)[:, None]
+        ids, asks = group["vec_id"].to_numpy(), group["asks"].to_numpy()
+        at = np.flatnonzero(~asks)
+        out = []
+        for q in np.flatnonzero(asks) if len(at) else ():
+            c = np.round(np.where(size[at] == size[q], flat[at] @ flat[q], 0.0), 12)
+            other = ids[at] != ids[q]
+            c, near = c[other], ids[at][other]
+            best = np.flatnonzero(c >= np.partition(c, -top)[-top]) if len(c) > top else np.arange(len(c))
+            best = best[np.argsort(-c[best], kind="stable")][:top]
+            out.append((ids[q], near[best], c[best], int(((c >= low) & (c < high)).sum())))
+        return pd.DataFrame(out, columns=["query_id", "ids", "cs", "n"])
+
+    found = both.groupBy("i", "j").applyInPandas(meet, "query_id long, ids array<long>, cs array<double>, n long")
+    pairs = found.select("query_id", F.explode(F.arrays_zip("ids", "cs")).alias("p")).select("query_id", F.col("p.ids").alias("vec_id"), F.col("p.cs").alias("c"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("c"), "vec_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= top).drop("rank"), found.groupBy("query_id").agg(F.sum("n").alias("in_band"))
+
+
 def containment(part: Column, whole: Column) -> Column:
     """Share of the shingles of ``part`` that ``whole`` has."""
     return F.when(F.size(part) == 0, 0.0).otherwise(F.size(F.array_intersect(part, whole)) / F.size(part))

@@ -120,6 +120,25 @@ def cosine_band(t):
     return _cosines(t).where("c >= 0.72 and c < 0.9").agg(F.count("*").alias("in_band"))
 
 
+EVERY_20 = "with e as (select vec_id, embedding::double[] v from embeddings), c as (select q.vec_id query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 12) c from e, e q where q.vec_id % 20 = 0 and e.vec_id <> q.vec_id)"
+
+
+def _all_cosines(t):
+    rows = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    return M.block_cosines(rows, rows.where("vec_id % 20 = 0"), 20, 0.72, 0.9)
+
+
+@query(EVERY_20 + " select query_id, vec_id, round(c, 3) as cosine from c qualify row_number() over (partition by query_id order by c desc, vec_id) <= 20")
+def cosine_topk_all(t):
+    """The 20 nearest rows of every row whose id is divisible by 20."""
+    return _all_cosines(t)[0].select("query_id", "vec_id", F.round("c", 3).alias("cosine"))
+
+
+@query(EVERY_20 + " select query_id, count(*) filter (c >= 0.72 and c < 0.9) as in_band from c group by 1")
+def cosine_band_all(t):
+    return _all_cosines(t)[1]
+
+
 @query("select doc_id, len(regexp_extract_all(text, '[a-z0-9.]+@[a-z0-9.]+'))::bigint as mails, len(regexp_extract_all(text, '[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}\\.[0-9]{1,3}'))::bigint as ips, md5(regexp_replace(text, '[a-z0-9.]+@[a-z0-9.]+', '[mail]', 'g')) as masked_md5 from documents")
 def secret_mask_counts(t):
     mail, ip = "[a-z0-9.]+@[a-z0-9.]+", r"[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}"

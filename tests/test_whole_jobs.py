@@ -42,3 +42,24 @@ def test_prefix_asof_has_the_scopes_of_all_pages(spark):
     want = {i: max((s for s in scopes if u == s or u.startswith(s + "/")), key=len) for i, u in urls.items()}
     assert {r.page_id: r.scope for r in QUERIES["prefix_asof_all"](spark, SF).collect()} == want
     assert {r.page_id: r.scope for r in QUERIES["prefix_asof"](spark, SF).collect()} != want
+
+
+def test_vector_search_in_blocks_against_brute_force(spark):
+    rng = random.Random(2)
+    vectors = {i: [float(rng.randrange(-2, 3)) for _ in range(4)] for i in range(90)} | {90: [], 91: [1.0], 92: None}
+    rows = spark.createDataFrame(list(vectors.items()), "vec_id long, v array<double>")
+    top, band = similarity.block_cosines(rows, rows.where("vec_id % 20 = 0"), 20, 0.72, 0.9, block=30)
+
+    def cosine(x, y):
+        x, y = x or [], y or []
+        norm = sum(a * a for a in x) ** 0.5 * sum(b * b for b in y) ** 0.5
+        return round(sum(a * b for a, b in zip(x, y)) / norm, 12) + 0.0 if len(x) == len(y) and norm else 0.0
+
+    got, counts = {}, {r.query_id: r.in_band for r in band.collect()}
+    for r in sorted(top.collect(), key=lambda r: (r.query_id, -round(r.c, 9), r.vec_id)):
+        got.setdefault(r.query_id, []).append((round(r.c, 9) + 0.0, r.vec_id))
+    assert set(got) == set(counts) == {0, 20, 40, 60, 80}
+    for q in got:
+        c = {i: cosine(vectors[q], v) for i, v in vectors.items() if i != q}
+        assert got[q] == [(round(c[i], 9) + 0.0, i) for i in sorted(c, key=lambda i: (-c[i], i))[:20]]
+        assert counts[q] == sum(0.72 <= x < 0.9 for x in c.values())
