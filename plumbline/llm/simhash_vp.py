@@ -308,10 +308,15 @@ WIDE_SHARD_ROWS = 262_144
 #: Bits of one word that candidates may differ in: far over what pairs of 0.8 do.
 WORD_LIMIT = 20
 _WORDS = [f"w{k}" for k in range(WIDE)]
+#: Shingle sets smaller than this get all their links by prefixes besides; their wide fingerprints are too coarse.
+SHORT = 30
 
 
-def wide_fingerprints(docs: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
-    """(doc_id, w0 .. w3): SimHash over the distinct shingles, once for each of WIDE hash functions."""
+def wide_fingerprints(docs: DataFrame, shingle: int, text: str, key: str, longest: int = 0) -> DataFrame:
+    """(doc_id, w0 .. w3, short): SimHash over the distinct shingles, once for each of WIDE hash functions.
+
+    ``short`` is the set of shingle hashes of a text with 1 to ``longest`` of them, else null.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         last: dict[str | None, list[int]] = {}
@@ -321,12 +326,56 @@ def wide_fingerprints(docs: DataFrame, shingle: int, text: str, key: str) -> Dat
                 if len(last) > 2048:
                     last.clear()
                 h = np.unique(shingle_hashes(t, shingle))
-                last[t] = [majority(remix(h, k)) for k in range(WIDE)]
+                last[t] = [majority(remix(h, k)) for k in range(WIDE)], h.view(np.int64) if 0 < len(h) <= longest else None
             out.append(last[t])
-        words = np.array(out, np.int64).reshape(-1, WIDE)
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, k]) for k in range(WIDE))], ["doc_id", *_WORDS])
+        words = np.array([w for w, _ in out], np.int64).reshape(-1, WIDE)
+        short = pa.array([h for _, h in out], pa.list_(pa.int64()))
+        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, k]) for k in range(WIDE)), short], ["doc_id", *_WORDS, "short"])
+
+    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)), run, "doc_id long, " + ", ".join(f"{w} long" for w in _WORDS) + ", short array<long>")
+
+
+def short_links(points: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b), a < b, that connect all pairs of ``points`` (rep, short) with a Jaccard similarity of ``similarity``.
 
-    return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)), run, "doc_id long, " + ", ".join(f"{w} long" for w in _WORDS))
+    Such a pair shares one of the first n - ceil(similarity * n) + 1 hashes of each of its sets, in any one order:
+    here the rarer first, so that few sets meet. Where they meet, a search over exact similarities gives a spanning forest.
+    """
+    # at most 1,000 times the size of a set, whatever the input
+    seen = points.select(F.explode("short").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= max(50, points.count() // 1000)).collect()
+    often = {r.h: r.n for r in seen}
+
+    def deal(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = batch.column("short").to_pylist()
+        first = [sorted(x, key=lambda h: (often.get(h, 0), h))[: len(x) - int(np.ceil(similarity * len(x) - 1e-9)) + 1] for x in sets]
+        out = batch.take(pa.array(np.repeat(np.arange(len(sets)), [len(x) for x in first])))
+        return pa.RecordBatch.from_arrays([pa.array([h for x in first for h in x], pa.int64()), out.column("rep"), out.column("short")], ["h", "rep", "short"])
+
+    def link(key: tuple, group: pa.Table) -> pa.Table:
+        rep, sets = group.column("rep").to_numpy(), group.column("short").to_pylist()
+        size = np.array([len(x) for x in sets])
+        row = np.repeat(np.arange(len(sets)), size)
+        code = np.unique(np.concatenate([np.array(x, np.int64) for x in sets]), return_inverse=True)[1]
+        starts = np.concatenate(([0], np.cumsum(size)))
+        left, a, b = np.ones(len(sets), bool), [], []
+        for start in range(len(sets)):
+            todo = [start] if left[start] else []
+            left[start] = False
+            while todo:
+                at = todo.pop()
+                own = np.zeros(code.max() + 1, bool)
+                own[code[starts[at] : starts[at + 1]]] = True
+                shared = np.bincount(row[own[code]], minlength=len(sets))
+                near = np.flatnonzero(left & (shared >= similarity * (size[at] + size - shared) - 1e-9))
+                left[near] = False
+                todo += near.tolist()
+                a += [rep[at]] * len(near)
+                b += rep[near].tolist()
+        a, b = np.array(a, np.int64), np.array(b, np.int64)
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    dealt = map_batches(points.select("rep", "short"), deal, "h long, rep long, short array<long>")
+    return dealt.groupBy("h").applyInArrow(link, "a long, b long").where("a < b").distinct()
 
 
 def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, label: np.ndarray | None = None, nearest: int | None = None, limits: tuple[int, ...] = LIMITS, seed: int = 7) -> np.ndarray:
@@ -486,19 +535,22 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text
 
     Candidates come from vantage-point trees over wide fingerprints; each edge is then
     verified by the exact Jaccard similarity. ``component_id`` is the smallest key that can be reached over
-    verified edges. A pair of just 0.8 is a candidate with a probability of about 0.99 by calculation; the closer, the surer.
+    verified edges. Pairs with a set of under SHORT shingles are all found, by prefixes.
+    Of the others, a pair of just 0.8 is a candidate with a probability of about 0.99 by simulation; the closer, the surer.
     Every candidate pair is verified, or its two texts are connected by verified edges already.
     Null, empty and wordless texts form one group; texts of one shingle set are one group. Rows
     with a null key take the component of their text (null if no other row has the text). Rows that
     repeat a key should repeat the text too; they stay. Other columns are ignored. An empty table gives an empty
     result.
     """
-    prints = materialise(wide_fingerprints(docs, shingle, text, key))
-    counts = materialise(prints.groupBy(*_WORDS).agg(F.count("*").alias("n"), F.min("doc_id").alias("rep")))
-    points = counts.where("rep is not null").drop("n")
+    longest = int((SHORT - 1) / similarity + 1e-9)  # partners of the largest short set
+    prints = materialise(wide_fingerprints(docs, shingle, text, key, longest))
+    counts = materialise(prints.groupBy(*_WORDS).agg(F.count("*").alias("n"), F.min("doc_id").alias("rep"), F.min("short").alias("short")))
+    prints, points = prints.drop("short"), counts.where("rep is not null").select(*_WORDS, "rep")
+    short = short_links(counts.where("rep is not null and short is not null").select("rep", "short"), similarity)
     candidates = materialise(wide_links(points))
     edges = candidates.where("a < b")
-    sure = materialise(verified(edges, docs, similarity, shingle, text, key))
+    sure = materialise(verified(edges, docs, similarity, shingle, text, key).unionByName(short).distinct())
     found = materialise(components(sure))
     for nearest in (NEAREST, None):  # the closest pairs first: they settle most groups, and few pairs remain for the last pass
         left = materialise(unsettled(points, candidates, found))

@@ -448,3 +448,11 @@ def test_near_copies_of_unsettled_groups():
     assert all(label[a] != label[b] for a, b in pairs)
     near = simhash_vp.link_wide(words, home, 0, mask, label, 2)
     assert np.bincount(near[:, 0]).max() == 2
+
+
+def test_near_copies_of_short_texts(spark):
+    """Eight words and the same with one more: Jaccard 0.8, of which trees alone find about three in four."""
+    texts = [[f"w{i}x{k}" for k in range(8)] for i in range(60)]
+    rows = [(2 * i + j, " ".join(w + ["more"] * j)) for i, w in enumerate(texts) for j in (0, 1)]
+    got = {r.doc_id: r.component_id for r in simhash_vp.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: d - d % 2 for d, _ in rows}
