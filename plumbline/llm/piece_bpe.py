@@ -20,18 +20,22 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable
+import sys
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Kept units for each Python worker, after which the table starts anew.
-KEPT_UNITS = 400_000
+#: Bytes of kept units for each Python worker, about, after which the table starts anew.
+KEPT_BYTES = 24 << 20
+#: Texts, and characters of texts, that are spread into units at once.
+PART_TEXTS, PART_CHARS = 256, 1 << 20
 #: Characters of new units that are merged at once.
 CHUNK_CHARS = 1_000_000
 
@@ -255,6 +259,7 @@ class Encoder:
     def __init__(self, model: PieceModel) -> None:
         self.model = model
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.kept_bytes = 0
         #: What each id alone decodes to; bytes from 0x80 on depend on their neighbours.
         self.plain = [chr(model.bytes_of[i]) if model.bytes_of.get(i, 0x80) < 0x80 else p.replace(SPACE, " ") for i, p in enumerate(model.piece)]
         self.plain_len = np.array([len(p) for p in self.plain])
@@ -294,9 +299,6 @@ class Encoder:
         """Token counts (with the end id), the ids in decimal, the decoded texts."""
         docs = [self.units(t or "") for t in texts]
         fresh = list(dict.fromkeys(u for d in docs for u in d if u not in self.known))
-        if len(self.known) + len(fresh) > KEPT_UNITS and self.known:
-            self.known.clear()
-            fresh = list(dict.fromkeys(u for d in docs for u in d))
         self.learn(fresh)
         known, end = self.known, str(self.model.end_id)
         counts, ids, decoded = [], [], []
@@ -305,6 +307,11 @@ class Encoder:
             counts.append(sum(n) + 1)
             ids.append("".join(numbers) + end)
             decoded.append("".join(words)[1:])
+        # a unit's strings in two copies, its numbers, and some 330 bytes of objects
+        self.kept_bytes += sum(330 + 2 * sys.getsizeof(u) + len(known[u][1]) for u in fresh)
+        if self.kept_bytes > KEPT_BYTES:
+            known.clear()
+            self.kept_bytes = 0
         return counts, ids, decoded
 
 
@@ -321,6 +328,19 @@ def _encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+def parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most PART_TEXTS rows and PART_CHARS bytes of text; a longer text is alone."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    lo, size = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if i > lo and (i - lo >= PART_TEXTS or size + n > PART_CHARS):
+            yield batch.slice(lo, i - lo)
+            lo, size = i, 0
+        size += n
+    if batch.num_rows > lo:
+        yield batch.slice(lo)
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), full: bool = True) -> DataFrame:
     """Encode and decode column ``text`` of every row.
 
@@ -334,12 +354,10 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
     schema += ", n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids string, decoded string" * full
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(model)
         for batch in batches:
-            step, n = 256, batch.num_rows
-            for lo in range(0, n, step):  # a bounded number of texts is spread into units at once
-                part = batch.slice(lo, step)
+            for part in parts(batch, len(keep)):
                 counts, ids, decoded = encoder.batch(part.column(len(keep)).to_pylist())
                 cols = [*part.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(map(_sha, ids), pa.string()), pa.array(map(_sha, decoded), pa.string())]
                 cols += [pa.array(ids, pa.string()), pa.array(decoded, pa.string())] if full else []

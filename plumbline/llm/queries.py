@@ -45,7 +45,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxic_neighbours.fit(docs, labels.where(~held_out("doc_id", 5, 0)))
     out = toxic_neighbours.score(docs, model)
-    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted", "evidence")
+    return out.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", "predicted", F.to_json("evidence").alias("evidence"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -86,14 +86,13 @@ def fingerprints(docs: DataFrame, shingle: int = 4, text: str = "text", key: str
     """(doc_id, fp) of every row; null and wordless texts have fingerprint zero."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        last: dict[str | None, int] = {}
+        last: dict[bytes, int] = {}
         out = []
         for t in batch.column(1).to_pylist():
-            if t not in last:
-                if len(last) > 2048:
-                    last.clear()
-                last[t] = text_fingerprint(t, shingle)
-            out.append(last[t])
+            own = xxhash.xxh3_128_digest(t or "")
+            if own not in last:
+                last[own] = text_fingerprint(t, shingle)
+            out.append(last[own])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.int64())], ["doc_id", "fp"])
 
     return map_batches(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text)), run, "doc_id long, fp long")
@@ -319,15 +318,14 @@ def wide_fingerprints(docs: DataFrame, shingle: int, text: str, key: str, longes
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        last: dict[str | None, list[int]] = {}
+        last: dict[bytes, tuple] = {}
         out = []
         for t in batch.column(1).to_pylist():
-            if t not in last:
-                if len(last) > 2048:
-                    last.clear()
+            own = xxhash.xxh3_128_digest(t or "")
+            if own not in last:
                 h = np.unique(shingle_hashes(t, shingle))
-                last[t] = [majority(remix(h, k)) for k in range(WIDE)], h.view(np.int64) if 0 < len(h) <= longest else None
-            out.append(last[t])
+                last[own] = [majority(remix(h, k)) for k in range(WIDE)], h.view(np.int64) if 0 < len(h) <= longest else None
+            out.append(last[own])
         words = np.array([w for w, _ in out], np.int64).reshape(-1, WIDE)
         short = pa.array([h for _, h in out], pa.list_(pa.int64()))
         return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(words[:, k]) for k in range(WIDE)), short], ["doc_id", *_WORDS, "short"])

@@ -1,12 +1,17 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-The examples are a bounded sample of the labelled rows. Terms that set the classes
-apart (G-test) span the vector space. An inverted index keeps, for each term and
-block of examples, the largest weight: the sum over a query's terms bounds every cosine of a
-block, so blocks are scored from the highest bound on and the search stops, exactly,
-when no block can reach the k-th best. Distance-weighted votes of the neighbours,
-weighted back to the classes' true shares, are calibrated by isotonic regression on
-leave-one-out votes.
+The examples are a bounded sample of the labelled rows, near copies collapsed. Every
+term of theirs is in the vocabulary, so every text has neighbours of either class. A term
+weighs tf * idf, times SEPARATING where a G-test (at a level for the whole vocabulary)
+says that it sets the classes apart: plain TF-IDF lets thousands of chance words outvote
+a few telling ones (figures in the README).
+
+The inverted index has two parts. Postings of the rarer terms are added up in full. Of the
+frequent terms a matrix is kept in blocks of like examples, with the largest weight of each
+term in each block; the sum over a query's terms, with the best of the rarer terms' scores,
+bounds every cosine of a block. Blocks are opened from the highest bound on until no bound
+reaches the k-th best: exact. Distance-weighted votes of the neighbours, weighted back to
+the classes' true shares, are calibrated by isotonic regression on leave-one-out votes.
 """
 
 from __future__ import annotations
@@ -24,9 +29,12 @@ from plumbline.llm.common import map_batches
 
 #: Labelled rows of each class that are learned from, at most (by hash of doc_id).
 EXAMPLES = 2_000
-#: G statistic that a term needs, the fewest examples with it, and the largest share of examples.
-MIN_G, MIN_DF, MAX_DF = 15.0, 3, 0.4
-BLOCK = 64
+#: Weight of a term that sets the classes apart, against others.
+SEPARATING = 30.0
+#: Examples of one class with this Jaccard similarity of their term sets count once.
+SAME = 0.8
+#: Frequent terms that are kept as a matrix; examples of a block; texts that are scored at once.
+DENSE, BLOCK, CHUNK = 512, 64, 256
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -38,87 +46,159 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return np.where(x > 0, x * np.log(np.maximum(x, 1e-300)), 0.0)
 
 
+def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The indices starts[0] .. starts[0] + counts[0] - 1, starts[1] .. and so on."""
+    ends = np.cumsum(counts)
+    return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
+
+
+def distinct_examples(bags: list[dict[str, int]], labels: list[int]) -> list[int]:
+    """The examples left when later near copies of one class go; candidates share 4 of their 16 least term hashes."""
+    import xxhash
+
+    kept, seen = [], {}
+    for i, (bag, label) in enumerate(zip(bags, labels, strict=True)):
+        least = sorted(map(xxhash.xxh3_64_intdigest, bag))[:16]
+        shared = Counter(j for h in least for j in seen.get((label, h), ()))
+        near = [j for j, s in shared.items() if s >= min(4, len(least))]
+        own = bag.keys()
+        if any((s := len(own & bags[j].keys())) >= SAME * (len(own) + len(bags[j]) - s) for j in near) or not bag and (label, None) in seen:
+            continue
+        kept.append(i)
+        for h in least or [None]:
+            seen.setdefault((label, h), []).append(i)
+    return kept
+
+
+def _alike(x: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """Rows cut in halves along the direction of largest spread, down to blocks."""
+    if len(rows) <= BLOCK:
+        return [rows]
+    own = x[rows] - x[rows].mean(0)
+    v = own[np.abs(own).sum(1).argmax()] + 1e-9
+    for _ in range(8):
+        v = own.T @ (own @ v)
+        v /= max(float(np.linalg.norm(v)), 1e-12)
+    order = rows[np.argsort(own @ v, kind="stable")]
+    half = -(-len(rows) // (2 * BLOCK)) * BLOCK
+    return _alike(x, order[:half]) + _alike(x, order[half:])
+
+
 class Neighbours:
     """The model: vocabulary, block-max index, calibration."""
 
-    def __init__(self, bags: list[dict[str, int]], labels: list[int], shares: tuple[float, float], k: int = 15) -> None:
-        y = np.array(labels, np.int64)
-        self.k, n = k, len(y)
-        n1 = int(y.sum())
+    def __init__(self, bags: list[dict[str, int]], labels: list[int], shares: tuple[float, float], keys: list | None = None, k: int = 15) -> None:
+        keep = distinct_examples(bags, labels)
+        bags, y = [bags[i] for i in keep], np.array([labels[i] for i in keep], np.int64)
+        keys = [keys[i] if keys else i for i in keep]
+        self.k, n, n1 = k, len(y), int(y.sum())
+        self.prior = float(shares[1] / max(sum(shares), 1e-12))
         weight = np.array([shares[0] / max(1, n - n1), shares[1] / max(1, n1)])
         weight /= max(weight.sum(), 1e-12)
-        df = [Counter(), Counter()]
-        for bag, label in zip(bags, labels, strict=True):
-            df[label].update(bag.keys())
-        names = sorted(t for t in df[0].keys() | df[1].keys() if MIN_DF <= df[0][t] + df[1][t] <= MAX_DF * n)
-        b, a = (np.array([d[t] for t in names], float) for d in df)
+        df = Counter(t for bag in bags for t in bag)
+        toxic = Counter(t for bag, label in zip(bags, y, strict=True) if label for t in bag)
+        names = sorted(df)
+        a, b = (np.array([c[t] for t in names], float) for c in (toxic, df))
+        b -= a
         cells = [a, b, n1 - a, n - n1 - b]
         g = 2 * (sum(map(_xlogx, cells)) - _xlogx(a + b) - _xlogx(n - a - b) - _xlogx(np.array(float(n1))) - _xlogx(np.array(float(n - n1))) + _xlogx(np.array(float(n))))
-        kept = np.flatnonzero(g >= MIN_G) if len(names) else []
-        self.vocab = {names[j]: i for i, j in enumerate(kept)}
-        self.idf = np.array([math.log((1 + n) / (1 + a[j] + b[j])) + 1 for j in kept])
-        rows = [self.vector({t: c for t, c in bag.items() if t in self.vocab}) for bag in bags]
-        order = sorted((i for i in range(n) if rows[i][0]), key=lambda i: (rows[i][0], i))  # like beside like
-        self.y, self.w = y[order], weight[y[order]]
-        postings: dict[int, list[tuple[int, float]]] = {}
-        for at, i in enumerate(order):
-            for t, x in zip(*rows[i], strict=True):
-                postings.setdefault(t, []).append((at, x))
-        self.blocks = -(-len(order) // BLOCK)
-        self.post, self.top = {}, {}
-        for t, p in postings.items():
-            ids, xs = np.array([q[0] for q in p]), np.array([q[1] for q in p])
-            top = np.zeros(self.blocks)
-            np.maximum.at(top, ids // BLOCK, xs)
-            self.post[t], self.top[t] = (ids, xs, np.searchsorted(ids, np.arange(self.blocks + 1) * BLOCK)), top
-        self.prior = float(shares[1] / max(sum(shares), 1e-12))
-        # calibration: each example by the others; texts without a term form their own bin
-        votes = np.array([self.vote(rows[i], skip=at)[0] for at, i in enumerate(order)])
-        blank = [i for i in range(n) if not rows[i][0]]
-        wb = weight[y[blank]] if blank else np.zeros(0)
-        self.blank = float((wb * y[blank]).sum() / wb.sum()) if len(blank) else self.prior
+        self.separating = g > 2 * math.log(100 * max(1, len(names)))
+        self.vocab = {t: i for i, t in enumerate(names)}
+        self.idf = (np.log((1 + n) / (1 + a + b)) + 1) * np.where(self.separating, SEPARATING, 1.0)
+        frequent = np.argsort(-(a + b), kind="stable")[:DENSE]
+        self.column = np.full(len(names), -1, np.int64)
+        self.column[frequent] = np.arange(len(frequent))
+        rows, ids, xs = self.vectors(bags)
+        dense = self._dense(rows, ids, xs, n)
+        blocks = _alike(dense, np.arange(n)) if n else []
+        order = np.concatenate(blocks) if blocks else np.empty(0, np.int64)
+        self.cuts = np.cumsum([0, *(len(b) for b in blocks)])
+        self.y, self.w, self.keys = y[order], weight[y[order]], [keys[i] for i in order]
+        self.dense = dense[order]
+        self.top = np.stack([self.dense[lo:hi].max(0) for lo, hi in zip(self.cuts, self.cuts[1:], strict=False)]) if n else np.zeros((0, dense.shape[1]))
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        rare = self.column[ids] < 0
+        by_term = np.lexsort((place[rows[rare]], ids[rare]))
+        self.post, self.post_x = place[rows[rare]][by_term], xs[rare][by_term]
+        self.post_at = np.searchsorted(ids[rare][by_term], np.arange(len(names) + 1))
+        self.opened = self.blocks_seen = 0
+        votes = np.concatenate([self.votes(*self.nearest([bags[i] for i in order[lo : lo + CHUNK]], np.arange(lo, min(n, lo + CHUNK)))) for lo in range(0, n, CHUNK)]) if n else np.zeros(0)
         self.steps, self.values = _isotonic(votes, self.y.astype(float), self.w)
 
-    def vector(self, bag: dict[str, int]) -> tuple[tuple[int, ...], tuple[float, ...]]:
-        """Unit TF-IDF vector of the known terms: (ids, weights)."""
-        if not bag:
-            return (), ()
-        pairs = sorted((self.vocab[t], (1 + math.log(c)) * self.idf[self.vocab[t]]) for t, c in bag.items())
-        norm = math.sqrt(sum(x * x for _, x in pairs))
-        return tuple(i for i, _ in pairs), tuple(float(x / norm) for _, x in pairs)
-
-    def nearest(self, query: tuple[tuple[int, ...], tuple[float, ...]], k: int, skip: int = -1) -> list[tuple[float, int]]:
-        """The k examples of largest cosine above zero; ties to the first in the index."""
-        bound = np.zeros(self.blocks)
-        for t, x in zip(*query, strict=True):
-            if t in self.top:
-                bound += x * self.top[t]
-        best: list[tuple[float, int]] = []
-        for block in np.argsort(-bound, kind="stable"):
-            if bound[block] <= 0 or len(best) == k and bound[block] < best[-1][0] - 1e-12:
+    def vectors(self, bags: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit vectors of known terms as (row, term, weight), sorted by row and term."""
+        known = self.vocab
+        ids = [sorted((known[t], c) for t, c in bag.items() if t in known) for bag in bags]
+        sizes = np.array([len(i) for i in ids], np.int64)
+        flat = np.array([p for i in ids for p in i], np.int64).reshape(-1, 2)
+        rows = np.repeat(np.arange(len(bags)), sizes)
+        xs = (1 + np.log(flat[:, 1])) * self.idf[flat[:, 0]]
+        norm = np.sqrt(np.bincount(rows, xs * xs, len(bags)))
+        return rows, flat[:, 0], xs / norm[rows] if len(rows) else xs
+
+    def _dense(self, rows: np.ndarray, ids: np.ndarray, xs: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros((n, int((self.column >= 0).sum())))
+        own = self.column[ids] >= 0
+        out[rows[own], self.column[ids[own]]] = xs[own]
+        return out
+
+    def nearest(self, bags: list[dict[str, int]], skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(cosines, examples), k columns each, of the examples of largest cosine; ties to the first in the index.
+
+        Places behind the last example with a cosine above zero have cosine 0.
+        """
+        n, m, k = len(self.y), len(bags), min(self.k, len(self.y))
+        if not n or not m:
+            return np.zeros((m, 0)), np.zeros((m, 0), np.int64)
+        rows, ids, xs = self.vectors(bags)
+        query = self._dense(rows, ids, xs, m)
+        rare = self.column[ids] < 0
+        count = self.post_at[ids[rare] + 1] - self.post_at[ids[rare]]
+        at = _spread(self.post_at[ids[rare]], count)
+        partial = np.bincount(np.repeat(rows[rare], count) * n + self.post[at], np.repeat(xs[rare], count) * self.post_x[at], m * n).reshape(m, n)
+        if skip is not None:
+            partial[np.arange(m), skip] = -np.inf
+        bound = np.maximum.reduceat(partial, self.cuts[:-1], axis=1) + query @ self.top.T + 1e-9
+        found = np.full((m, n), -np.inf)
+        todo = np.argsort(-bound, axis=1, kind="stable")
+        kth, done, step = np.full(m, 0.0), 0, 4
+        while done < todo.shape[1]:
+            part = todo[:, done : done + step]
+            wanted = np.take_along_axis(bound, part, 1) >= np.maximum(kth, 1e-12)[:, None]
+            if not wanted.any():
                 break
-            score = np.zeros(BLOCK)
-            for t, x in zip(*query, strict=True):
-                if t in self.post:
-                    ids, xs, cut = self.post[t]
-                    lo, hi = cut[block], cut[block + 1]
-                    score[ids[lo:hi] - block * BLOCK] += x * xs[lo:hi]
-            found = [(float(score[i]), int(block * BLOCK + i)) for i in np.flatnonzero(score > 0)]
-            best = sorted([*best, *(f for f in found if f[1] != skip)], key=lambda f: (-f[0], f[1]))[:k]
-        return best
-
-    def vote(self, query: tuple[tuple[int, ...], tuple[float, ...]], skip: int = -1) -> tuple[float, list[tuple[float, int]]]:
-        near = self.nearest(query, self.k, skip)
-        total = sum(s * self.w[i] for s, i in near)
-        # the prior counts as one faint neighbour
-        faint = 0.05 * float(self.w.mean()) if len(self.w) else 1.0
-        return (sum(s * self.w[i] * self.y[i] for s, i in near) + faint * self.prior) / (total + faint), near
-
-    def score(self, query: tuple[tuple[int, ...], tuple[float, ...]]) -> float:
-        if not query[0]:
-            return self.blank
-        v = self.vote(query)[0]
-        return float(np.interp(v, self.steps, self.values)) if len(self.steps) else v
+            for block in np.unique(part[wanted]).tolist():
+                lo, hi = self.cuts[block], self.cuts[block + 1]
+                own = np.flatnonzero((wanted & (part == block)).any(1))
+                found[own, lo:hi] = partial[own, lo:hi] + query[own] @ self.dense[lo:hi].T
+            self.opened += int(wanted.sum())
+            kth = np.partition(found, n - k, axis=1)[:, n - k]
+            done, step = done + step, 2 * step
+        self.blocks_seen += m * todo.shape[1]
+        found = np.round(found, 9)
+        near = np.argpartition(-found, k - 1, axis=1)[:, :k]
+        # all that tie with the last place are weighed, so that the first in the index win
+        last = np.take_along_axis(found, near, 1).min(1)
+        for i in np.flatnonzero((found == last[:, None]).sum(1) > 1):
+            near[i] = np.lexsort((np.arange(n), -found[i]))[:k]
+        score = np.take_along_axis(found, near, 1)
+        order = np.lexsort((near, -score), axis=1)
+        score, near = np.take_along_axis(score, order, 1), np.take_along_axis(near, order, 1)
+        return np.maximum(score, 0.0), near
+
+    def votes(self, cosines: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Share of toxic neighbours, by cosine and class weight; the prior counts as one faint neighbour."""
+        s = cosines * self.w[near]
+        faint = 0.01 * float(self.w.mean()) if len(self.w) else 1.0
+        return ((s * self.y[near]).sum(1) + faint * self.prior) / (s.sum(1) + faint)
+
+    def score(self, bags: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(scores, cosines, examples); texts without a neighbour have the share of toxic rows."""
+        cosines, near = self.nearest(bags)
+        votes = self.votes(cosines, near)
+        scores = np.interp(votes, self.steps, self.values) if len(self.steps) else votes
+        return np.where(cosines.sum(1) > 0, scores, self.prior), cosines, near
 
 
 def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,7 +223,8 @@ def _isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = 15, text: str = "text", key: str = "doc_id", label: str = "toxic") -> Neighbours:
     """Learn from ``labels`` (doc_id, toxic 0/1) of rows in ``docs``.
 
-    At most ``examples`` labelled rows of each class reach the driver, as bags of words.
+    At most ``examples`` labelled rows of each class reach the driver, as bags of words. A key with
+    two labels counts as toxic; of rows that repeat a key one is taken.
     """
     clean = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y in (0, 1)").groupBy("k").agg(F.max("y").alias("y"))
     counts = {r["y"]: r["count"] for r in clean.groupBy("y").count().collect()}
@@ -157,35 +238,27 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = 1
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(sample, "k").select(F.col("k").cast("long").alias("k"), "y", "t")
     found = map_batches(rows, bags, "k long, y int, term array<string>, n array<int>").dropDuplicates(["k"]).collect()
     found.sort(key=lambda r: r["k"])
-    return Neighbours([dict(zip(r["term"], r["n"], strict=True)) for r in found], [r["y"] for r in found], (float(counts.get(0, 0)), float(counts.get(1, 0))), k)
+    return Neighbours([dict(zip(r["term"], r["n"], strict=True)) for r in found], [r["y"] for r in found], (float(counts.get(0, 0)), float(counts.get(1, 0))), [r["k"] for r in found], k)
 
 
 def score(docs: DataFrame, model: Neighbours, text: str = "text", keep: tuple[str, ...] = ("doc_id",), evidence: int = 3) -> DataFrame:
-    """Adds ``score`` (0 to 1), ``predicted`` and ``evidence`` (terms of the text that the model knows).
+    """Adds ``score`` (0 to 1), ``predicted`` (1 from 0.5 on) and ``evidence``: key, label and cosine of the nearest examples.
 
-    Null and empty texts, and texts without a known term, have the rate of such
-    examples. Texts are taken whole; equal texts have equal scores; repeated rows stay; an empty
-    table gives an empty result. Columns that are not kept are ignored.
+    Null and empty texts, and texts without a known term, have the share of toxic rows and no evidence. Texts
+    are taken whole; equal texts have equal scores; examples of one cosine rank by their place in the
+    index; repeated rows stay; an empty table gives an empty result. Columns that are not kept are ignored.
     """
-    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int, evidence array<string>"
-    cache: dict[tuple, float] = {}
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
+    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        vocab, scores, why = model.vocab, [], []
-        known = vocab.keys()
-        for t in batch.column(len(keep)).to_pylist():
-            words = terms(t)
-            hit = known & set(words)
-            bag = dict(Counter(w for w in words if w in hit)) if hit else {}
-            query = model.vector(bag)
-            s = cache.get(query)
-            if s is None:
-                if len(cache) > 50_000:
-                    cache.clear()
-                s = cache[query] = model.score(query)
-            scores.append(s)
-            why.append(sorted(bag, key=lambda w: (-model.idf[vocab[w]], w))[:evidence])
-        cols = [*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(why, pa.list_(pa.string()))]
+        texts, scores, why = batch.column(len(keep)), [], []
+        for lo in range(0, batch.num_rows, CHUNK):
+            s, cosines, near = model.score([Counter(terms(t)) for t in texts.slice(lo, CHUNK).to_pylist()])
+            scores += s.tolist()
+            for c, e in zip(cosines[:, :evidence].tolist(), near[:, :evidence].tolist(), strict=True):
+                why.append([{"doc_id": model.keys[i], "toxic": int(model.y[i]), "cosine": x} for x, i in zip(c, e, strict=True) if x > 0])
+        cols = [*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(why, kind)]
         return pa.RecordBatch.from_arrays(cols, [*keep, "score", "predicted", "evidence"])
 
     return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema)

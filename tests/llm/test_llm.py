@@ -61,6 +61,16 @@ def test_decode_broken_bytes():
         assert model.decode(ids) == lib.decode(ids)
 
 
+def test_kept_units_are_bounded(monkeypatch):
+    monkeypatch.setattr(piece_bpe, "KEPT_BYTES", 20_000)
+    encoder = piece_bpe.Encoder(piece_bpe.PieceModel(MODEL))
+    for i in range(40):
+        encoder.batch([" ".join(f"w{i}x{j}" for j in range(20)) + " " + "long" * 500])
+        assert encoder.kept_bytes <= 20_000 and len(encoder.known) <= 60
+    batch = __import__("pyarrow").RecordBatch.from_pydict({"t": ["a" * 700_000, None, "b" * 700_000, *["c"] * 300]})
+    assert [p.num_rows for p in piece_bpe.parts(batch, 0)] == [2, 256, 45]
+
+
 def test_encode_keeps_rows(spark, odd):
     got = piece_bpe.encode(odd, MODEL).collect()
     assert len(got) == len(ODD)
@@ -280,21 +290,31 @@ def test_language(docs, odd):
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
 
 
-def test_neighbours_are_exact():
-    rng = random.Random(6)
-    words = [f"w{i}" for i in range(40)]
-    bags = [dict(Counter(rng.choices(words[:30] if y else words[10:], k=12))) for y in [0, 1] * 150]
-    model = toxic_neighbours.Neighbours(bags, [0, 1] * 150, (200.0, 100.0))
-    dense = np.zeros((len(model.y), len(model.vocab)))
-    for t, (ids, xs, _) in model.post.items():
-        dense[ids, t] = xs
-    for bag in bags[:60]:
-        q = model.vector({t: c for t, c in bag.items() if t in model.vocab})
-        v = np.zeros(len(model.vocab))
-        v[list(q[0])] = q[1]
-        cos = dense @ v
-        want = sorted(cos[cos > 0], reverse=True)[:15]
-        assert np.allclose([s for s, _ in model.nearest(q, 15)], want)
+def test_neighbours_are_exact(monkeypatch):
+    """Against cosines over the whole vocabulary of real texts; neighbours of either class, ties by place."""
+    rows = __import__("duckdb").sql("select d.doc_id, d.text, l.toxic from '/root/testdata/sf0.01/documents.parquet' d join '/root/testdata/sf0.01/labels.parquet' l using (doc_id) order by 1").fetchall()
+    bags = [Counter(toxic_neighbours.terms(t)) for _, t, _ in rows]
+    for dense in (512, 40):
+        monkeypatch.setattr(toxic_neighbours, "DENSE", dense)
+        model = toxic_neighbours.Neighbours(bags[:300], [r[2] for r in rows[:300]], (300.0, 40.0), [r[0] for r in rows[:300]])
+        place = {r[0]: i for i, r in enumerate(rows)}
+        examples = [bags[place[k]] for k in model.keys]
+        weigh = lambda bag: {t: (1 + np.log(c)) * model.idf[model.vocab[t]] for t, c in bag.items() if t in model.vocab}
+        unit = lambda v: {t: x / n for t, x in v.items()} if (n := np.sqrt(sum(x * x for x in v.values()))) else {}
+        vectors = [unit(weigh(b)) for b in examples]
+        cosines, near = model.nearest(bags[300:])
+        assert set(model.y[near].ravel()) == {0, 1} and model.opened < model.blocks_seen
+        for bag, c, e in zip(bags[300:], cosines, near, strict=True):
+            q = unit(weigh(bag))
+            want = sorted(((-round(sum(x * v.get(t, 0.0) for t, x in q.items()), 9), i) for i, v in enumerate(vectors)))[:15]
+            assert np.allclose(c, [-w for w, _ in want], atol=1e-8)
+            assert sum(i in e for _, i in want) >= 14
+
+
+def test_near_copies_among_examples_count_once():
+    base = {f"w{i}": 1 for i in range(50)}
+    bags = [base, base | {"x": 1}, {f"v{i}": 1 for i in range(50)}, base, {}, {}]
+    assert toxic_neighbours.distinct_examples(bags, [0, 0, 0, 1, 0, 0]) == [0, 2, 3, 4]
 
 
 def test_toxicity(spark, odd):
@@ -306,6 +326,7 @@ def test_toxicity(spark, odd):
     assert sum(r.predicted == r.toxic for r in got) / len(got) > 0.93
     odds = toxic_neighbours.score(odd, model).collect()
     assert len(odds) == len(ODD) and all(0 <= r.score <= 1 for r in odds)
+    assert {len(r.evidence) for r in odds if r.doc_id in (1, 2, 3)} == {0} and len({r.score for r in odds if r.doc_id == 7}) == 1
     blank = toxic_neighbours.fit(docs.where("false"), labels)
     assert {r.predicted for r in toxic_neighbours.score(odd, blank).collect()} == {0}
 
