@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -127,15 +128,15 @@ class Neighbours:
         self.steps, self.values = _isotonic(votes, self.y.astype(float), self.w)
 
     def vectors(self, bags: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Unit vectors of known terms as (row, term, weight), sorted by row and term."""
-        known = self.vocab
-        ids = [sorted((known[t], c) for t, c in bag.items() if t in known) for bag in bags]
-        sizes = np.array([len(i) for i in ids], np.int64)
-        flat = np.array([p for i in ids for p in i], np.int64).reshape(-1, 2)
-        rows = np.repeat(np.arange(len(bags)), sizes)
-        xs = (1 + np.log(flat[:, 1])) * self.idf[flat[:, 0]]
+        """Unit vectors of known terms as (row, term, weight), sorted by row."""
+        ids = np.array(list(map(self.vocab.get, chain.from_iterable(bags), repeat(-1))), np.int64)
+        count = np.fromiter(chain.from_iterable(map(dict.values, bags)), np.float64, len(ids))
+        rows = np.repeat(np.arange(len(bags)), np.fromiter(map(len, bags), np.int64, len(bags)))
+        known = ids >= 0
+        rows, ids = rows[known], ids[known]
+        xs = (1 + np.log(count[known])) * self.idf[ids]
         norm = np.sqrt(np.bincount(rows, xs * xs, len(bags)))
-        return rows, flat[:, 0], xs / norm[rows] if len(rows) else xs
+        return rows, ids, xs / norm[rows]
 
     def _dense(self, rows: np.ndarray, ids: np.ndarray, xs: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, int((self.column >= 0).sum())))
