@@ -19,17 +19,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the session's ``spark.checkpoint.dir``; only where that is unset (tests,
-    one machine) a temporary folder is made.
+    It is the session's ``spark.checkpoint.dir``; only where that is unset and the session runs
+    on one machine (``local``) a temporary folder is made. On a cluster an unset folder is an error.
     """
     sc = spark.sparkContext
     found = sc.getCheckpointDir()
     if found is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="plumbline-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="plumbline-"))
         found = sc.getCheckpointDir()
     return found
 
 
+#: Folders that ``materialise`` wrote and nothing has released yet.
+_written: list[str] = []
+
+
+def written() -> int:
+    """How many tables wait to be released: a mark for ``release``."""
+    return len(_written)
+
+
+def release(spark: SparkSession, start: int = 0, end: int | None = None) -> None:
+    """Delete the written tables from mark ``start`` to ``end``; nothing may read them any more."""
+    sc = spark.sparkContext
+    for name in _written[start:end]:
+        path = sc._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    del _written[start:end]
+
+
 def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back.
 
@@ -40,6 +61,7 @@ def materialise(df: DataFrame, *partition_by: str) -> DataFrame:
     writer = df.write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
+    _written.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
