@@ -18,6 +18,8 @@ from plumbline.llm.common import map_batches
 
 #: Labelled rows of each language that are learned from, at most (by hash of doc_id).
 EXAMPLES = 400
+#: Parts of a language's rows that the examples are chosen from first.
+PARTS = 16
 CENTROIDS = 3
 BITS = 12
 #: Characters and texts that are vectorised at once.
@@ -28,7 +30,7 @@ _letter = np.zeros(0, bool)
 def _letters() -> np.ndarray:
     global _letter
     if not len(_letter):
-        _letter = np.fromiter((chr(c).isalpha() for c in range(0x30000)), bool, 0x30000)
+        _letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
     return _letter
 
 
@@ -46,7 +48,7 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         low = [p[1].lower() for p in part]
         cp = np.frombuffer("  ".join(low).encode("utf-32-le"), np.uint32)
         row = np.repeat([p[0] for p in part], [len(t) + 2 for t in low])[: len(cp)]
-        is_letter = _letters()[np.minimum(cp, 0x2FFFF)]
+        is_letter = _letters()[cp]
         x = np.where(is_letter, cp, 32).astype(np.uint64)
         letters += np.bincount(row[is_letter], minlength=len(texts))
         mix, step = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -126,8 +128,11 @@ def fit(docs: DataFrame, use: Column, examples: int = EXAMPLES, text: str = "tex
     At most ``examples`` rows of each language reach the driver, as sparse counts.
     """
     rows = docs.where(use & F.col(lang).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"))
-    first = F.row_number().over(Window.partitionBy("l").orderBy(F.xxhash64("k"), "k"))
-    chosen = rows.withColumn("r", first).where(F.col("r") <= examples).select("k").distinct()
+    # the first rows of each part, then of these the first of each language: no task meets more than PARTS x examples
+    rows = rows.withColumn("h", F.xxhash64("k"))
+    for own in (["l", F.pmod(F.xxhash64("h"), F.lit(PARTS))], ["l"]):
+        rows = rows.withColumn("r", F.row_number().over(Window.partitionBy(*own).orderBy("h", "k"))).where(F.col("r") <= examples).drop("r")
+    chosen = rows.select("k").distinct()
 
     def sparse(batch: pa.RecordBatch) -> pa.RecordBatch:
         index, count, seen = [], [], []

@@ -26,7 +26,7 @@ def op2_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_offsets.count(table(spark, sf_dir, "documents"), _public("byte_bpe_50k.tiktoken"))
+    return token_offsets.count(table(spark, sf_dir, "documents"), _public("byte_bpe_50k.tiktoken"), ("text", "source"))
 
 
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
