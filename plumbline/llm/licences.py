@@ -19,24 +19,64 @@ from plumbline.llm.common import map_batches
 
 # The phrases and labels of the base rule.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
-# Wordings of well-known licenses, label first.
-TEMPLATES = [
+# Notices that name a license, label first.
+NOTICES = [
     ("mit", "(released|licensed|distributed|available) under the [terms of the] mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("apache-2", "licensed under the apache license version 2 [0] [the license]"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
     ("bsd", "(released|licensed|distributed) under the [terms of the] [{2}] bsd [(2|3|4) clause] license"),
     ("gpl-2", "(released|licensed|distributed) under the [terms of the] gnu general public license [as published by the free software foundation] [either] version 2"),
     ("gpl-3", "(released|licensed|distributed) under the [terms of the] gnu general public license [as published by the free software foundation] [either] version 3"),
     ("gpl-3", "this (program|work|software|library) is free software [{8}] you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3"),
     ("lgpl", "(released|licensed|distributed) under the [terms of the] gnu lesser general public license"),
     ("mpl-2", "subject to the terms of the mozilla public license [v] [version] 2 0"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     ("cc-by-nc", "licensed under [a] (cc|creative commons) (by nc|attribution noncommercial|attribution non commercial) [(nd|sa)] [(2|3|4) (0|5)] [international] [license]"),
     ("cc-by-sa", "licensed under [a] (cc|creative commons) (by sa|attribution sharealike|attribution share alike) [(2|3|4) (0|5)] [international] [license]"),
     ("cc-by", "licensed under [a] (cc by|creative commons attribution) (2|3|4) (0|5) [international] [license]"),
     ("cc0", "(released|licensed|dedicated) (under|to) [the] (cc0|public domain) [1 0] [universal] [license]"),
 ]
+# The whole wording of short licenses; names and numbering are replaceable or optional.
+TEXTS = [
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so "
+        "subject to the following conditions the above copyright notice and this permission notice [including the next paragraph] shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and (noninfringement|non infringement) "
+        "in no event shall {8} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "[1] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "[2] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution "
+        "[[3] neither the name of {12} nor the names of [its] contributors may be used to endorse or promote products derived from this software without specific prior written permission] "
+        "this software is provided by {8} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed "
+        "in no event shall {8} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption "
+        "however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and {6} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall {6} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits "
+        "whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will {4} be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions "
+        "[1] the origin of this software must not be misrepresented you must not claim that you wrote the original software "
+        "if you use this software in a product an (acknowledgment|acknowledgement) in the product documentation would be appreciated but is not required "
+        "[2] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [3] this notice may not be removed or altered from any source distribution",
+    ),
+    (
+        "apache-2",
+        "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {7} "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+    ),
+]
+TEMPLATES = NOTICES + TEXTS
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c) if c >= 0x80 or chr(c).isalnum() else 32 for c in range(256))
 _SYNTAX = re.compile(r"\[|\]|\(|\)|\||\{\d+\}|[^\s\[\](){}|]+")
 
@@ -131,7 +171,7 @@ class Automaton:
 
     def match(self, words: list[bytes], at: int) -> tuple[int | None, float]:
         """(end of the longest match from ``at``, share of the wording that was reached)."""
-        states, best, reach = self.first, None, 0
+        states, best, reach = self.first, None, 0  # of several ends the last, so optional regions are taken where they fit
         while at < len(words) and states:
             w = words[at]
             nxt = {t for s in states if (t := self.word[s].get(w)) is not None} | {self.any[s] for s in states if self.any[s] is not None}
@@ -188,7 +228,8 @@ def scan(docs: DataFrame, base: dict[str, str] = BASE, templates: list[tuple[str
     Returns doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and
     spans (label, first word, end word of each template match). ``score`` is 1 where
     wording matches in full, else the largest share of a template's mandatory words that
-    a text, having all of them, shows in order from a start. Null and empty texts have no words,
+    a text, having all of them, shows in order from a start. Of the matches from one word the longest counts; templates that
+    overlap are all reported. Null and empty texts have no words,
     no labels and score 0. Rows that repeat are scanned alike; texts are taken whole; an
     empty table gives an empty result; other columns are ignored.
     """
