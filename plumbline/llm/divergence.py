@@ -2,13 +2,16 @@
 
 One pass over the texts counts, in each row, the base figures, a character-class
 histogram and a histogram over common words. The language references are the
-histograms of all rows of each language, summed. A row is compared with every
-reference by the Jensen-Shannon distance (base 2, so 0 to 1); its nearest language
-counts. Short texts are not judged by a histogram: their distances are noise.
+histograms of all rows of each language, summed, and drawn to those of all rows by the
+weight of PRIOR_ROWS rows, so that a language of a few rows is no reference of its own. A row is
+compared with every reference by the Jensen-Shannon distance (base 2, so 0 to 1) of both
+histograms; the language nearest by their sum counts for both. Short texts are not judged by
+a histogram: their distances are noise.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +28,9 @@ COMMON_WORDS = {
 }
 CLASSES = ("lower", "space", "upper", "digit", "symbol", "punct", "other")
 BLANK = r"[\x20\x09-\x0D]+"
-#: Languages that a reference is made for, by falling number of rows; and the fewest rows for one.
-MAX_LANGUAGES, MIN_ROWS = 64, 20
+#: Average rows of the whole table that each language's reference holds besides its own.
+PRIOR_ROWS = 0.5
+REFERENCE = "array<struct<lang:string,chars:array<double>,words:map<string,double>,total:double>>"
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -91,57 +95,64 @@ def measure(docs: DataFrame, common: dict[str, list[str]] = COMMON_WORDS, text:
     ).withColumns({"n_words": F.col("__pair.n"), "n_repeat_words": F.col("__pair.repeat")}).drop("__pair")
 
 
-def references(measured: DataFrame, lang: str = "lang") -> dict[str, tuple[list[float], dict[str, float]]]:
-    """Language -> (shares of CLASSES, shares of common words), over all rows of each.
+def references(measured: DataFrame, lang: str = "lang") -> list[dict]:
+    """References: lang, shares of CLASSES, shares of common words and their sum, over all rows of each language.
 
-    At most MAX_LANGUAGES languages with MIN_ROWS rows or more have one, so the
-    result is bounded whatever the input.
+    One entry for each language, or one for all rows where none is named: as many as there are languages.
     """
-    top = measured.where(F.col(lang).isNotNull()).groupBy(lang).agg(F.count("*").alias("n"), F.sum("n_words").alias("words"), *(F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES))))
-    rows = top.where(F.col("n") >= MIN_ROWS).orderBy(F.desc("n"), lang).limit(MAX_LANGUAGES).collect()
-    known = [r[lang] for r in rows]
-    counted = measured.where(F.col(lang).isin(known)).select(lang, F.explode("common").alias("e")).groupBy(lang, F.col("e.word").alias("word")).agg(F.sum("e.n").alias("n")).collect() if known else []
-    out = {}
-    for r in rows:
-        chars = [r[f"c{i}"] for i in range(len(CLASSES))]
-        total = max(1, sum(chars))
-        out[r[lang]] = ([c / total for c in chars], {x["word"]: x["n"] / max(1, r["words"]) for x in counted if x[lang] == r[lang]})
+    sums = [F.count("*").alias("n"), F.sum("n_words").alias("words"), *(F.sum(F.col("classes")[i]).alias(f"c{i}") for i in range(len(CLASSES)))]
+    rows = [r.asDict() for r in measured.groupBy(lang).agg(*sums).collect()]
+    counted = measured.select(lang, F.explode("common").alias("e")).groupBy(lang, F.col("e.word").alias("word")).agg(F.sum("e.n").alias("n")).collect()
+    n = sum(r["n"] for r in rows)
+    if not n:
+        return []
+    names = [f"c{i}" for i in range(len(CLASSES))]
+    every = {c: sum(r[c] for r in rows) / n for c in (*names, "words")}  # of an average row
+    every_word: dict[str, float] = {}
+    own_words: dict[str | None, dict[str, float]] = {}
+    for r in counted:
+        every_word[r["word"]] = every_word.get(r["word"], 0.0) + r["n"] / n
+        own_words.setdefault(r[lang], {})[r["word"]] = r["n"]
+    out = []
+    for r in sorted((r for r in rows if r[lang] is not None), key=lambda r: r[lang]) or [{lang: ""} | dict.fromkeys((*names, "words"), 0)]:
+        chars = [r[c] + PRIOR_ROWS * every[c] for c in names]
+        words = max(1.0, r["words"] + PRIOR_ROWS * every["words"])
+        own = own_words.get(r[lang], {})
+        shares = {w: (own.get(w, 0) + PRIOR_ROWS * m) / words for w, m in sorted(every_word.items())}
+        out.append({"lang": r[lang], "chars": [c / max(1.0, sum(chars)) for c in chars], "words": shares, "total": sum(shares.values())})
     return out
 
 
-def _part(p: Column, q: Column | float) -> Column:
+def _part(p: Column, q: Column) -> Column:
     """Half a bin's share of the Jensen-Shannon divergence of p and q."""
-    q = F.lit(q) if isinstance(q, float) else q
     one = lambda a: F.when(a > 0, a * F.log2(2 * a / (p + q))).otherwise(0.0)
     return 0.5 * (one(p) + one(q))
 
 
-def _word_divergence(common: dict[str, float]) -> Column:
+def _word_divergence(ref: Column) -> Column:
     """Divergence of a row's common words from the shares of a language; all other words are one bin."""
-    total = float(sum(common.values()))
-    rest = max(0.0, 1.0 - total)
-    look = F.create_map(*(F.lit(x) for kv in sorted(common.items()) for x in kv)) if common else F.create_map(F.lit(""), F.lit(0.0))
     zero = F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("p"), F.lit(0.0).alias("q"))
 
     def step(a: Column, e: Column) -> Column:
-        q = F.coalesce(F.try_element_at(look, e["word"]), F.lit(0.0))
+        q = F.coalesce(F.try_element_at(ref["words"], e["word"]), F.lit(0.0))
         p = e["n"] / F.greatest(F.col("n_words"), F.lit(1))
         return F.struct((a["d"] + _part(p, q)).alias("d"), (a["p"] + p).alias("p"), (a["q"] + q).alias("q"))
 
     # common words that the text lacks add half their share each
-    return bind(F.aggregate("common", zero, step), lambda s: s["d"] + 0.5 * F.greatest(F.lit(total) - s["q"], F.lit(0.0)) + _part(F.greatest(1.0 - s["p"], F.lit(0.0)), rest))
+    rest = lambda x: F.greatest(1.0 - x, F.lit(0.0))
+    return bind(F.aggregate("common", zero, step), lambda s: s["d"] + 0.5 * F.greatest(ref["total"] - s["q"], F.lit(0.0)) + _part(rest(s["p"]), rest(ref["total"])))
 
 
-def distances(measured: DataFrame, refs: dict[str, tuple[list[float], dict[str, float]]]) -> DataFrame:
-    """Adds ``char_distance`` and ``word_distance``, to the nearest reference of each kind (null without any)."""
+def distances(measured: DataFrame, refs: list[dict]) -> DataFrame:
+    """Adds ``nearest_lang``, ``char_distance`` and ``word_distance``: to the reference that is nearest by their sum, the
+    first in order at a tie (null without any)."""
+    table = F.from_json(F.lit(json.dumps(refs)), REFERENCE)
     total = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
-    chars, words = [], []
-    for shares, common in refs.values():
-        parts = [_part(F.col("classes")[i] / F.greatest(total, F.lit(1)), float(q)) for i, q in enumerate(shares)]
-        chars.append(sum(parts[1:], parts[0]))
-        words.append(_word_divergence(common))
-    nearest = lambda cols: F.sqrt(F.greatest(F.array_min(F.array(*cols)), F.lit(0.0))) if cols else F.lit(None).cast("double")
-    return measured.withColumns({"char_distance": nearest(chars), "word_distance": nearest(words)})
+    share = F.transform("classes", lambda c: c / F.greatest(total, F.lit(1)))
+    root = lambda d: F.sqrt(F.greatest(d, F.lit(0.0)))
+    parts = bind(share, lambda p: F.transform(table, lambda r: F.struct(root(F.aggregate(F.zip_with(p, r["chars"], _part), F.lit(0.0), lambda a, x: a + x)).alias("c"), root(_word_divergence(r)).alias("w"), r["lang"].alias("lang"))))
+    near = F.array_min(F.transform(parts, lambda d: F.struct((d["c"] + d["w"]).alias("sum"), d["lang"].alias("lang"), d["c"].alias("c"), d["w"].alias("w"))))
+    return measured.withColumn("__near", near).withColumns({"nearest_lang": F.col("__near.lang"), "char_distance": F.col("__near.c"), "word_distance": F.col("__near.w")}).drop("__near")
 
 
 def quality(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.2, min_chars: int = 200, min_words: int = 40, word_noise: float = 1.0, text: str = "text", key: str = "doc_id", lang: str = "lang") -> DataFrame:
@@ -151,9 +162,9 @@ def quality(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.2,
     ``kept`` is false if the base failed, or if a distance to the nearest language
     reference is over its limit, which for words is ``word_limit`` plus ``word_noise`` / sqrt(n_words), as short
     texts are farther from any reference by chance; texts below ``min_chars`` or ``min_words`` are not
-    judged by that histogram, nor are rows of a language without a reference. Null and empty texts
-    have no words and fail the base. Null languages join no reference. Ties between
-    references do not matter. Rows that repeat are judged alike; an empty table gives
+    judged by that histogram. Null and empty texts have no words and fail the base. Rows without a language
+    join no language's reference but that of all rows; rows are judged by their text alone. Ties between
+    references go to the first language in order. Rows that repeat are judged alike; an empty table gives
     an empty result; other columns are ignored. Texts are taken whole.
     """
     rows = materialise(measure(docs.select(F.col(key).alias("doc_id"), F.col(lang).alias("lang"), F.col(text).alias("text"))).drop("text"))
@@ -162,5 +173,4 @@ def quality(docs: DataFrame, char_limit: float = 0.25, word_limit: float = 0.2,
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     total = F.aggregate("classes", F.lit(0).cast("long"), lambda a, x: a + x)
     far = F.coalesce((total >= min_chars) & (F.col("char_distance") > char_limit), F.lit(False)) | F.coalesce((F.col("n_words") >= min_words) & (F.col("word_distance") > word_limit + word_noise / F.sqrt("n_words")), F.lit(False))
-    far &= F.col("lang").isNull() | F.col("lang").isin(sorted(refs))
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & ~far).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"), "nearest_lang")

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from plumbline.llm import components, divergence, langid, licences, piece_bpe, pigeonhole, simhash_vp, slots, suffix_dedup, token_offsets, toxic_neighbours
 
@@ -203,16 +204,67 @@ def test_quality_odd(odd):
 
 def test_symbols_are_rejected_and_prose_stays(docs):
     got = {r.doc_id: r for r in divergence.quality(docs).collect()}
-    rows = Counter(r.lang for r in docs.collect())
-    judged = {r.doc_id for r in docs.collect() if rows[r.lang] >= divergence.MIN_ROWS}
     for d, _ in texts(docs):
         r = got[d]
-        if not r.base_failed and (r.n_symbols == 0 or d not in judged):
+        if not r.base_failed and r.n_symbols == 0:
             assert r.kept
         elif not r.base_failed and r.n_symbols > 2 * r.n_words:
             assert not r.kept
 
 
+def test_junk_is_rejected_whatever_the_table(spark, docs):
+    """In a language of one row, in one of the hundredth language, and without a language."""
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.where("lang = 'en'").limit(40).collect()]
+    rows += [(1000 + i, rows[i % 40][1], f"l{i}") for i in range(100)]
+    junk = "| # $ | *** " * 60 + " ".join(f"w{i}" for i in range(30))
+    rows += [(5000, junk, "xx"), (5001, junk, "l5"), (5002, junk, None), (5003, rows[0][1], None)]
+    got = {r.doc_id: r for r in divergence.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert not any(got[d].kept for d in (5000, 5001, 5002)) and got[5003].kept == got[rows[0][0]].kept
+    alone = divergence.quality(spark.createDataFrame([(1, junk, None), (2, rows[0][1], None)], "doc_id long, text string, lang string")).collect()
+    assert all(r.nearest_lang == "" for r in alone)
+
+
+def test_distances(docs):
+    """Both distances against a plain computation."""
+    got = {r.doc_id: r for r in divergence.quality(docs).collect()}
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect()]
+    listed = {w for words in divergence.COMMON_WORDS.values() for w in words}
+    kinds = [r"[a-z]", r"[\x20\x09-\x0D]", r"[A-Z]", r"[0-9]", r"[#*$%&|<>]", r"[\x00-\x7F]", r"[^\x00-\x7F]"]
+
+    def measure(t):
+        left, classes = t, []
+        for k in kinds:
+            classes.append(len(re.findall(k, left)))
+            left = re.sub(k, "", left)
+        found = Counter(w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[.,;:!?]", " ", t).lower()) if w in listed)
+        return classes, found, len(re.findall(r"[^\x20\x09-\x0D]+", t))
+
+    m = {d: measure(t) for d, t, _ in rows}
+    plus = lambda group: ([sum(c) for c in zip(*(m[d][0] for d in group))], sum((m[d][1] for d in group), Counter()), sum(m[d][2] for d in group))
+    every = plus(m)
+    refs = {}
+    for lang in {r[2] for r in rows}:
+        own = plus([r[0] for r in rows if r[2] == lang])
+        f = divergence.PRIOR_ROWS / len(rows)
+        chars = [a + f * b for a, b in zip(own[0], every[0])]
+        n = own[2] + f * every[2]
+        refs[lang] = ([c / sum(chars) for c in chars], {w: (own[1][w] + f * every[1][w]) / n for w in every[1]})
+
+    def distance(p, q):
+        one = lambda a, b: a * np.log2(2 * a / (a + b)) if a > 0 else 0.0
+        return np.sqrt(max(0.0, sum(0.5 * (one(a, b) + one(b, a)) for a, b in zip(p, q))))
+
+    for d, _, _ in rows:
+        classes, found, n = m[d]
+        best = []
+        for lang, (chars, words) in refs.items():
+            share = [found[w] / max(1, n) for w in words]
+            total = list(words.values())
+            best.append((distance([c / max(1, sum(classes)) for c in classes], chars), distance([*share, max(0, 1 - sum(share))], [*total, max(0, 1 - sum(total))]), lang))
+        c, w, lang = min(best, key=lambda x: x[0] + x[1])
+        assert (got[d].nearest_lang, got[d].char_distance, got[d].word_distance) == (lang, pytest.approx(c, abs=2e-6), pytest.approx(w, abs=2e-6))
+
+
 def test_short_junk_is_rejected_and_short_prose_stays(spark):
     common, rng = divergence.COMMON_WORDS["en"], __import__("random").Random(4)
     prose = lambda n: " ".join(rng.choice(common) if rng.random() < 0.4 else "w" + "".join(rng.choices("aeinorst", k=6)) for _ in range(n))
@@ -224,15 +276,37 @@ def test_short_junk_is_rejected_and_short_prose_stays(spark):
 
 
 def test_shards(spark, docs, odd):
-    got = slots.shard(docs, 16).toPandas()
-    size = got.groupby("shard")["size"].sum()
-    assert len(got) == docs.count() and len(size) == 16
-    assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+    """Sizes, checksums, balance and equal texts against plain Python."""
+    import zlib
+
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    copies = [(10_000 + i, "one text that stands here very often, again and again") for i in range(3000)]
+    for extra in ([], copies[:50], copies):
+        every = rows + extra
+        got = slots.shard(spark.createDataFrame(every, "doc_id long, text string"), 16).toPandas()
+        raw = {d: (t or "").encode() for d, t in every}
+        assert len(got) == len(every) and all(got["size"] == got.doc_id.map(lambda d: len(raw[d]) + 1)) and all(got.text_crc32 == got.doc_id.map(lambda d: zlib.crc32(raw[d])))
+        size = got.groupby("shard")["size"].sum()
+        assert len(size) == 16 and size.max() - size.min() <= 2 * got["size"].max()
+        assert all(sorted(s) == list(range(len(s))) for _, s in got.groupby("shard")["slot"])
+        share, own = got["size"].sum() / 16, got.groupby("text_crc32")
+        for _, group in own:
+            assert group.virtual_slot.nunique() <= max(1, -(-group["size"].sum() // share))
     odds = slots.shard(odd, 4).toPandas()
-    assert len(odds) == len(ODD) and set(odds.law) == {"bytes"}
+    assert len(odds) == len(ODD) and set(odds.law) == {"bytes"} and odds[odds.doc_id == 7].virtual_slot.nunique() == 1
     assert slots.shard(odd.where("false"), 4).count() == 0
 
 
+def test_a_store_of_maps_is_edited(spark, docs, tmp_path):
+    store = str(tmp_path / "store")
+    first = slots.shard(docs, 16, store=store).toPandas().set_index("doc_id")
+    again = slots.shard(docs, 16, store=store).toPandas().set_index("doc_id")
+    grown = slots.shard(docs, 17, store=store).toPandas().set_index("doc_id")
+    assert [set(x.map_version) for x in (first, again, grown)] == [{1}, {2}, {3}]
+    assert (first["shard"] != again["shard"][first.index]).mean() < 0.3 and set(grown["shard"]) == set(range(17))
+    assert (first["shard"] != grown["shard"][first.index]).mean() < 0.4
+
+
 def test_rebalance_moves_few_slots(spark, docs, tmp_path):
     rows = slots.with_slots(docs, 8)
     loads = slots.slot_loads(rows)
@@ -275,8 +349,6 @@ def test_token_counts(docs, odd, rule):
 
 
 def test_language(docs, odd):
-    from pyspark.sql import functions as F
-
     from plumbline.llm.common import held_out
 
     model = langid.fit(docs, ~held_out("doc_id", 4, 2))
@@ -286,6 +358,9 @@ def test_language(docs, odd):
     assert all(0 <= r.score <= 1 for r in got.values())
     odds = langid.predict(odd, model).collect()
     assert len(odds) == len(ODD) and {r.lang_pred for r in odds if r.doc_id in (1, 2, 3)} == {"und"}
+    assert langid.gram_counts([chr(0x30000), chr(0x31350) + "1", "12 ."])[1].tolist() == [1, 1, 0]
+    few = langid.fit(docs, F.lit(True), examples=5)
+    assert Counter(few.langs) == {w: min(3, n) for w, n in Counter(r.lang for r in docs.collect()).items()}
     empty = langid.fit(docs.where("false"), F.lit(True))
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
 
@@ -362,14 +437,20 @@ def test_leaks(spark, odd):
         for _ in range(rng.choice([0, 3, 5, 30])):
             edited[rng.randrange(len(edited))] = rng.choice("xyz")
         rows.append((i, "before it " + "".join(edited).upper() + "\nafter", "k"))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, item_ids string").withColumnRenamed("item_ids", "extra")
-    bench = spark.createDataFrame([*items, (98, None), (99, "two words"), (100, items[0][1])], "item_id long, text string")
+    rows += [(200, "say Two  words, here", "k"), (201, "xtwo words", "k"), (202, rows[0][1], "k"), (202, rows[0][1], "k")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_ids string").withColumns({"contaminated": F.lit("clash"), "found": F.lit(1), "t": F.lit("x"), "h1": F.lit(0)})
+    bench = spark.createDataFrame([*items, (98, None), (99, "two words"), (100, items[0][1]), (101, " ")], "item_id long, text string")
     for block in (1 << 23, 900):
-        got = {r.doc_id: r for r in pigeonhole.leaks(docs, bench, block_chars=block).collect()}
-        for d, t, _ in rows:
+        out = pigeonhole.leaks(docs, bench, block_chars=block)
+        assert sorted(out.columns) == sorted([*docs.columns, "distances", "ends"]) and out.where("not contaminated").count() + out.where("contaminated").count() == len(rows)
+        got = {r.doc_id: r for r in out.collect()}
+        assert got[200].item_ids == [99] and got[201].item_ids == [] and got[200].found == 1
+        for d, t, _ in rows[:30]:
             norm = pigeonhole.normalise(t)
             want = [i for i, x in [*items, (100, items[0][1])] if plain_distance(x, norm) <= int(len(x) * 0.05)]
             assert got[d].item_ids == sorted(want) and got[d].contaminated == bool(want)
+            for item, distance, end in zip(got[d].item_ids, got[d].distances, got[d].ends, strict=True):
+                assert plain_distance(dict([*items, (100, items[0][1])])[item], norm[:end]) == distance
     assert pigeonhole.leaks(odd, bench).count() == len(ODD)
     assert pigeonhole.leaks(odd.where("false"), bench).count() == 0 and not pigeonhole.leaks(odd, bench.where("false")).where("contaminated").count()
 
@@ -391,6 +472,62 @@ def test_licences(spark, docs, odd):
     assert licences.scan(odd).count() == len(ODD) and licences.scan(odd.where("false")).count() == 0
 
 
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def test_whole_licences():
+    scanner = licences.Scanner()
+    assert scanner.scan("Copyright (c) X\n" + MIT)["labels"] == {"mit"}
+    assert scanner.scan(MIT.replace("THE AUTHORS OR COPYRIGHT HOLDERS", "THE X CONSORTIUM"))["labels"] == {"mit"}
+    got = scanner.scan(MIT.replace("merge, ", ""))  # one mandatory word is missing
+    assert got["labels"] == set() and got["score"] < 1
+    assert scanner.scan(MIT.replace("substantial", "large"))["labels"] == set()
+
+
+def expand(template):
+    """All wordings of a template whose free regions are single words, by recursion over its syntax."""
+    tokens = re.findall(r"\[|\]|\(|\)|\||\{\d+\}|[^\s\[\](){}|]+", template)
+
+    def sequence(at):
+        out = [[]]
+        while at < len(tokens) and tokens[at] not in "])|":
+            t = tokens[at]
+            if t == "[":
+                inner, at = sequence(at + 1)
+                part = [[], *inner]
+            elif t == "(":
+                part, at = [], at
+                while tokens[at] != ")":
+                    inner, at = sequence(at + 1)
+                    part += inner
+            elif t[0] == "{":
+                part = [["zzz"] * n for n in (0, 1, int(t[1:-1]))]
+            else:
+                part = [[t]]
+            out = [a + b for a in out for b in part]
+            at += 1
+        return out, at
+
+    return sequence(0)[0]
+
+
+@pytest.mark.parametrize(("label", "template"), licences.NOTICES)
+def test_notices_match_all_their_wordings_and_no_other(label, template):
+    machine, rng = licences.Automaton(template), random.Random(1)
+    wordings = expand(template)
+    for words in rng.sample(wordings, min(60, len(wordings))):
+        raw = [w.encode() for w in words]
+        assert machine.match(raw, 0)[0] is not None
+        broken = list(raw)
+        broken[rng.randrange(len(broken))] = b"other"
+        ends = [n for w in wordings for n in [len(w)] if [x.encode() if x != "zzz" else b for x, b in zip(w, broken)] == broken[:n] and len(broken) >= n]
+        assert (machine.match(broken, 0)[0] is not None) == bool(ends)
+
+
 _texts: list = []
 
 
