@@ -299,8 +299,9 @@ LIMITS = (24, 32, 38, 44, 52)
 #: Partners in a leaf up to which a row's pairs are all verified at once; rows with more have their forests' edges
 #: verified first, and after that their pairs with other components.
 FEW = 32
-#: Candidates in other components that a row of a group that is not settled has verified, in each tree, before all of them.
-NEAREST = 4
+#: Candidates in other components that a row of a group that is not settled has verified, in each tree, in the first round;
+#: each further round takes MORE times as many.
+NEAREST, MORE = 4, 4
 #: As SHARD_ROWS. Each level of shards sends about 1.4 times the rows, so shards are as large as a task
 #: bears: this many rows of 41 bytes.
 WIDE_SHARD_ROWS = 262_144
@@ -381,8 +382,8 @@ def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, label:
 
     Pairs of rows with FEW partners at most are edges besides, so that small groups are verified whole.
     A row with a pair that is in neither gets the edge (row, row) as a mark. With ``label`` there are no
-    forests and marks: all pairs of rows with different labels are edges, or those of a home row with the
-    ``nearest`` of them.
+    forests: all pairs of rows with different labels are edges, or those of a home row with the
+    ``nearest`` of them, and rows that have more get a mark.
 
     The tree is over the bits ``mask`` of word ``tree``, in which a pair may differ in one bit.
     """
@@ -408,7 +409,8 @@ def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, label:
                         order = np.lexsort((b, d[near], a))
                         a, b = a[order], b[order]
                         own = np.arange(len(a)) - np.searchsorted(a, a) < nearest
-                        a, b = a[own], b[own]
+                        cut = np.unique(a[~own])
+                        a, b = np.concatenate([a[own], cut]), np.concatenate([b[own], cut])
                     direct.append(np.stack([a, b], 1))
                     continue
                 for limit, forest in zip(limits, forests, strict=True):
@@ -441,7 +443,7 @@ def wide_links(points: DataFrame, nearest: int | None = None, shard_rows: int =
     """Distinct candidate edges (a, b), a < b, between reps of ``points`` (w0 .. w3 distinct, rep).
 
     Rows (a, a) mark the reps that have candidates besides. Where ``points`` has a column ``label``, all
-    candidates with different labels are edges (``nearest``: a row's closest in each tree), and there are no marks.
+    candidates with different labels are edges (``nearest``: a row's closest in each leaf of a tree).
     """
     n, labelled = points.count(), "label" in points.columns
     carried = ["rep", "label"] if labelled else ["rep"]
@@ -488,7 +490,7 @@ def wide_links(points: DataFrame, nearest: int | None = None, shard_rows: int =
 def verified(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
     """The edges whose texts have a Jaccard similarity of shingle sets of ``similarity`` or more.
 
-    Texts at the hub of many edges are sent out in a copy for each 1/1024 of the edges.
+    Texts at the hub of many edges, on either side, are sent out in a copy for each 1/1024 of the edges.
     """
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -502,12 +504,14 @@ def verified(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int,
     have = materialise(map_batches(own, sets, "doc_id long, shingles array<long>"))
     total = edges.count()
     share = max(2, total // 1024)
-    hubs = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= share).select("a", F.ceil(F.col("n") / share).cast("int").alias("copies"))
-    hubs = F.broadcast(materialise(hubs))  # at most 1,024 rows
-    salted = edges.join(hubs, "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("copies", F.lit(1))).cast("int")).drop("copies")
-    first = have.withColumnRenamed("doc_id", "a").join(hubs, "a", "left").select("a", F.col("shingles").alias("__x"), F.explode(F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)).alias("salt"))
-    second = have.select(F.col("doc_id").alias("b"), F.col("shingles").alias("__y"))
-    both = salted.join(second, "b").join(first, ["a", "salt"])
+    both = edges
+    for side, other, name in (("b", "a", "__y"), ("a", "b", "__x")):
+        hubs = edges.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") >= share).select(side, F.ceil(F.col("n") / share).cast("int").alias("copies"))
+        hubs = F.broadcast(materialise(hubs))  # at most 1,024 rows
+        copies = F.coalesce("copies", F.lit(1))
+        salted = both.join(hubs, side, "left").withColumn("salt", F.pmod(F.xxhash64(other), copies).cast("int")).drop("copies")
+        dealt = have.withColumnRenamed("doc_id", side).join(hubs, side, "left").select(side, F.col("shingles").alias(name), F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
+        both = salted.join(dealt, [side, "salt"]).drop("salt")
     shared = F.size(F.array_intersect("__x", "__y"))
     rows = both.select("a", "b", shared.alias("s"), (F.size("__x") + F.size("__y")).alias("n"))
     return rows.where(F.col("s") >= similarity * (F.col("n") - F.col("s")) - 1e-9).select("a", "b").distinct()
@@ -550,13 +554,17 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text
     edges = candidates.where("a < b")
     sure = materialise(verified(edges, docs, similarity, shingle, text, key).unionByName(short).distinct())
     found = materialise(components(sure))
-    for nearest in (NEAREST, None):  # the closest pairs first: they settle most groups, and few pairs remain for the last pass
+    nearest, open_rows = NEAREST, True
+    while open_rows:  # the closest pairs first: they settle most groups; a round sends rows x ``nearest`` pairs a tree at most
         left = materialise(unsettled(points, candidates, found))
         if left.isEmpty():
             break
-        more = materialise(wide_links(left, nearest).join(edges, ["a", "b"], "left_anti"))
+        got = materialise(wide_links(left, nearest))
+        open_rows = not got.where("a = b").isEmpty()
+        more = materialise(got.where("a < b").join(edges, ["a", "b"], "left_anti"))
         sure = materialise(sure.unionByName(verified(more, docs, similarity, shingle, text, key)))
         edges, found = edges.unionByName(more), materialise(components(sure))
+        nearest *= MORE
     named = counts.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select(*_WORDS, F.coalesce("component", "rep").alias("component_id"))
     hot = hot_keys(counts, _WORDS, "n", prints.count())
     return join_on_skewed_key(prints, named, hot, _WORDS).select("doc_id", "component_id")

@@ -157,7 +157,7 @@ class Neighbours:
         rare = self.column[ids] < 0
         count = self.post_at[ids[rare] + 1] - self.post_at[ids[rare]]
         at = _spread(self.post_at[ids[rare]], count)
-        partial = np.bincount(np.repeat(rows[rare], count) * n + self.post[at], np.repeat(xs[rare], count) * self.post_x[at], m * n).reshape(m, n)
+        partial = np.bincount(np.repeat(rows[rare], count) * n + self.post[at], np.repeat(xs[rare], count) * self.post_x[at], m * n).astype(float).reshape(m, n)
         if skip is not None:
             partial[np.arange(m), skip] = -np.inf
         bound = np.maximum.reduceat(partial, self.cuts[:-1], axis=1) + query @ self.top.T + 1e-9

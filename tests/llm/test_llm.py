@@ -540,14 +540,6 @@ def texts_cache(docs):
 # --- all
 
 
-def test_pipeline(spark):
-    import corpus_pipeline
-
-    out = corpus_pipeline.run(spark, SF)
-    n = spark.read.parquet(f"{SF}/documents.parquet").count()
-    assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and 0.5 * n < out.count() < n
-
-
 def test_nothing_else_imports_llm():
     import pathlib
 
@@ -605,7 +597,8 @@ def test_near_copies_of_unsettled_groups():
     assert {(b, a) for a, b in within if label[a] != label[b]} <= pairs
     assert all(label[a] != label[b] for a, b in pairs)
     near = simhash_vp.link_wide(words, home, 0, mask, label, 2)
-    assert np.bincount(near[:, 0]).max() == 2
+    pairs = near[near[:, 0] != near[:, 1]]
+    assert np.bincount(pairs[:, 0]).max() == 2 and len(near) > len(pairs)
 
 
 def test_near_copies_of_short_texts(spark):
