@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from collections.abc import Iterable
 from itertools import chain, repeat
 
 import numpy as np
@@ -53,17 +54,16 @@ def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts, counts) + np.repeat(starts, counts)
 
 
-def distinct_examples(bags: list[dict[str, int]], labels: list[int]) -> list[int]:
-    """The examples left when later near copies of one class go; candidates share 4 of their 16 least term hashes."""
-    import xxhash
-
+def distinct_examples(sets: list[np.ndarray], labels: list[int]) -> list[int]:
+    """The examples (sorted term ids) left when later near copies of one class go; candidates share 4 of their 16 least term hashes."""
     kept, seen = [], {}
-    for i, (bag, label) in enumerate(zip(bags, labels, strict=True)):
-        least = sorted(map(xxhash.xxh3_64_intdigest, bag))[:16]
+    for i, (own, label) in enumerate(zip(sets, labels, strict=True)):
+        h = (own.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+        least = (np.sort(h ^ (h >> np.uint64(32)))[:16]).tolist()
         shared = Counter(j for h in least for j in seen.get((label, h), ()))
-        near = [j for j, s in shared.items() if s >= min(4, len(least))]
-        own = bag.keys()
-        if any((s := len(own & bags[j].keys())) >= SAME * (len(own) + len(bags[j]) - s) for j in near) or not bag and (label, None) in seen:
+        near = [sets[j] for j, s in shared.items() if s >= min(4, len(least))]
+        if any((s := len(np.intersect1d(own, x, assume_unique=True))) >= SAME * (len(own) + len(x) - s) for x in near) or not len(own) and (label, None) in seen:
             continue
         kept.append(i)
         for h in least or [None]:
@@ -88,28 +88,38 @@ def _alike(x: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
 class Neighbours:
     """The model: vocabulary, block-max index, calibration."""
 
-    def __init__(self, bags: list[dict[str, int]], labels: list[int], shares: tuple[float, float], keys: list | None = None, k: int = 15) -> None:
-        keep = distinct_examples(bags, labels)
-        bags, y = [bags[i] for i in keep], np.array([labels[i] for i in keep], np.int64)
+    def __init__(self, bags: Iterable[dict[str, int]], labels: list[int], shares: tuple[float, float], keys: list | None = None, k: int = 15) -> None:
+        vocab: dict[str, int] = {}
+        sets, counts = [], []
+        for bag in bags:  # one at a time: as dictionaries they are large
+            own = np.array([vocab.setdefault(t, len(vocab)) for t in bag], np.int32)
+            order = np.argsort(own)
+            sets.append(own[order])
+            counts.append(np.fromiter(bag.values(), np.int32, len(bag))[order])
+        keep = distinct_examples(sets, labels)
+        sets, counts, y = [sets[i] for i in keep], [counts[i] for i in keep], np.array([labels[i] for i in keep], np.int64)
         keys = [keys[i] if keys else i for i in keep]
         self.k, n, n1 = k, len(y), int(y.sum())
         self.prior = float(shares[1] / max(sum(shares), 1e-12))
         weight = np.array([shares[0] / max(1, n - n1), shares[1] / max(1, n1)])
         weight /= max(weight.sum(), 1e-12)
-        df = Counter(t for bag in bags for t in bag)
-        toxic = Counter(t for bag, label in zip(bags, y, strict=True) if label for t in bag)
-        names = sorted(df)
-        a, b = (np.array([c[t] for t in names], float) for c in (toxic, df))
-        b -= a
+        rows = np.repeat(np.arange(n), np.array([len(x) for x in sets], np.int64))
+        ids = np.concatenate([*sets, np.empty(0, np.int32)]).astype(np.int64)
+        count = np.concatenate([*counts, np.empty(0, np.int32)]).astype(float)
+        df = np.bincount(ids, minlength=len(vocab))
+        new = np.cumsum(df > 0) - 1  # terms of collapsed copies alone are no terms
+        self.vocab = {t: int(new[i]) for t, i in vocab.items() if df[i]}
+        ids = new[ids] if len(ids) else ids
+        a = np.bincount(ids[y[rows] == 1], minlength=len(self.vocab)).astype(float)
+        b = np.bincount(ids, minlength=len(self.vocab)) - a
         cells = [a, b, n1 - a, n - n1 - b]
         g = 2 * (sum(map(_xlogx, cells)) - _xlogx(a + b) - _xlogx(n - a - b) - _xlogx(np.array(float(n1))) - _xlogx(np.array(float(n - n1))) + _xlogx(np.array(float(n))))
-        self.separating = g > 2 * math.log(100 * max(1, len(names)))
-        self.vocab = {t: i for i, t in enumerate(names)}
+        self.separating = g > 2 * math.log(100 * max(1, len(self.vocab)))
         self.idf = (np.log((1 + n) / (1 + a + b)) + 1) * np.where(self.separating, SEPARATING, 1.0)
         frequent = np.argsort(-(a + b), kind="stable")[:DENSE]
-        self.column = np.full(len(names), -1, np.int64)
+        self.column = np.full(len(self.vocab), -1, np.int64)
         self.column[frequent] = np.arange(len(frequent))
-        rows, ids, xs = self.vectors(bags)
+        xs = self._unit(rows, ids, count, n)
         dense = self._dense(rows, ids, xs, n)
         blocks = _alike(dense, np.arange(n)) if n else []
         order = np.concatenate(blocks) if blocks else np.empty(0, np.int64)
@@ -122,9 +132,15 @@ class Neighbours:
         rare = self.column[ids] < 0
         by_term = np.lexsort((place[rows[rare]], ids[rare]))
         self.post, self.post_x = place[rows[rare]][by_term], xs[rare][by_term]
-        self.post_at = np.searchsorted(ids[rare][by_term], np.arange(len(names) + 1))
+        self.post_at = np.searchsorted(ids[rare][by_term], np.arange(len(self.vocab) + 1))
         self.opened = self.blocks_seen = 0
-        votes = np.concatenate([self.votes(*self.nearest([bags[i] for i in order[lo : lo + CHUNK]], np.arange(lo, min(n, lo + CHUNK)))) for lo in range(0, n, CHUNK)]) if n else np.zeros(0)
+        begin = np.searchsorted(rows, np.arange(n + 1))
+        votes = np.zeros(n)
+        for lo in range(0, n, CHUNK):
+            own = order[lo : lo + CHUNK]
+            size = begin[own + 1] - begin[own]
+            at = _spread(begin[own], size)
+            votes[lo : lo + CHUNK] = self.votes(*self._nearest(np.repeat(np.arange(len(own)), size), ids[at], xs[at], len(own), np.arange(lo, lo + len(own))))
         self.steps, self.values = _isotonic(votes, self.y.astype(float), self.w)
 
     def vectors(self, bags: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -134,9 +150,11 @@ class Neighbours:
         rows = np.repeat(np.arange(len(bags)), np.fromiter(map(len, bags), np.int64, len(bags)))
         known = ids >= 0
         rows, ids = rows[known], ids[known]
-        xs = (1 + np.log(count[known])) * self.idf[ids]
-        norm = np.sqrt(np.bincount(rows, xs * xs, len(bags)))
-        return rows, ids, xs / norm[rows]
+        return rows, ids, self._unit(rows, ids, count[known], len(bags))
+
+    def _unit(self, rows: np.ndarray, ids: np.ndarray, count: np.ndarray, n: int) -> np.ndarray:
+        xs = (1 + np.log(count)) * self.idf[ids]
+        return xs / np.sqrt(np.bincount(rows, xs * xs, n))[rows]
 
     def _dense(self, rows: np.ndarray, ids: np.ndarray, xs: np.ndarray, n: int) -> np.ndarray:
         out = np.zeros((n, int((self.column >= 0).sum())))
@@ -144,15 +162,17 @@ class Neighbours:
         out[rows[own], self.column[ids[own]]] = xs[own]
         return out
 
-    def nearest(self, bags: list[dict[str, int]], skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def nearest(self, bags: list[dict[str, int]]) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, examples), k columns each, of the examples of largest cosine; ties to the first in the index.
 
         Places behind the last example with a cosine above zero have cosine 0.
         """
-        n, m, k = len(self.y), len(bags), min(self.k, len(self.y))
+        return self._nearest(*self.vectors(bags), len(bags))
+
+    def _nearest(self, rows: np.ndarray, ids: np.ndarray, xs: np.ndarray, m: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        n, k = len(self.y), min(self.k, len(self.y))
         if not n or not m:
             return np.zeros((m, 0)), np.zeros((m, 0), np.int64)
-        rows, ids, xs = self.vectors(bags)
         query = self._dense(rows, ids, xs, m)
         rare = self.column[ids] < 0
         count = self.post_at[ids[rare] + 1] - self.post_at[ids[rare]]
@@ -234,12 +254,12 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, k: int = 1
 
     def bags(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [Counter(terms(t)) for t in batch.column("t").to_pylist()]
-        return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([list(c) for c in got], pa.list_(pa.string())), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))], ["k", "y", "term", "n"])
+        return pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([" ".join(c) for c in got], pa.string()), pa.array([list(c.values()) for c in got], pa.list_(pa.int32()))], ["k", "y", "term", "n"])
 
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(sample, "k").select(F.col("k").cast("long").alias("k"), "y", "t")
-    found = map_batches(rows, bags, "k long, y int, term array<string>, n array<int>").dropDuplicates(["k"]).collect()
-    found.sort(key=lambda r: r["k"])
-    return Neighbours([dict(zip(r["term"], r["n"], strict=True)) for r in found], [r["y"] for r in found], (float(counts.get(0, 0)), float(counts.get(1, 0))), [r["k"] for r in found], k)
+    found = map_batches(rows, bags, "k long, y int, term string, n array<int>").dropDuplicates(["k"]).toArrow().sort_by("k")
+    each = (dict(zip(t.as_py().split(), c.as_py(), strict=True)) for t, c in zip(found["term"], found["n"], strict=True))
+    return Neighbours(each, found["y"].to_pylist(), (float(counts.get(0, 0)), float(counts.get(1, 0))), found["k"].to_pylist(), k)
 
 
 def score(docs: DataFrame, model: Neighbours, text: str = "text", keep: tuple[str, ...] = ("doc_id",), evidence: int = 3) -> DataFrame:
