@@ -30,17 +30,24 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxic_neighbours.score(docs, model, keep=COLUMNS).where("predicted = 0").select(*COLUMNS)
 
 
+#: Repeated keys up to which they are broadcast.
+FEW_KEYS = 100_000
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``docs`` with a key ``rid`` that no two rows share, and (rid, doc_id) of the rows whose ``doc_id`` could not be it.
 
     Rows with a null or repeated doc_id get numbers below all others; only these rows are written.
     """
-    again = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id")
+    again = materialise(docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    few = again.count() <= FEW_KEYS
+    again = F.broadcast(again) if few else again
     low = docs.agg(F.least(F.lit(0), F.min("doc_id")).alias("low")).first()[0] or 0
     odd = docs.where("doc_id is null").unionByName(docs.join(again, "doc_id", "left_semi").select(*docs.columns))
     odd = materialise(odd.select(*COLUMNS, (F.lit(low) - 1 - F.monotonically_increasing_id()).alias("rid")))
     plain = docs.where("doc_id is not null").join(again, "doc_id", "left_anti").select(*COLUMNS, F.col("doc_id").cast("long").alias("rid"))
-    return plain.unionByName(odd), odd.select("rid", F.col("doc_id").alias("own"), F.lit(True).alias("odd"))
+    rows = plain.unionByName(odd)
+    return (rows if few else materialise(rows)), odd.select("rid", F.col("doc_id").alias("own"), F.lit(True).alias("odd"))
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
