@@ -301,7 +301,7 @@ LIMITS = (24, 32, 38, 44, 52)
 FEW = 32
 #: Candidates in other components that a row of a group that is not settled has verified, in each tree, in the first round;
 #: each further round takes MORE times as many.
-NEAREST, MORE = 4, 4
+NEAREST, MORE = 4, 16
 #: As SHARD_ROWS. Each level of shards sends about 1.4 times the rows, so shards are as large as a task
 #: bears: this many rows of 41 bytes.
 WIDE_SHARD_ROWS = 262_144
@@ -517,14 +517,13 @@ def verified(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int,
     return rows.where(F.col("s") >= similarity * (F.col("n") - F.col("s")) - 1e-9).select("a", "b").distinct()
 
 
-def unsettled(points: DataFrame, candidates: DataFrame, found: DataFrame) -> DataFrame:
+def unsettled(points: DataFrame, marked: DataFrame, found: DataFrame) -> DataFrame:
     """The marked points (w0 .. w3, rep, label) of groups of candidates that are not one component yet.
 
-    ``label`` is the component in ``found``. A candidate pair lies within one group, so all others are settled.
+    ``marked`` names the group of each marked point (rep, of), ``label`` is the component in ``found``. A candidate
+    pair lies within one group, so all others are settled.
     """
-    marked = candidates.where("a = b").select(F.col("a").alias("rep"))
-    groups = components(candidates).select(F.col("vertex").alias("rep"), F.col("component").alias("of"))
-    named = marked.join(groups, "rep").join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
+    named = marked.join(found.withColumnRenamed("vertex", "rep"), "rep", "left")
     named = materialise(named.select("rep", "of", F.coalesce("component", "rep").alias("label")))
     sizes = materialise(named.groupBy("of").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")))
     mixed = sizes.where("low < high").select("of")
@@ -554,9 +553,11 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text
     edges = candidates.where("a < b")
     sure = materialise(verified(edges, docs, similarity, shingle, text, key).unionByName(short).distinct())
     found = materialise(components(sure))
-    nearest, open_rows = NEAREST, True
+    groups = components(candidates).select(F.col("vertex").alias("rep"), F.col("component").alias("of"))
+    marked = materialise(candidates.where("a = b").select(F.col("a").alias("rep")).join(groups, "rep"))
+    nearest, open_rows = NEAREST, not marked.isEmpty()
     while open_rows:  # the closest pairs first: they settle most groups; a round sends rows x ``nearest`` pairs a tree at most
-        left = materialise(unsettled(points, candidates, found))
+        left = materialise(unsettled(points, marked, found))
         if left.isEmpty():
             break
         got = materialise(wide_links(left, nearest))

@@ -36,7 +36,7 @@ SEPARATING = 30.0
 #: Examples of one class with this Jaccard similarity of their term sets count once.
 SAME = 0.8
 #: Frequent terms that are kept as a matrix; examples of a block; texts that are scored at once.
-DENSE, BLOCK, CHUNK = 512, 64, 256
+DENSE, BLOCK, CHUNK = 512, 64, 64
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -131,7 +131,7 @@ class Neighbours:
         place[order] = np.arange(n)
         rare = self.column[ids] < 0
         by_term = np.lexsort((place[rows[rare]], ids[rare]))
-        self.post, self.post_x = place[rows[rare]][by_term], xs[rare][by_term]
+        self.post, self.post_x = place[rows[rare]][by_term].astype(np.int32), xs[rare][by_term]
         self.post_at = np.searchsorted(ids[rare][by_term], np.arange(len(self.vocab) + 1))
         self.opened = self.blocks_seen = 0
         begin = np.searchsorted(rows, np.arange(n + 1))
