@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -72,6 +73,14 @@ def held_out(doc_id: str | Column, modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(col.cast("string")) % modulus == remainder, F.lit(False))
 
 
+def trim() -> None:
+    """Give memory that is free back to the system: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back:
+        give_back(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """``mapInArrow`` for a function from one batch to one batch."""
 
@@ -79,6 +88,7 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | N
         for batch in batches:
             if batch.num_rows and (out := fn(batch)) is not None:
                 yield out
+        trim()
 
     return df.mapInArrow(run, schema)
 

@@ -29,6 +29,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.llm.common import trim
+
 SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
@@ -362,5 +364,6 @@ def encode(docs: DataFrame, model: str, text: str = "text", keep: tuple[str, ...
                 cols = [*part.columns[: len(keep)], pa.array(counts, pa.int64()), pa.array(map(_sha, ids), pa.string()), pa.array(map(_sha, decoded), pa.string())]
                 cols += [pa.array(ids, pa.string()), pa.array(decoded, pa.string())] if full else []
                 yield pa.RecordBatch.from_arrays(cols, [*keep, "n_tokens", "ids_sha256", "decoded_sha256", *(("ids", "decoded") if full else ())])
+        trim()
 
     return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import hot_keys, join_on_skewed_key, map_batches, materialise
+from plumbline.llm.common import hot_keys, join_on_skewed_key, map_batches, materialise, trim
 from plumbline.llm.components import components
 
 #: Fingerprints of one sub-fingerprint's tree that a shard has on average, at most.
@@ -299,9 +299,8 @@ LIMITS = (24, 32, 38, 44, 52)
 #: Partners in a leaf up to which a row's pairs are all verified at once; rows with more have their forests' edges
 #: verified first, and after that their pairs with other components.
 FEW = 32
-#: Candidates in other components that a row of a group that is not settled has verified, in each tree, in the first round;
-#: each further round takes MORE times as many.
-NEAREST, MORE = 4, 16
+#: Shingles of one part of a group that is not settled: two parts meet in a task.
+PART_SHINGLES = 1 << 20
 #: As SHARD_ROWS. Each level of shards sends about 1.4 times the rows, so shards are as large as a task
 #: bears: this many rows of 41 bytes.
 WIDE_SHARD_ROWS = 262_144
@@ -377,13 +376,11 @@ def short_links(points: DataFrame, similarity: float) -> DataFrame:
     return dealt.groupBy("h").applyInArrow(link, "a long, b long").where("a < b").distinct()
 
 
-def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, label: np.ndarray | None = None, nearest: int | None = None, limits: tuple[int, ...] = LIMITS, seed: int = 7) -> np.ndarray:
+def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, limits: tuple[int, ...] = LIMITS, seed: int = 7) -> np.ndarray:
     """Edges (k x 2) of one spanning forest for each limit, over the pairs (home, any) that the tree reaches.
 
     Pairs of rows with FEW partners at most are edges besides, so that small groups are verified whole.
-    A row with a pair that is in neither gets the edge (row, row) as a mark. With ``label`` there are no
-    forests: all pairs of rows with different labels are edges, or those of a home row with the
-    ``nearest`` of them, and rows that have more get a mark.
+    A row with a pair that is in neither gets the edge (row, row) as a mark.
 
     The tree is over the bits ``mask`` of word ``tree``, in which a pair may differ in one bit.
     """
@@ -402,17 +399,6 @@ def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, label:
                 i, j = np.nonzero(np.bitwise_count(fp[part][:, None] ^ fp[asked][None, :]) <= WORD_LIMIT)
                 a, b = part[i], asked[j]
                 d = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int16)
-                if label is not None:
-                    near = (d <= limits[-1]) & (label[a] != label[b])
-                    a, b = a[near], b[near]
-                    if nearest is not None:
-                        order = np.lexsort((b, d[near], a))
-                        a, b = a[order], b[order]
-                        own = np.arange(len(a)) - np.searchsorted(a, a) < nearest
-                        cut = np.unique(a[~own])
-                        a, b = np.concatenate([a[own], cut]), np.concatenate([b[own], cut])
-                    direct.append(np.stack([a, b], 1))
-                    continue
                 for limit, forest in zip(limits, forests, strict=True):
                     near = (d <= limit) & (a != b)
                     if near.any():
@@ -439,14 +425,12 @@ def link_wide(words: np.ndarray, home: np.ndarray, tree: int, mask: int, label:
     return np.concatenate([np.array([e for f in forests for e in f.edges], np.int64).reshape(-1, 2), *direct])
 
 
-def wide_links(points: DataFrame, nearest: int | None = None, shard_rows: int = WIDE_SHARD_ROWS, tile_rows: int = 4 * WIDE_SHARD_ROWS) -> DataFrame:
+def wide_links(points: DataFrame, shard_rows: int = WIDE_SHARD_ROWS, tile_rows: int = 4 * WIDE_SHARD_ROWS) -> DataFrame:
     """Distinct candidate edges (a, b), a < b, between reps of ``points`` (w0 .. w3 distinct, rep).
 
-    Rows (a, a) mark the reps that have candidates besides. Where ``points`` has a column ``label``, all
-    candidates with different labels are edges (``nearest``: a row's closest in each leaf of a tree).
+    Rows (a, a) mark the reps that have candidates besides.
     """
-    n, labelled = points.count(), "label" in points.columns
-    carried = ["rep", "label"] if labelled else ["rep"]
+    n, carried = points.count(), ["rep"]
     levels = min(MAX_LEVELS, max(0, int(np.ceil(np.log2(max(1, n / shard_rows))))))
     seen = points.orderBy(F.xxhash64(*_WORDS)).limit(SAMPLE).select(*_WORDS).collect() if levels else []
     sample = np.array(seen, np.int64).reshape(-1, WIDE).view(np.uint64)
@@ -479,19 +463,17 @@ def wide_links(points: DataFrame, nearest: int | None = None, shard_rows: int =
         words = np.stack([group.column(w).to_numpy() for w in _WORDS], 1).view(np.uint64)
         rep, home = group.column("rep").to_numpy(), group.column("home").to_numpy()
         k, mask, _ = trees[key[0].as_py() >> MAX_LEVELS]
-        edges = link_wide(words, home, k, mask, group.column("label").to_numpy() if labelled else None, nearest)
+        edges = link_wide(words, home, k, mask)
         a, b = rep[edges[:, 0]], rep[edges[:, 1]]
         keep = (a != b) | (edges[:, 0] == edges[:, 1])
+        trim()
         return pa.table({"a": np.minimum(a, b)[keep], "b": np.maximum(a, b)[keep]})
 
     return dealt.groupBy("shard", "i", "j").applyInArrow(link, "a long, b long").distinct()
 
 
-def verified(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
-    """The edges whose texts have a Jaccard similarity of shingle sets of ``similarity`` or more.
-
-    Texts at the hub of many edges, on either side, are sent out in a copy for each 1/1024 of the edges.
-    """
+def shingle_sets(docs: DataFrame, used: DataFrame, shingle: int, text: str, key: str) -> DataFrame:
+    """(doc_id, shingles): the distinct shingle hashes of the rows that ``used`` (doc_id) names."""
 
     def sets(batch: pa.RecordBatch) -> pa.RecordBatch:
         got = [np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in batch.column(1).to_pylist()]
@@ -499,9 +481,16 @@ def verified(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int,
         flat = np.concatenate(got) if got else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], ["doc_id", "shingles"])
 
-    used = edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text")).join(used, "doc_id", "left_semi")
-    have = materialise(map_batches(own, sets, "doc_id long, shingles array<long>"))
+    return materialise(map_batches(own, sets, "doc_id long, shingles array<long>"))
+
+
+def verified(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int, text: str, key: str) -> DataFrame:
+    """The edges whose texts have a Jaccard similarity of shingle sets of ``similarity`` or more.
+
+    Texts at the hub of many edges, on either side, are sent out in a copy for each 1/1024 of the edges.
+    """
+    have = shingle_sets(docs, edges.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), shingle, text, key)
     total = edges.count()
     share = max(2, total // 1024)
     both = edges
@@ -517,8 +506,8 @@ def verified(edges: DataFrame, docs: DataFrame, similarity: float, shingle: int,
     return rows.where(F.col("s") >= similarity * (F.col("n") - F.col("s")) - 1e-9).select("a", "b").distinct()
 
 
-def unsettled(points: DataFrame, marked: DataFrame, found: DataFrame) -> DataFrame:
-    """The marked points (w0 .. w3, rep, label) of groups of candidates that are not one component yet.
+def unsettled(marked: DataFrame, found: DataFrame) -> DataFrame:
+    """The marked points (rep, of, label) of groups of candidates that are not one component yet.
 
     ``marked`` names the group of each marked point (rep, of), ``label`` is the component in ``found``. A candidate
     pair lies within one group, so all others are settled.
@@ -527,8 +516,60 @@ def unsettled(points: DataFrame, marked: DataFrame, found: DataFrame) -> DataFra
     named = materialise(named.select("rep", "of", F.coalesce("component", "rep").alias("label")))
     sizes = materialise(named.groupBy("of").agg(F.count("*").alias("n"), F.min("label").alias("low"), F.max("label").alias("high")))
     mixed = sizes.where("low < high").select("of")
-    mine = join_on_skewed_key(named, mixed, hot_keys(sizes, "of", "n", named.count()), "of")
-    return points.join(mine.select("rep", "label"), "rep").select(*_WORDS, "rep", "label")
+    return join_on_skewed_key(named, mixed, hot_keys(sizes, "of", "n", named.count()), "of").select("rep", "of", "label")
+
+
+def link_sets(sets: list[np.ndarray], label: np.ndarray, home: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges that join labels: pairs (home row, any row) of different labels with a Jaccard similarity of ``similarity``.
+
+    The shared shingles of a home row and all others are counted over an inverted index. An edge whose labels
+    earlier edges have joined stays out, so there are fewer edges than labels.
+    """
+    size = np.array([len(x) for x in sets], np.int64)
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    begin = np.concatenate(([0], np.cumsum(size)))
+    by_code = np.argsort(code, kind="stable")
+    post = np.repeat(np.arange(len(sets)), size)[by_code]
+    at = np.searchsorted(code[by_code], np.arange(code.max() + 2 if len(code) else 1))
+    now, edges = np.unique(label, return_inverse=True)[1], []
+    for r in np.flatnonzero(home).tolist():
+        own = code[begin[r] : begin[r + 1]]
+        count = at[own + 1] - at[own]
+        ends = np.cumsum(count)
+        places = np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count, count) + np.repeat(at[own], count)
+        shared = np.bincount(post[places], minlength=len(sets))
+        near = np.flatnonzero((shared >= similarity * (size[r] + size - shared) - 1e-9) & (now != now[r]))
+        for g in near.tolist():
+            if now[g] != now[r]:
+                edges.append((r, g))
+                now[now == now[g]] = now[r]
+    return edges
+
+
+def settle(left: DataFrame, docs: DataFrame, similarity: float, shingle: int, text: str, key: str, part_shingles: int = PART_SHINGLES) -> DataFrame:
+    """Links (a, b), a < b, that connect what all links between the labels of a group of ``left`` (rep, of, label) connect.
+
+    Every pair of rows of a group meets in a task; a group with many shingles is cut into parts, and two parts meet in a tile.
+    A tile sends fewer edges than it has labels.
+    """
+    sets = shingle_sets(docs, left.select(F.col("rep").alias("doc_id")), shingle, text, key)
+    rows = materialise(left.join(sets.withColumnRenamed("doc_id", "rep"), "rep"))
+    cuts = rows.groupBy("of").agg(F.ceil(F.sum(F.size("shingles")) / part_shingles).cast("int").alias("cuts")).where("cuts > 1")  # few: a part of shingles each
+    cut = rows.join(cuts, "of", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("cuts")).cast("int"))
+    carried = ["of", "rep", "label", "shingles"]
+    as_home = cut.select(*carried, F.lit(True).alias("home"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("cuts") - 1)).alias("j"))
+    as_guest = cut.where("own > 0").select(*carried, F.lit(False).alias("home"), F.explode(F.sequence(F.lit(0), F.col("own") - 1)).alias("i"), F.col("own").alias("j"))
+
+    def link(_: tuple, group: pa.Table) -> pa.Table:
+        rep, home = group.column("rep").to_numpy(), group.column("home").to_numpy()
+        sets = group.column("shingles").combine_chunks()
+        flat, offsets = sets.values.to_numpy(), sets.offsets.to_numpy()
+        edges = np.array(link_sets([flat[a:b] for a, b in zip(offsets, offsets[1:], strict=False)], group.column("label").to_numpy(), home, similarity), np.int64).reshape(-1, 2)
+        a, b = rep[edges[:, 0]], rep[edges[:, 1]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return as_home.unionByName(as_guest).groupBy("of", "i", "j").applyInArrow(link, "a long, b long").distinct()
 
 
 def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -538,7 +579,8 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text
     verified by the exact Jaccard similarity. ``component_id`` is the smallest key that can be reached over
     verified edges. Pairs with a set of under SHORT shingles are all found, by prefixes.
     Of the others, a pair of just 0.8 is a candidate with a probability of about 0.99 by simulation; the closer, the surer.
-    Every candidate pair is verified, or its two texts are connected by verified edges already.
+    Every candidate pair is verified, or its two texts are connected by verified edges already: rows with many candidates
+    have their forests' edges verified first, and where a group is not one component then, all its pairs meet in tiles.
     Null, empty and wordless texts form one group; texts of one shingle set are one group. Rows
     with a null key take the component of their text (null if no other row has the text). Rows that
     repeat a key should repeat the text too; they stay. Other columns are ignored. An empty table gives an empty
@@ -555,17 +597,9 @@ def near_copies(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, text
     found = materialise(components(sure))
     groups = components(candidates).select(F.col("vertex").alias("rep"), F.col("component").alias("of"))
     marked = materialise(candidates.where("a = b").select(F.col("a").alias("rep")).join(groups, "rep"))
-    nearest, open_rows = NEAREST, not marked.isEmpty()
-    while open_rows:  # the closest pairs first: they settle most groups; a round sends rows x ``nearest`` pairs a tree at most
-        left = materialise(unsettled(points, marked, found))
-        if left.isEmpty():
-            break
-        got = materialise(wide_links(left, nearest))
-        open_rows = not got.where("a = b").isEmpty()
-        more = materialise(got.where("a < b").join(edges, ["a", "b"], "left_anti"))
-        sure = materialise(sure.unionByName(verified(more, docs, similarity, shingle, text, key)))
-        edges, found = edges.unionByName(more), materialise(components(sure))
-        nearest *= MORE
+    left = materialise(unsettled(marked, found))
+    if not left.isEmpty():
+        found = materialise(components(sure.unionByName(settle(left, docs, similarity, shingle, text, key))))
     named = counts.join(found.withColumnRenamed("vertex", "rep"), "rep", "left").select(*_WORDS, F.coalesce("component", "rep").alias("component_id"))
     hot = hot_keys(counts, _WORDS, "n", prints.count())
     return join_on_skewed_key(prints, named, hot, _WORDS).select("doc_id", "component_id")

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import HOT_SHARE, hot_keys, join_on_skewed_key, materialise
+from plumbline.llm.common import HOT_SHARE, hot_keys, join_on_skewed_key, materialise, trim
 
 #: Bytes of an anchor string.
 K = 100
@@ -146,6 +146,7 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
                     [pa.array(anchor.view(np.int64)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int32)), own.column("did"), own.column("t1"), own.column("t2"), pa.array(begin.astype(np.int64))],
                     ["h", "s", "n", "did", "t1", "t2", "start"],
                 )
+        trim()
 
     return docs.mapInArrow(run, "h long, s long, n int, did long, t1 long, t2 long, start long")
 
@@ -274,6 +275,7 @@ def _matched(segments: DataFrame, length: int) -> DataFrame:
                 size += len(r["bytes"])
         if group:
             yield solve()
+        trim()
 
     return segments.mapInArrow(run, "h long, s long, n int, earlier array<int>, either array<int>")
 
@@ -416,6 +418,7 @@ def dedup_substrings(docs: DataFrame, length: int = 400, keep_first: bool = True
                     kept, shown = b"".join([*kept, raw[at:]]), b"".join([*shown, raw[shown_at:]])
                     out.append((r["doc_id"], len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), [list(s) for s in spans], shown.decode()))
                 yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)), part.column("kept_with")], [*names, "kept_with"])
+        trim()
 
     joined = join_on_skewed_key(named, ranges, hot, TEXT, "left").select("doc_id", "text", F.when(F.col("did") == F.col("lead"), F.col("ranges")).otherwise(F.col("others")).alias("ranges"), "kept_with")
     made = joined.mapInArrow(finish, f"doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<long>>, kept string, kept_with {joined.schema['kept_with'].dataType.simpleString()}")

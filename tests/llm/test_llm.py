@@ -590,15 +590,36 @@ def test_near_copies_of_unsettled_groups():
     words, home, mask = center ^ flips, np.ones(80, bool), (1 << 16) - 1
     first = simhash_vp.link_wide(words, home, 0, mask)
     marks = {a for a, b in first.tolist() if a == b}
-    label = np.arange(80) % 7
-    pairs = {(min(p), max(p)) for p in simhash_vp.link_wide(words, home, 0, mask, label).tolist()}
     within = [(a, b) for a in range(80) for b in range(a) if np.bitwise_count((words[a] ^ words[b]) & np.uint64(mask)).sum(where=[True, False, False, False]) <= 1]
     assert marks and {a for p in within for a in p} <= marks | {x for p in first.tolist() for x in p}
-    assert {(b, a) for a, b in within if label[a] != label[b]} <= pairs
-    assert all(label[a] != label[b] for a, b in pairs)
-    near = simhash_vp.link_wide(words, home, 0, mask, label, 2)
-    pairs = near[near[:, 0] != near[:, 1]]
-    assert np.bincount(pairs[:, 0]).max() == 2 and len(near) > len(pairs)
+
+
+@pytest.mark.parametrize("part", [1 << 20, 900])
+def test_groups_are_settled_whole(spark, part):
+    """Links between labels against all pairs, in one task and in tiles."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(104)]
+    texts = []
+    for _ in range(60):
+        own = list(base)
+        for at in rng.sample(range(104), rng.randint(1, 6)):
+            own[at] = rng.choice("abc")
+        texts.append(" ".join(own))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    of, label = [d % 2 for d in range(60)], [d % 20 for d in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    left = spark.createDataFrame([(d, of[d], label[d]) for d in range(60)], "rep long, of long, label long")
+    got = [(r.a, r.b) for r in simhash_vp.settle(left, docs, 0.8, 5, "text", "doc_id", part).collect()]
+    real = [(a, b) for b in range(60) for a in range(b) if of[a] == of[b] and label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+
+    def joined(edges):
+        now = list(label)
+        for a, b in edges:
+            x, y = now[a], now[b]
+            now = [min(x, y) if v in (x, y) else v for v in now]
+        return now
+
+    assert set(got) <= set(real) and joined(got) == joined(real) and 0 < len(got) < len(real)
 
 
 def test_near_copies_of_short_texts(spark):
