@@ -61,7 +61,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     named = groups.join(odd, "rid", "left").select("component_id", "rid", F.when(F.col("odd"), F.col("own")).otherwise(F.col("rid")).alias("own"))
     first = named.groupBy("component_id").agg(F.min(F.struct(F.col("own").isNull().alias("none"), "own", "rid")).alias("first"))
     gone = groups.select("rid").join(first.select(F.col("first.rid").alias("rid")), "rid", "left_anti")
-    return rows.join(gone, "rid", "left_anti").select(*COLUMNS)
+    return rows.join(gone.hint("merge"), "rid", "left_anti").select(*COLUMNS)  # one plan for every size
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
