@@ -300,7 +300,7 @@ LIMITS = (24, 32, 38, 44, 52)
 #: verified first, and after that their pairs with other components.
 FEW = 32
 #: Shingles of one part of a group that is not settled: two parts meet in a task.
-PART_SHINGLES = 1 << 20
+PART_SHINGLES = 1 << 19
 #: As SHARD_ROWS. Each level of shards sends about 1.4 times the rows, so shards are as large as a task
 #: bears: this many rows of 41 bytes.
 WIDE_SHARD_ROWS = 262_144
@@ -481,7 +481,7 @@ def shingle_sets(docs: DataFrame, used: DataFrame, shingle: int, text: str, key:
         flat = np.concatenate(got) if got else np.empty(0, np.int64)
         return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, pa.int64()))], ["doc_id", "shingles"])
 
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text")).join(used, "doc_id", "left_semi")
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("__text")).join(used.hint("merge"), "doc_id", "left_semi")
     return materialise(map_batches(own, sets, "doc_id long, shingles array<long>"))
 
 
@@ -554,8 +554,8 @@ def settle(left: DataFrame, docs: DataFrame, similarity: float, shingle: int, te
     """
     sets = shingle_sets(docs, left.select(F.col("rep").alias("doc_id")), shingle, text, key)
     rows = materialise(left.join(sets.withColumnRenamed("doc_id", "rep"), "rep"))
-    cuts = rows.groupBy("of").agg(F.ceil(F.sum(F.size("shingles")) / part_shingles).cast("int").alias("cuts")).where("cuts > 1")  # few: a part of shingles each
-    cut = rows.join(cuts, "of", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    cuts = rows.groupBy("of").agg(F.ceil(F.sum(F.size("shingles")) / part_shingles).cast("int").alias("cuts")).where("cuts > 1")
+    cut = rows.join(F.broadcast(materialise(cuts)), "of", "left")  # a row for each PART_SHINGLES of shingles, at most.withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("cuts")).cast("int"))
     carried = ["of", "rep", "label", "shingles"]
     as_home = cut.select(*carried, F.lit(True).alias("home"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("cuts") - 1)).alias("j"))
