@@ -9,6 +9,8 @@ import pytest
 from plumbline.plans.catalog import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
+#: `benchmark` holds no near copies, and every order has its customer; tests over other tables cover these.
+EMPTY = {"anti_missing", "duplicate_clusters", "lcs_verified_pairs", "lsh_candidates"}
 
 
 def rows(frame):
@@ -28,6 +30,7 @@ def duck():
 @pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
     got = QUERIES[name](spark, SF).toPandas()
+    assert len(got) or name in EMPTY
     if name in ORACLES:
         assert rows(got) == rows(duck.sql(ORACLES[name]).df())
 
