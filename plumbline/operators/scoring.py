@@ -51,3 +51,66 @@ def poisson_tail(k: Column, rate: Column) -> Column:
     """P(X >= k) of a Poisson variable."""
     terms = F.aggregate(F.sequence(F.lit(1), k.cast("int") - 1), F.struct(F.exp(-rate).alias("t"), F.exp(-rate).alias("s")), lambda a, i: F.struct((a["t"] * rate / i).alias("t"), (a["s"] + a["t"] * rate / i).alias("s")))
     return F.when(k <= 0, 1.0).when(k == 1, 1 - F.exp(-rate)).otherwise(F.greatest(F.lit(0.0), 1 - terms["s"]))
+
+
+# Scales of the deviation of count-based findings, the credit of a category without a finding, full samples.
+DEVIATION_FLOOR, DUP_SCALE, RATE_SCALE, DENSITY_SCALE = 0.05, 0.15, 0.5, 2.0
+NO_FINDING_PRIOR, EVIDENCE_LINES, FULL_SAMPLE = 0.8, 2500, 8
+
+
+def group_deviation(functions: int, kloc: float) -> Column:
+    """Deviation of a group of findings, an aggregate over consistency, dup_size, importance.
+
+    Votes: the worst share off the convention, at least DEVIATION_FLOOR where there is any. Groups of duplicates:
+    redundant copies, weighted by importance, a function. Else findings a function, or a thousand lines where no function is known.
+    """
+    signals = F.bool_and(F.col("consistency").isNotNull())
+    worst = F.greatest(F.lit(0.0), F.max(1 - F.col("consistency") / 100))
+    copies = F.sum(F.when(F.col("dup_size") > 1, (F.col("dup_size") - 1) * F.col("importance")).otherwise(0.0))
+    rest = 1 - F.exp(-(F.count("*") / functions) / RATE_SCALE) if functions else 1 - F.exp(-(F.count("*") / kloc) / DENSITY_SCALE)
+    grouped = F.when(F.bool_or(F.col("dup_size") > 1), 1 - F.exp(-(copies / functions) / DUP_SCALE)).otherwise(rest) if functions else rest
+    return F.when(signals, F.when(worst <= 0, 0.0).otherwise(F.greatest(F.lit(DEVIATION_FLOOR), F.least(F.lit(1.0), worst)))).otherwise(grouped)
+
+
+def detector_damage(findings: DataFrame, functions: int, kloc: float) -> DataFrame:
+    """Damage of each (category, analyzer): as ``damage``, with the deviation and the sample taken from the findings.
+
+    The sample is the largest total_relevant, 1 without one; groups of duplicates carry importance in their deviation.
+    """
+    sev = F.max(F.coalesce(*(F.when(F.col("severity") == k, v) for k, v in SEVERITY.items()), F.lit(0.0)))
+    sample = F.when(F.coalesce(F.max("total_relevant"), F.lit(0)) <= 0, 1.0).otherwise(F.least(F.lit(1.0), F.max("total_relevant") / FULL_SAMPLE))
+    dup = ~F.bool_and(F.col("consistency").isNotNull()) & F.bool_or(F.col("dup_size") > 1) if functions else F.lit(False)
+    imp = F.when(dup, 1.0).otherwise(F.max("importance"))
+    return findings.groupBy("category", "analyzer").agg(F.count("*").alias("n"), F.least(F.lit(MAX_DAMAGE), sev * F.avg("confidence") * imp * group_deviation(functions, kloc) * sample).alias("damage"))
+
+
+def category_scores(damages: DataFrame, categories: DataFrame, lines: int) -> DataFrame:
+    """Score of each category (category, weight): weight x health, to a tenth; without a finding the evidence prior."""
+    empty = NO_FINDING_PRIOR + (1 - NO_FINDING_PRIOR) * (1 - F.exp(F.lit(-max(0, lines) / EVIDENCE_LINES)))
+    h = damages.groupBy("category").agg(F.product(1 - F.col("damage")).alias("health"), F.sum("n").alias("findings"))
+    out = categories.join(h, "category", "left")
+    return out.select("category", "weight", F.coalesce("findings", F.lit(0)).alias("findings"), (F.floor(F.col("weight") * F.coalesce("health", empty) * 10 + 0.5) / 10).alias("score"))
+
+
+def file_scores(findings: DataFrame) -> DataFrame:
+    """100 x the product over a file's analyzers of 1 - severity x confidence x importance, rounded."""
+    sev = F.max(F.coalesce(*(F.when(F.col("severity") == k, v) for k, v in SEVERITY.items()), F.lit(0.0)))
+    each = findings.groupBy("path", "analyzer").agg(F.least(F.lit(MAX_DAMAGE), sev * F.avg("confidence") * F.max("importance")).alias("d"), F.count("*").alias("n"))
+    return each.groupBy("path").agg(F.sum("n").alias("findings"), F.floor(100 * F.product(1 - F.col("d")) + 0.5).cast("long").alias("score"))
+
+
+def zone(drift: Column) -> Column:
+    return F.when(drift < 0.25, "green").when(drift < 0.5, "yellow").otherwise("red")
+
+
+def gauge(scope: Column, convention: Column, redundancy: Column) -> Column:
+    """Noisy-OR of the shares of three kinds of flags, to a thousandth."""
+    clamp = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    return F.floor((1 - (1 - 0.5 * clamp(scope)) * (1 - 0.35 * clamp(convention)) * (1 - 0.4 * clamp(redundancy))) * 1000 + 0.5) / 1000
+
+
+def held_zone(last: Column, drift: Column, margin: float = 0.05) -> Column:
+    """The next zone: a boundary counts only when it is passed by a margin."""
+    raw = zone(drift)
+    stay = ((last == "green") & (raw == "yellow") & (drift < 0.25 + margin)) | ((last == "yellow") & (raw == "red") & (drift < 0.5 + margin)) | ((last == "yellow") & (raw == "green") & (drift > 0.25 - margin)) | ((last == "red") & (raw == "yellow") & (drift > 0.5 - margin))
+    return F.when(stay, last).otherwise(raw)

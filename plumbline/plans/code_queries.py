@@ -27,7 +27,7 @@ def _vote_sql(styles: str, group: str = "dir") -> str:
     """A directory vote over a CTE ``styles`` (file_id, dir, style)."""
     return f"""{styles}, d as (select {group}, style p, count(*) c, min(file_id) f from styles group by 1, 2),
 v as (select *, row_number() over (partition by {group} order by c desc, f) r, sum(c) over (partition by {group}) t from d)
-select {group}, p as dominant, c as dominant_count, t::bigint as total, floor(100.0 * c / t + 0.5)::bigint as consistency, (t >= 3 and c::double / t >= 0.7 and c < t) as flagged from v where r = 1"""
+select {group}, p as dominant, c as dominant_count, t::bigint as total, floor(c::double / t * 100 + 0.5)::bigint as consistency, (t >= 3 and c::double / t >= 0.7 and c < t) as flagged from v where r = 1"""
 
 
 def _family_case(families: dict[str, str]) -> str:
@@ -69,7 +69,7 @@ def exclusion_suggestion(t):
 def evidence_extraction(t):
     found = standin.lines(t).select("path", "line", "text").distinct().where(F.col("text").rlike(r"\bconst\b"))
     w = Window.partitionBy("path").orderBy("line", "text")
-    return found.withColumn("n", F.row_number().over(w)).where("n <= 3").select("path", "line", F.substring(F.trim("text"), 1, 120).alias("code"), "n")
+    return found.withColumn("n", F.row_number().over(w).cast("long")).where("n <= 3").select("path", "line", F.substring(F.trim("text"), 1, 120).alias("code"), "n")
 
 
 ASYNC = f"""{LINES}, a as (select file_id, dir, count(*) filter (regexp_matches(text, '\\bawait\\s+') and not starts_with(trim(text), '//') and not starts_with(trim(text), '*')) awaits,

@@ -28,7 +28,7 @@ LINES = "lines as (select " + ", ".join(f"{v} as {k}" for k, v in COLUMNS.items(
 FILES = LINES + ", files as (select file_id, dir, path, count(*)::int as line_count, string_agg(text, chr(10) order by line, text) as content from lines group by all)"
 #: Findings: one for each line item of a short time.
 FINDING = {
-    "id": "l_orderkey * 8 + l_linenumber", "analyzer": "'a' || cast(l_suppkey % 11 as string)", "category": "'c' || cast(l_suppkey % 5 as string)", "severity": "case l_returnflag when 'R' then 'error' when 'A' then 'warning' else 'info' end",
+    "id": "l_orderkey * 10000000 + l_partkey * 10 + l_linenumber", "analyzer": "'a' || cast(l_suppkey % 11 as string)", "category": "'c' || cast(l_suppkey % 5 as string)", "severity": "case l_returnflag when 'R' then 'error' when 'A' then 'warning' else 'info' end",
     "confidence": "0.3 + l_discount * 6", "path": PATH, "line": "l_linenumber", "message": "'rule ' || cast(l_partkey % 17 as string)", "total_relevant": "cast(l_quantity as int)", "consistency": "cast(l_quantity * 2 as int)", "dup_size": "case when l_partkey % 6 = 0 then cast(l_quantity as int) % 5 + 1 else 0 end",
 }
 FINDINGS = "findings as (select " + ", ".join(f"{v} as {k}" for k, v in FINDING.items()) + " from lineitem)"
