@@ -35,7 +35,7 @@ SPACE = "▁"
 NONE = np.int32(2**31 - 1)
 _UNITS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Bytes of kept units for each Python worker, about, after which the table starts anew.
-KEPT_BYTES = 24 << 20
+KEPT_BYTES = 64 << 20
 #: Texts, and characters of texts, that are spread into units at once.
 PART_TEXTS, PART_CHARS = 256, 1 << 20
 #: Characters of new units that are merged at once.
