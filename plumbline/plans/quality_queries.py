@@ -131,14 +131,18 @@ def dedup_priority(t):
     return t("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg(F.min_by("l_returnflag", F.struct(p, "l_linenumber")).alias("kept"), F.count("*").alias("merged"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("sources"))
 
 
-@query("""with h as (select source, doc_id, sha256(doc_id::varchar || ':' || sha256(text)) h from documents), g as (select source, doc_id // 256 b, sha256(string_agg(h, chr(10) order by doc_id, h)) h from h group by 1, 2)
-select source, sha256(string_agg(h, chr(10) order by b)) as key from g group by 1""")
+@query("""with h as (select source, doc_id, sha256(doc_id::varchar || ':' || sha256(text)) h from documents), g as (select source, doc_id // 256 b, sha256(string_agg(h, chr(10) order by doc_id, h)) h from h group by 1, 2),
+"""
+    + ", ".join(f"g{k} as (select source, b // 256 b, sha256(string_agg(h, chr(10) order by b)) h from g{k - 1 or ''} group by 1, 2)" for k in range(1, 7))
+    + " select source, h as key from g6")
 def merkle_key(t):
-    """A content key of each source: leaves, then nodes of 256 ids, then the root."""
+    """A content key of each source: leaves, then seven levels of nodes of 256, which hold 2 to the power of 56 ids."""
     ordered = lambda o: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(o, "h"))), lambda x: x["h"]), "\n")
     leaf = t("documents").select("source", "doc_id", F.sha2(F.concat(F.col("doc_id").cast("string"), F.lit(":"), F.sha2("text", 256)), 256).alias("h"))
     node = leaf.groupBy("source", F.floor(F.col("doc_id") / 256).alias("b")).agg(F.sha2(ordered("doc_id"), 256).alias("h"))
-    return node.groupBy("source").agg(F.sha2(ordered("b"), 256).alias("key"))
+    for _ in range(6):
+        node = node.groupBy("source", F.floor(F.col("b") / 256).alias("b")).agg(F.sha2(ordered("b"), 256).alias("h"))
+    return node.select("source", F.col("h").alias("key"))
 
 
 @query("""with p as (select doc_id, (regexp_matches(text, '(idiot|scum|moron|stupid|clown|loser)'))::int pred from documents), j as (select pred, toxic from p join labels using (doc_id)),
