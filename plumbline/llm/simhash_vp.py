@@ -555,7 +555,8 @@ def settle(left: DataFrame, docs: DataFrame, similarity: float, shingle: int, te
     sets = shingle_sets(docs, left.select(F.col("rep").alias("doc_id")), shingle, text, key)
     rows = materialise(left.join(sets.withColumnRenamed("doc_id", "rep"), "rep"))
     cuts = rows.groupBy("of").agg(F.ceil(F.sum(F.size("shingles")) / part_shingles).cast("int").alias("cuts")).where("cuts > 1")
-    cut = rows.join(F.broadcast(materialise(cuts)), "of", "left")  # a row for each PART_SHINGLES of shingles, at most.withColumn("cuts", F.coalesce("cuts", F.lit(1)))
+    # a row for each part_shingles of shingles, at most
+    cut = rows.join(F.broadcast(materialise(cuts)), "of", "left").withColumn("cuts", F.coalesce("cuts", F.lit(1)))
     cut = cut.withColumn("own", F.pmod(F.xxhash64("rep", F.lit(2)), F.col("cuts")).cast("int"))
     carried = ["of", "rep", "label", "shingles"]
     as_home = cut.select(*carried, F.lit(True).alias("home"), F.col("own").alias("i"), F.explode(F.sequence("own", F.col("cuts") - 1)).alias("j"))
