@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from plumbline.operators import functions as X
 from plumbline.operators import taint
@@ -74,3 +75,30 @@ def session_fold(t):
     file, category = F.concat(F.lit("src/f"), (F.floor("value") % 7).cast("string"), F.lit(".ts")), F.element_at(F.array(*map(F.lit, ("naming", "redundancy", "scope"))), (F.floor("value") % 3 + 1).cast("int"))
     text = F.when(kind == "prompt", F.concat(F.lit("Work on "), file)).otherwise((F.floor("value") % 5).cast("string"))
     return processor.session_table(t("events").select(F.col("user_id").cast("string").alias("sid"), F.col("event_id").cast("string").alias("aid"), F.col("ts").cast("timestamp").alias("ts"), kind.alias("type"), file.alias("file"), category.alias("category"), text.alias("text")))
+
+
+@query("""with e as (select user_id, floor(value)::bigint % 5 as finding, event_type, ts, event_id from events where event_type in ('error', 'purchase', 'signup')),
+g as (select user_id, finding, count(*) filter (event_type = 'error') raised, count(*) filter (event_type = 'signup') decided, arg_max(event_type, (ts, event_id)) filter (event_type <> 'signup') last from e group by 1, 2)
+select user_id, finding, raised, decided, case when last = 'error' then 'open' else 'resolved' end as state, last = 'error' and decided = 0 as awaits from g where raised > 0""")
+def finding_states(t):
+    """Whether each raised finding is open, and whether it awaits a decision; the last raise or resolution holds."""
+    e = t("events").where("event_type in ('error', 'purchase', 'signup')").select("user_id", (F.floor("value") % 5).alias("finding"), "event_type", "ts", "event_id")
+    last = F.max_by(F.when(F.col("event_type") != "signup", F.col("event_type")), F.when(F.col("event_type") != "signup", F.struct("ts", "event_id")))
+    g = e.groupBy("user_id", "finding").agg(F.count_if(F.col("event_type") == "error").alias("raised"), F.count_if(F.col("event_type") == "signup").alias("decided"), last.alias("last")).where("raised > 0")
+    open_ = F.col("last") == "error"
+    return g.select("user_id", "finding", "raised", "decided", F.when(open_, "open").otherwise("resolved").alias("state"), (open_ & (F.col("decided") == 0)).alias("awaits"))
+
+
+@query(f"with {standin.FINDINGS}, r as (select path, id, message, dup_size >= 4 as strong, row_number() over (partition by path order by (dup_size >= 4) desc, line, id) as place from findings) select path, id, message, strong, place from r where place <= 3")
+def advisory_ranking(t):
+    """The first three findings of each file: strong duplicates first, the others as they come."""
+    strong = F.col("dup_size") >= 4
+    w = Window.partitionBy("path").orderBy(strong.desc(), "line", "id")
+    return standin.findings(t).select("path", "id", "message", strong.alias("strong"), F.row_number().over(w).cast("long").alias("place")).where("place <= 3")
+
+
+@query("select d.doc_id, d.source, e.label, len(e.embedding)::int as dims from documents d join embeddings e on e.vec_id = d.doc_id")
+def embedding_index_join(t):
+    """Rows of the index: documents with the vector of the same id."""
+    vectors = t("embeddings").select(F.col("vec_id").alias("doc_id"), "label", F.size("embedding").alias("dims"))
+    return t("documents").select("doc_id", "source").join(vectors, "doc_id").select("doc_id", "source", "label", "dims")

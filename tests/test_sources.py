@@ -64,3 +64,24 @@ def _java(text):
     for c in text:
         h = (h * 31 + ord(c)) & 0xFFFFFFFF
     return h - 2**32 if h >= 2**31 else h
+
+
+def test_git_history(spark, tmp_path):
+    import subprocess
+
+    from plumbline.sources import gitlog
+
+    def git(*args):
+        subprocess.run(["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@example.org", *args], check=True, capture_output=True)
+
+    git("init", "-q")
+    for n, name in enumerate(("a.ts", "ü b.ts", "a.ts")):
+        (tmp_path / name).write_text(str(n))
+        git("add", "-A")
+        git("commit", "-qm", f"c{n}")
+    (tmp_path / "a.ts").write_text("changed")
+    (tmp_path / "new.ts").write_text("x")
+    for size in (1, 100):
+        rows = {r.path: (r.commits, r.authors) for r in gitlog.file_history(gitlog.touches(spark, str(tmp_path), size)).collect()}
+        assert rows == {"a.ts": (2, 1), "ü b.ts": (1, 1)}
+    assert sorted(r.path for r in gitlog.changed(spark, str(tmp_path)).collect()) == ["a.ts", "new.ts"]
