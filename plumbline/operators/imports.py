@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.similarity import bind
+
 # Endings tried for a specifier without one, endings that stand for others, and index files, in order.
 ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
 MAPPED = {".js": [".ts", ".tsx", ".js", ".jsx"], ".jsx": [".tsx", ".jsx"], ".mjs": [".mts", ".mjs"], ".cjs": [".cts", ".cjs"]}
@@ -60,15 +62,21 @@ def candidates(path: Column, spec: Column, aliases: dict[str, str] | None = None
         target = F.when(spec.startswith(prefix), normal_path(F.concat(F.lit(place.replace("*", "")), F.substr(spec, F.lit(len(prefix) + 1))))).otherwise(target)
     target = F.when(~spec.contains(":"), target)
     ending = F.regexp_extract(F.regexp_extract(spec, r"([^/]*)$", 1), r"^[^.].*(\.[^.]+)$", 1)
-    bare = F.when(ending == "", target).otherwise(F.expr("null"))
-    stem = target.substr(F.lit(1), F.length(target) - F.length(ending))
-    mapped = F.array().cast("array<string>")
-    for given, stands in MAPPED.items():
-        mapped = F.when(ending == given, F.array(*(F.concat(stem, F.lit(s)) for s in stands))).otherwise(mapped)
-    added = F.array(*(F.concat(bare, F.lit(s)) for s in ENDINGS))
-    inside = F.array(*(F.concat(target, F.lit("/" + s)) for s in INDEXES))
-    inside_stem = F.array(*(F.concat(F.when(ending != "", stem), F.lit("/" + s)) for s in INDEXES))
-    return F.when(target.isNotNull(), F.array_compact(F.concat(mapped, F.array(target), added, inside, inside_stem)))
+
+    def listed(at: Column) -> Column:
+        whole, end = at["target"], at["ending"]
+        stem = whole.substr(F.lit(1), F.length(whole) - F.length(end))
+        none = F.array().cast("array<string>")
+        mapped = none
+        for given, stands in MAPPED.items():
+            mapped = F.when(end == given, F.array(*(F.concat(stem, F.lit(s)) for s in stands))).otherwise(mapped)
+        added = F.when(end == "", F.array(*(F.concat(whole, F.lit(s)) for s in ENDINGS))).otherwise(none)
+        inside = F.array(*(F.concat(whole, F.lit("/" + s)) for s in INDEXES))
+        inside_stem = F.when(end != "", F.array(*(F.concat(stem, F.lit("/" + s)) for s in INDEXES))).otherwise(none)
+        return F.when(whole.isNotNull(), F.concat(mapped, F.array(whole), added, inside, inside_stem))
+
+    # bound, as the target would be worked out anew for each candidate
+    return bind(F.struct(target.alias("target"), ending.alias("ending")), listed)
 
 
 def resolve(found: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
@@ -86,8 +94,10 @@ def edges(found: DataFrame, files: DataFrame, aliases: dict[str, str] | None = N
     """Distinct (path, target): resolved imports, and for the others every file of that base name; none to itself."""
     seen = resolve(found, files, aliases)
     names = files.select("path").distinct().select(F.col("path").alias("target"), base_key(F.col("path")).alias("key"))
-    loose = seen.where("target is null").select("path", base_key(F.col("spec")).alias("key")).distinct().join(names, "key").select("path", "target")
-    return seen.where("target is not null").select("path", "target").unionByName(loose).where("path <> target").distinct()
+    # a resolved import gets a key of its own that no file has, so that no null key grows hot
+    key = F.when(F.col("target").isNull(), base_key(F.col("spec"))).otherwise(F.concat(F.lit("/"), F.col("path"), F.lit(" "), F.col("spec")))
+    met = seen.withColumn("key", key).join(names.withColumnRenamed("target", "named"), "key", "left")
+    return met.select("path", F.coalesce("target", "named").alias("target")).where("path <> target").distinct()
 
 
 def in_degree(files: DataFrame, links: DataFrame) -> DataFrame:
