@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import divergence, langid, licences, piece_bpe, pigeonhole, simhash_vp, slots, suffix_dedup, token_offsets, toxic_neighbours
+from plumbline.llm import divergence, html_consensus, langid, licences, piece_bpe, pigeonhole, simhash_vp, slots, suffix_dedup, token_offsets, toxic_neighbours
 from plumbline.llm.common import held_out, table
 
 
@@ -65,5 +65,10 @@ def op10_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", F.round("score", 6).alias("score"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_divergence, op2_virtual_slots, op3_token_counts, op4_language, op5_decontamination, op6_toxicity, op7_sentencepiece, op8_simhash, op9_suffix_dedup, op10_licences)}
+def op11_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_consensus.main_text(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "url", "text", "n_chars")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_divergence, op2_virtual_slots, op3_token_counts, op4_language, op5_decontamination, op6_toxicity, op7_sentencepiece, op8_simhash, op9_suffix_dedup, op10_licences, op11_html_text)}
 ORACLES: dict[str, str] = {}
