@@ -234,9 +234,9 @@ def _clean(page: Page, block: tuple[int, str, int]) -> float:
 
 
 def best_container(page: Page) -> int:
-    """The container with the best balance of what it holds of the main text and of how little else it holds; 0 where no text is left.
+    """The container with the best balance of what it holds of the main text and of how little else it holds; -1 where no text is left.
 
-    Ties go to the innermost container.
+    Ties go to the innermost container. Element 0, the page itself, has the empty path.
     """
     n = len(page.parent)
     clean, whole = [0.0] * n, [0.0] * n
@@ -247,10 +247,10 @@ def best_container(page: Page) -> int:
         clean[page.parent[e]] += clean[e]
         whole[page.parent[e]] += whole[e]
     if not clean[0]:
-        return 0
+        return -1
     best, top = 0, 0.0
-    for e in range(1, n):
-        if page.tag[e] in CONTAINERS and clean[e] and not page.noise[e]:
+    for e in range(n):
+        if (page.tag[e] in CONTAINERS or not e) and clean[e] and not page.noise[e]:
             held, pure = clean[e] / clean[0], clean[e] / whole[e]
             score = 2 * held * pure / (held + pure) * (1.15 if page.good[e] else 1.0)
             if score >= top:
@@ -272,10 +272,12 @@ def _reached(page: Page, paths: list[str]) -> list[list[int]]:
     trie: dict = {}
     for k, path in enumerate(paths):
         node = trie
-        for step in path.split(">"):
+        for step in path.split(">") if path else ():
             node = node.setdefault(step, {})
         node.setdefault(None, k)
     nodes, out = [trie] + [None] * (len(page.parent) - 1), [[] for _ in paths]
+    if None in trie:
+        out[trie[None]].append(0)
     for e in range(1, len(page.parent)):
         up = nodes[page.parent[e]]
         here = nodes[e] = up.get(page.said[e]) if up else None
@@ -289,7 +291,7 @@ def extract(page: Page, paths: list[str]) -> str:
     roots = next((r for r in _reached(page, paths) if r), None) if paths else None
     if roots is None:
         best = best_container(page)
-        if not best:
+        if best < 0:
             return ""
         roots = [best]
     within = [False] * len(page.parent)
@@ -313,7 +315,8 @@ def votes(pages: DataFrame) -> DataFrame:
             hosts, paths = [], []
             for name, html in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 page = Page(html.as_py() or "")
-                if best := best_container(page):
+                best = best_container(page)
+                if best >= 0:
                     hosts.append(name)
                     paths.append(path_of(page, best))
             yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(paths, pa.string())], names=["host", "path"])

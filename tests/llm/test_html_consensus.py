@@ -56,7 +56,8 @@ def test_parser():
     assert text("<div>a</div><div>b<style>p{}</style></div>") == "a\n\nb"
     assert text("<div>never ended <a href='x>y") == "never ended y"  # a quotation mark that is never closed: the tag ends at its first >
     assert text("<div>never ended <a href='x y") == "never ended"
-    assert hc.path_of(page := hc.Page('<html><div class="B post-12 a"><p>x</div>'), page.tag.index("div")) == "html>div.a.b.post-#"
+    page = hc.Page('<html><div class="B post-12 a"><p>x</div>')
+    assert hc.path_of(page, page.tag.index("div")) == "html>div.a.b.post-#"
 
 
 @pytest.mark.parametrize("html", ["<" * 10**6, '<a "' * 250000, "<div>" * 200000, "<b>" * 100000 + "<li></li>" * 50000, "<!--" * 200000, "<a '>" + "<a>" * 200000, "</x>" * 200000, "<p><b>" * 100000, "x" * 3000000], ids=lambda h: h[:6])
