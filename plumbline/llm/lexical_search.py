@@ -92,13 +92,13 @@ class _Shard:
         for term, (docs, tfs) in self.posted.items():
             d = place[docs]
             by = np.argsort(d)
-            out.append((number, term, d[by].tobytes(), np.array(tfs, np.int32)[by].tobytes(), None, None, None, len(docs)))
+            out.append((number, term, d[by].tobytes(), np.array(tfs, np.int32)[by].tobytes(), None, None, ns[docs][by].astype(np.int32).tobytes(), len(docs)))
         kinds = [pa.int64(), *[pa.binary()] * 6, pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=_FIELDS)
 
 
 def post(docs: DataFrame, asked: frozenset[bytes] | None) -> DataFrame:
-    """Posting lists by shard, uncompressed and without impacts, of all terms or of those asked for."""
+    """Posting lists by shard with each document's number of terms, uncompressed and without impacts, of all terms or of those asked for."""
     terms = docs.sparkSession.sparkContext.broadcast(asked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +140,9 @@ def build(docs: DataFrame, asked: frozenset[bytes] | None = None) -> Index:
     ms = heads.select("shard", "ns").mapInArrow(lengths, "shard long, ms binary")
     shards = materialise(heads.select("shard", "ids", "nulls").join(ms, "shard"))
     weight = posted.where("term is not null").groupBy("term").agg(F.sum("df").alias("all")).select("term", F.floor(1000 * F.log((F.lit(2.0 * n_docs + 2)) / (2.0 * F.col("all") + 1))).cast("long").alias("weight"))
-    lists = posted.where("term is not null").select("shard", "term", "docs", "tfs").join(weight, "term").join(shards.select("shard", "ms"), "shard")
-    return Index(materialise(lists.mapInArrow(_seal, SEALED)), shards.select("shard", "ids", "nulls", "ms"), n_docs, n_terms)
+    weight = F.broadcast(weight) if asked is not None else weight  # as many as were sent to all tasks before
+    lists = posted.where("term is not null").select("shard", "term", "docs", "tfs", "ns").join(weight, "term")
+    return Index(materialise(lists.mapInArrow(_sealer(n_docs, n_terms), SEALED)), shards.select("shard", "ids", "nulls", "ms"), n_docs, n_terms)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,35 +162,41 @@ def impacts(tfs: np.ndarray, ms: np.ndarray) -> np.ndarray:
     return 1_000_000_000 * tfs // (1000 * tfs + 8 * ms)
 
 
-SEALED = "shard long, term binary, weight long, n long, last binary, peak binary, ends binary, blob binary"
+SEALED = "shard long, term binary, weight long, n long, block int, last binary, peak binary, ends binary, blob binary"
 
 
-def _seal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting lists become blocks: packed gaps and counts, with last documents and highest impacts beside them."""
-    for batch in batches:
-        out = []
-        for shard, term, docs, tfs, weight, ms in zip(*(batch.column(name).to_pylist() for name in ("shard", "term", "docs", "tfs", "weight", "ms")), strict=True):
-            d, tf = np.frombuffer(docs, np.int32).astype(np.int64), np.frombuffer(tfs, np.int32).astype(np.int64)
-            impact = impacts(tf, np.frombuffer(ms, np.int64)[d])
-            gaps = np.diff(d, prepend=-1) - 1
-            starts = np.arange(0, len(d), BLOCK)
-            blob, ends = bytearray(), []
-            for at in starts:
-                a, b = pack(gaps[at : at + BLOCK]), pack(tf[at : at + BLOCK] - 1)
-                ends += [len(blob) + len(a), len(blob) + len(a) + len(b)]
-                blob += a + b
-            last = d[np.minimum(starts + BLOCK, len(d)) - 1].astype(np.int32)
-            out.append((shard, term, weight, len(d), last.tobytes(), np.maximum.reduceat(impact, starts).tobytes(), np.array(ends, np.int32).tobytes(), bytes(blob)))
-        kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), *[pa.binary()] * 4]
-        names = ["shard", "term", "weight", "n", "last", "peak", "ends", "blob"]
-        yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=names)
+def _sealer(n_docs: int, n_terms: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The function by which posting lists become blocks: packed gaps and counts, with last documents and highest impacts beside them."""
+
+    size = BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for shard, term, docs, tfs, weight, ns in zip(*(batch.column(name).to_pylist() for name in ("shard", "term", "docs", "tfs", "weight", "ns")), strict=True):
+                d, tf, n = (np.frombuffer(x, np.int32).astype(np.int64) for x in (docs, tfs, ns))
+                impact = impacts(tf, _ms(n, n_docs, n_terms))
+                gaps = np.diff(d, prepend=-1) - 1
+                starts = np.arange(0, len(d), size)
+                blob, ends = bytearray(), []
+                for at in starts:
+                    a, b = pack(gaps[at : at + size]), pack(tf[at : at + size] - 1)
+                    ends += [len(blob) + len(a), len(blob) + len(a) + len(b)]
+                    blob += a + b
+                last = d[np.minimum(starts + size, len(d)) - 1].astype(np.int32)
+                out.append((shard, term, weight, len(d), size, last.tobytes(), np.maximum.reduceat(impact, starts).tobytes(), np.array(ends, np.int32).tobytes(), bytes(blob)))
+            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), *[pa.binary()] * 4]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*out, strict=True), kinds, strict=True)], names=[c.split()[0] for c in SEALED.split(", ")])
+
+    return run
 
 
 class PostingList:
     """Blocks of one term in one shard; unpacked blocks are kept for the next query."""
 
-    def __init__(self, weight: int, n: int, last: bytes, peak: bytes, ends: bytes, blob: bytes, ms: np.ndarray):
-        self.n, self.ms, self.blob, self.weight = n, ms, blob, weight
+    def __init__(self, weight: int, n: int, block: int, last: bytes, peak: bytes, ends: bytes, blob: bytes, ms: np.ndarray):
+        self.n, self.size, self.ms, self.blob, self.weight = n, block, ms, blob, weight
         self.last = np.frombuffer(last, np.int32).astype(np.int64)
         self.peak = weight * np.frombuffer(peak, np.int64)
         self.ends = np.r_[0, np.frombuffer(ends, np.int32)]
@@ -198,7 +205,7 @@ class PostingList:
     def block(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """(documents, scores) of a block."""
         if k not in self.open:
-            n = min(BLOCK, self.n - k * BLOCK)
+            n = min(self.size, self.n - k * self.size)
             a, b, c = self.ends[2 * k : 2 * k + 3]
             docs = np.cumsum(unpack(self.blob[a:b], n) + 1) + (self.last[k - 1] if k else -1)
             self.open[k] = docs, self.weight * impacts(unpack(self.blob[b:c], n) + 1, self.ms[docs])
@@ -247,7 +254,7 @@ def best_of_shard(lists: list[PostingList], top: int) -> tuple[np.ndarray, np.nd
 
 
 HITS = "item long, doc_id long, score long"
-_LIST = ("shard", "term", "weight", "n", "last", "peak", "ends", "blob")
+_LIST = ("shard", "term", "weight", "n", "block", "last", "peak", "ends", "blob")
 _HEAD = ("shard", "ids", "nulls", "ms")
 
 
@@ -258,7 +265,7 @@ def _answer(asked: Broadcast, top: int) -> Callable[[pa.Table], pa.Table]:
         rows = shard.to_pylist()
         head = next(r for r in rows if r["term"] is None)
         ids, nulls, ms = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["nulls"], bool), np.frombuffer(head["ms"], np.int64)
-        lists = {r["term"]: PostingList(r["weight"], r["n"], r["last"], r["peak"], r["ends"], r["blob"], ms) for r in rows if r["term"] is not None and r["weight"] > 0}
+        lists = {r["term"]: PostingList(r["weight"], r["n"], r["block"], r["last"], r["peak"], r["ends"], r["blob"], ms) for r in rows if r["term"] is not None and r["weight"] > 0}
         found = []
         for item, terms in asked.value:
             if mine := [lists[t] for t in terms if t in lists]:

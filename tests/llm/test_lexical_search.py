@@ -81,17 +81,18 @@ def test_odd_rows(spark):
 def test_blocks_are_passed_over(monkeypatch):
     """Most blocks of a common term stay packed once a rare term has set the threshold."""
     n = 40 * ls.BLOCK
-    ms = np.full(n, 100, np.int64)
-    ms[:20] = 10
-    seal = lambda d, tf, w: ls.PostingList(w, len(d), *[r[c] for c in ("last", "peak", "ends", "blob")], ms) if (r := sealed(d, tf, w)) else None
+    ns = np.full(n, 10, np.int64)
+    ns[:20] = 0
+    ms = ls._ms(ns, n, n * 10)
+    seal = lambda d, tf, w: ls.PostingList(w, len(d), ls.BLOCK, *[r[c] for c in ("last", "peak", "ends", "blob")], ms) if (r := sealed(d, tf, w)) else None
 
     def sealed(d, tf, w):
         import pyarrow as pa
 
-        kinds = {"shard": pa.int64(), "term": pa.binary(), "docs": pa.binary(), "tfs": pa.binary(), "weight": pa.int64(), "ms": pa.binary()}
-        row = {"shard": 0, "term": b"t", "docs": np.array(d, np.int32).tobytes(), "tfs": np.array(tf, np.int32).tobytes(), "weight": w, "ms": ms.tobytes()}
+        kinds = {"shard": pa.int64(), "term": pa.binary(), "docs": pa.binary(), "tfs": pa.binary(), "weight": pa.int64(), "ns": pa.binary()}
+        row = {"shard": 0, "term": b"t", "docs": np.array(d, np.int32).tobytes(), "tfs": np.array(tf, np.int32).tobytes(), "weight": w, "ns": ns[d].astype(np.int32).tobytes()}
         batch = pa.RecordBatch.from_arrays([pa.array([row[k]], kind) for k, kind in kinds.items()], names=list(kinds))
-        return next(iter(ls._seal([batch]))).to_pylist()[0]
+        return next(iter(ls._sealer(n, n * 10)([batch]))).to_pylist()[0]
 
     common, rare = seal(range(n), [1] * n, 5), seal(range(20), [3] * 20, 900)
     docs, scores = ls.best_of_shard([common, rare], 10)
