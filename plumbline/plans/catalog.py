@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from plumbline.plans import code_queries, finding_queries, function_queries, graph_queries, quality_queries, similarity_queries, stream_queries, vote_queries
+from plumbline.plans import code_queries, finding_queries, function_queries, graph_queries, quality_queries, service_queries, similarity_queries, stream_queries, vote_queries, workflow_queries
 from plumbline.plans.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "code_queries", "finding_queries", "function_queries", "graph_queries", "quality_queries", "similarity_queries", "stream_queries", "vote_queries"]
+__all__ = ["ORACLES", "QUERIES", "code_queries", "finding_queries", "function_queries", "graph_queries", "quality_queries", "service_queries", "similarity_queries", "stream_queries", "vote_queries", "workflow_queries"]
