@@ -35,9 +35,16 @@ def _letters() -> np.ndarray:
 
 
 def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(texts x 2**BITS counts of hashed n-grams, number of letters of each text)."""
+    """(texts x 2**BITS counts of hashed n-grams, number of letters of each text).
+
+    A text stands between two blanks on either side; n-grams without a letter do not count. Long texts are worked off in
+    pieces that share two characters: each n-gram counts in the piece that its last character is new in, so the counts are those of the whole text.
+    """
     out, letters = np.zeros((len(texts), 1 << BITS), np.float32), np.zeros(len(texts), np.int64)
-    pieces = [(i, t[a : a + CHUNK_CHARS]) for i, t in enumerate(texts) for a in range(0, len(t), CHUNK_CHARS)]
+    pieces = []
+    for i, t in enumerate(texts):
+        t = f"  {t.lower()}  "
+        pieces += [(i, t[max(0, a - 2) : a + CHUNK_CHARS], min(a, 2)) for a in range(0, len(t), CHUNK_CHARS)]
     at = 0
     while at < len(pieces):
         part, size = [], 0
@@ -45,19 +52,23 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             part.append(pieces[at])
             size += len(pieces[at][1])
             at += 1
-        low = [p[1].lower() for p in part]
-        cp = np.frombuffer("  ".join(low).encode("utf-32-le"), np.uint32)
-        row = np.repeat([p[0] for p in part], [len(t) + 2 for t in low])[: len(cp)]
+        cp = np.frombuffer("".join(p[1] for p in part).encode("utf-32-le"), np.uint32)
+        sizes = np.array([len(p[1]) for p in part])
+        row = np.repeat([p[0] for p in part], sizes)
+        start = np.repeat(np.cumsum(sizes) - sizes, sizes)  # where each character's piece begins
+        place = np.arange(len(cp)) - start
+        new = place >= np.repeat([p[2] for p in part], sizes)
         is_letter = _letters()[cp]
         x = np.where(is_letter, cp, 32).astype(np.uint64)
-        letters += np.bincount(row[is_letter], minlength=len(texts))
+        letters += np.bincount(row[is_letter & new], minlength=len(texts))
         mix, step = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
         h, some, cells = np.zeros(len(x), np.uint64), np.zeros(len(x), bool), []
         for n in range(3):
             m = len(x) - n
             h = h[:m] * step + x[n:] + np.uint64(1)
             some = some[:m] | is_letter[n:]
-            cells.append((row[:m] * (1 << BITS) + ((h * mix) >> np.uint64(64 - BITS)).astype(np.int64))[some])
+            own = some & new[n:] & (place[n:] >= n)  # all of it in the piece
+            cells.append((row[n:] * (1 << BITS) + ((h * mix) >> np.uint64(64 - BITS)).astype(np.int64))[own])
         out += np.bincount(np.concatenate(cells), minlength=out.size).reshape(out.shape)
     return out, letters
 
