@@ -19,15 +19,19 @@ def _files(t):
     return C.text_files(standin.lines(t), KEYS)
 
 
-def _vote(rows, group="dir"):
-    return V.vote(rows, group, "style", "file_id")
+def _vote(rows, group="dir", threshold=0.7):
+    return V.vote(rows, group, "style", "file_id", threshold=threshold)
 
 
-def _vote_sql(styles: str, group: str = "dir") -> str:
+def _vote_sql(styles: str, group: str = "dir", threshold: float = 0.7) -> str:
     """A directory vote over a CTE ``styles`` (file_id, dir, style)."""
     return f"""{styles}, d as (select {group}, style p, count(*) c, min(file_id) f from styles group by 1, 2),
 v as (select *, row_number() over (partition by {group} order by c desc, f) r, sum(c) over (partition by {group}) t from d)
-select {group}, p as dominant, c as dominant_count, t::bigint as total, floor(c::double / t * 100 + 0.5)::bigint as consistency, (t >= 3 and c::double / t >= 0.7 and c < t) as flagged from v where r = 1"""
+select {group}, p as dominant, c as dominant_count, t::bigint as total, floor(c::double / t * 100 + 0.5)::bigint as consistency, (t >= 3 and c::double / t >= {threshold} and c < t) as flagged from v where r = 1"""
+
+
+# Fixed value: the share from which a project's way of logging is a convention.
+LOGGING_SHARE = 0.6
 
 
 def _family_case(families: dict[str, str]) -> str:
@@ -93,10 +97,11 @@ def export_consistency(t):
     return _vote(C.export_style(standin.lines(t), KEYS))
 
 
-@query(_vote_sql(f"""{FILES}, styles as (select file_id, 'project' as project, {_family_case(C.LOGGING)} style from files where {_family_case(C.LOGGING)} is not null)""", "project"))
+@query(_vote_sql(f"""{FILES}, styles as (select file_id, 'project' as project, {_family_case(C.LOGGING)} style from files where {_family_case(C.LOGGING)} is not null)""", "project", LOGGING_SHARE))
 def logging_consistency(t):
+    """One vote of the whole project; six of ten files are a convention here."""
     rows = _files(t).select("file_id", F.lit("project").alias("project"), C.first_family(F.col("content"), C.LOGGING).alias("style")).where("style is not null")
-    return _vote(rows, "project")
+    return _vote(rows, "project", LOGGING_SHARE)
 
 
 @query(_vote_sql(f"""{FILES}, styles as (select file_id, dir, {_family_case(C.STATE)} style from files where {_family_case(C.STATE)} is not null)"""))

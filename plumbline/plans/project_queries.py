@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import dependencies as D
+from plumbline.operators import import_style as S
 from plumbline.operators import intent as I
 from plumbline.plans.registry import query
 
@@ -99,3 +100,35 @@ qualify row_number() over (partition by project, category order by round(confide
 def intent_seeds(t):
     """The one declared pattern of each project and category that seeds its votes."""
     return I.top(I.hints(_declarations(t))).select("project", "category", "pattern", "confidence")
+
+
+def _import_files(t):
+    """Files of imports, one for each order: Go and Python by turns, in 24 folders."""
+    key = F.col("o_orderkey")
+    flat, loose, star = key * 7 % 10 >= 8, key * 3 % 11 >= 9, key * 3 % 11 == 0
+    own = F.when(loose, '\t"os"\n\t"fmt"\n').otherwise('\t"fmt"\n\t"os"\n')
+    go = F.concat(F.lit("package x\n\nimport (\n"), own, F.when(flat, "").otherwise("\n"), F.lit('\tlib "zeta.io/x/y"\n)\n\n// import "a/remark"\nvar s = "no/import"\n'))
+    near = F.lit("from .a import b\nfrom ..c import d\n")
+    far = F.lit("from imp.a import b\nfrom imp.c import d\n")
+    py = F.concat(F.lit('"""\nfrom .doc import gone\n"""\nfrom os import path\n'), F.when(flat, far).otherwise(near), F.when(star, "from .z import *\n").otherwise(""))
+    path = F.concat(F.format_string("imp/m%d/f%d", F.col("o_custkey") % 24, key), F.when(key % 2 == 0, ".go").otherwise(".py"))
+    return t("orders").select(path.alias("path"), F.when(key % 2 == 0, "go").otherwise("python").alias("language"), F.when(key % 2 == 0, go).otherwise(py).alias("content"))
+
+
+_STYLES = """k as (select 'imp/m' || cast(o_custkey % 24 as varchar) as folder, 'imp/m' || cast(o_custkey % 24 as varchar) || '/f' || cast(o_orderkey as varchar) || case when o_orderkey % 2 = 0 then '.go' else '.py' end as path, o_orderkey % 2 = 0 as go, o_orderkey * 7 % 10 >= 8 as flat, o_orderkey * 3 % 11 >= 9 as loose, o_orderkey * 3 % 11 = 0 as star from orders),
+styles as (select folder, path, 'go_grouping' as axis, case when flat then 'flat' else 'grouped' end as pattern from k where go union all select folder, path, 'go_ordering', case when loose then 'unordered' else 'ordered' end from k where go
+  union all select folder, path, 'py_path_style', case when flat and not star then 'absolute' when flat then 'absolute' else 'relative' end from k where not go union all select folder, path, 'py_wildcard', case when star then 'wildcard' else 'explicit' end from k where not go)"""
+
+
+@query(f"with {_STYLES} select path, axis, pattern from styles")
+def import_styles(t):
+    """Every axis that a file of imports decides; the SQL knows how each was written."""
+    return S.classify(_import_files(t))
+
+
+@query(f"""with {_STYLES}, n as (select axis, folder, pattern, count(*) as c from styles group by all), g as (select axis, folder, sum(c)::bigint as total, max(c) as dominant_count, arg_max(pattern, c) as dominant from n group by 1, 2)
+select axis, folder, dominant, dominant_count, total, cast(floor(dominant_count / total * 100 + 0.5) as bigint) as consistency, total - dominant_count as deviators, case when total - dominant_count >= 3 then 'warning' else 'info' end as severity
+from g where total >= 3 and dominant_count / total >= 0.7 and dominant_count < total""")
+def import_style_votes(t):
+    """Folders that agree on an axis but for some of their files; every axis has a convention over all files here."""
+    return S.findings(S.classify(_import_files(t))).drop("confidence")

@@ -17,6 +17,8 @@ def query(sql: str | None = None) -> Callable:
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return fn(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
+        if fn.__name__ in QUERIES:
+            raise ValueError(f"two queries are named {fn.__name__}")
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         QUERIES[fn.__name__] = run
         if sql:

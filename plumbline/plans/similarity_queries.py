@@ -100,26 +100,6 @@ def document_lcs_pairs(t):
     return both.select("a", "b", M.lcs_similarity("wa", "wb").alias("lcs")).where("lcs >= 0.7")
 
 
-COSINE = "with q as (select embedding::double[] v from embeddings where vec_id = 0), c as (select vec_id, list_cosine_similarity(embedding::double[], v) c from embeddings, q where vec_id <> 0)"
-
-
-def _cosines(t):
-    rows = t("embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
-    probe = [r[0] for r in rows.where("vec_id = 0").select("v").take(1)]
-    vector = F.array(*(F.lit(float(x)) for x in (probe[0] if probe else [])))
-    return rows.where("vec_id <> 0").select("vec_id", M.cosine(F.col("v"), vector).alias("c"))
-
-
-@query(COSINE + " select vec_id, round(c, 3) as cosine from c order by c desc, vec_id limit 20")
-def cosine_topk(t):
-    return _cosines(t).orderBy(F.desc("c"), "vec_id").limit(20).select("vec_id", F.round("c", 3).alias("cosine"))
-
-
-@query(COSINE + " select count(*) as in_band from c where c >= 0.72 and c < 0.9")
-def cosine_band(t):
-    return _cosines(t).where("c >= 0.72 and c < 0.9").agg(F.count("*").alias("in_band"))
-
-
 EVERY_20 = "with e as (select vec_id, embedding::double[] v from embeddings), c as (select q.vec_id query_id, e.vec_id, round(list_cosine_similarity(e.v, q.v), 12) c from e, e q where q.vec_id % 20 = 0 and e.vec_id <> q.vec_id)"
 
 
@@ -129,13 +109,13 @@ def _all_cosines(t):
 
 
 @query(EVERY_20 + " select query_id, vec_id, round(c, 3) as cosine from c qualify row_number() over (partition by query_id order by c desc, vec_id) <= 20")
-def cosine_topk_all(t):
+def cosine_topk(t):
     """The 20 nearest rows of every row whose id is divisible by 20."""
     return _all_cosines(t)[0].select("query_id", "vec_id", F.round("c", 3).alias("cosine"))
 
 
 @query(EVERY_20 + " select query_id, count(*) filter (c >= 0.72 and c < 0.9) as in_band from c group by 1")
-def cosine_band_all(t):
+def cosine_band(t):
     return _all_cosines(t)[1]
 
 
@@ -162,22 +142,9 @@ def orphan_pages(t):
     return t("pages").join(_links(t), F.col("url") == F.col("target"), "left_anti").select("page_id", "url")
 
 
-@query("""with s as (select distinct regexp_extract(url, '^(https?://[^/]+)', 1) scope from pages where page_id % 2 = 0 union select distinct regexp_extract(url, '^(https?://[^/]+/[^/]+)/', 1) from pages where page_id % 3 = 0)
-select page_id, arg_max(scope, length(scope)) as scope from pages join s on scope <> '' and (url = scope or starts_with(url, scope || '/')) group by 1""")
-def prefix_asof(t):
-    """The deepest scope above each page: ancestors meet scopes in an equi-join."""
-    pages = t("pages").select("page_id", "url")
-    hosts = pages.where("page_id % 2 = 0").select(F.regexp_extract("url", "^(https?://[^/]+)", 1).alias("scope"))
-    dirs = pages.where("page_id % 3 = 0").select(F.regexp_extract("url", "^(https?://[^/]+/[^/]+)/", 1).alias("scope"))
-    scopes = hosts.unionByName(dirs).where("scope <> ''").distinct()
-    parts = F.split("url", "/")
-    above = F.transform(F.sequence(F.lit(3), F.greatest(F.size(parts), F.lit(3))), lambda i: F.array_join(F.slice(parts, 1, i), "/"))
-    return pages.select("page_id", F.explode(F.array_distinct(above)).alias("scope")).join(scopes, "scope").groupBy("page_id").agg(F.max_by("scope", F.length("scope")).alias("scope"))
-
-
 @query("""with s as (select distinct regexp_extract(url, '^(https?://[^/]+)', 1) scope from pages union select distinct regexp_extract(url, '^(https?://[^/]+/[^/]+)/', 1) from pages)
 select page_id, arg_max(scope, length(scope)) as scope from pages join s on scope <> '' and (url = scope or starts_with(url, scope || '/')) group by 1""")
-def prefix_asof_all(t):
+def prefix_asof(t):
     """The deepest scope above each page, with the scopes of all pages."""
     pages = t("pages").select("page_id", "url")
     hosts, dirs = (pages.select(F.regexp_extract("url", p, 1).alias("scope")) for p in ("^(https?://[^/]+)", "^(https?://[^/]+/[^/]+)/"))

@@ -92,7 +92,7 @@ def burst_profile(t):
 
 
 @query("select lang, count(*) as files, sum(len(string_split(text, chr(10))))::bigint as lines from documents group by 1")
-def language_breakdown(t):
+def document_languages(t):
     return t("documents").groupBy("lang").agg(F.count("*").alias("files"), F.sum(F.size(F.split("text", "\n", -1))).alias("lines"))
 
 
