@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import dependencies as D
+from plumbline.operators import exports as X
 from plumbline.operators import import_style as S
 from plumbline.operators import intent as I
 from plumbline.plans.registry import query
@@ -132,3 +133,27 @@ from g where total >= 3 and dominant_count / total >= 0.7 and dominant_count < t
 def import_style_votes(t):
     """Folders that agree on an axis but for some of their files; every axis has a convention over all files here."""
     return S.findings(S.classify(_import_files(t))).drop("confidence")
+
+
+def _crud_files(t):
+    """A file for each order that exports two names and imports one of a later order of its folder over several lines; some are routed in a Go file."""
+    key, later = F.col("o_orderkey"), F.col("o_orderkey") + 24 * (F.col("o_custkey") % 3 + 1)
+    text = F.format_string('// export function gone() {}\nimport {\n  save%d,\n  type Row,\n} from "./s%d";\n\nexport async function save%d(a) {\n  return a;\n}\nfunction render%d() {}\nexport {\n  render%d as shown,\n};\n', later, later, key, key, key)
+    own = F.struct(F.format_string("crud/m%d/s%d.ts", key % 24, key).alias("path"), F.lit("typescript").alias("language"), text.alias("content"))
+    routes = F.struct(F.format_string("crud/r%d.go", key).alias("path"), F.lit("go").alias("language"), F.format_string('r.POST("/x", auth, h.save%d)\n', key).alias("content"))
+    return t("orders").select(F.explode(F.when(F.col("o_custkey") % 5 == 0, F.array(own, routes)).otherwise(F.array(own))).alias("f")).select("f.*")
+
+
+_WIRED = "o as (select o_orderkey as k, o_custkey as c from orders), left_over as (select 'crud/m' || cast(k % 24 as varchar) as folder, k from o where c % 5 <> 0 and k not in (select k + 24 * (c % 3 + 1) from o))"
+
+
+@query(f"with {_WIRED} select folder || '/s' || cast(k as varchar) || '.ts' as path, 7 as line, 'save' || cast(k as varchar) as name from left_over")
+def unwired_exports(t):
+    """Names of create, read, update or delete that no file imports and no route is handed."""
+    return X.unwired(_crud_files(t)).select("path", "line", "name")
+
+
+@query(f"""with {_WIRED}, n as (select 'crud/m' || cast(k % 24 as varchar) as folder, count(*) as total from o group by 1), u as (select folder, count(*) as unwired from left_over group by 1)
+select folder, unwired, total, cast(floor((1 - unwired / total) * 100 + 0.5) as int) as consistency, case when unwired / total >= 0.5 then 'error' when unwired / total >= 0.2 then 'warning' else 'info' end as severity from u join n using (folder)""")
+def unwired_export_findings(t):
+    return X.unwired_findings(_crud_files(t))
