@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.code import non_shippable
+from plumbline.operators.similarity import bind
 
 # Operations and their patterns, the first that fits a line names it.
 OPERATIONS = [
@@ -40,16 +41,23 @@ DISTINCT_OPS, LONG_RUN, LEAST_OPS, SHARE = 2, 6, 3, 0.8
 NO_DOMAIN = ("general", "request_handling")
 
 
+def _trimmed(line: Column) -> Column:
+    return F.regexp_replace(line, r"^\s+|\s+$", "")
+
+
+def _named(text: Column) -> Column:
+    return F.when(~text.isin("", "{", "}", ")"), F.coalesce(*(F.when(text.rlike(p), F.lit(name)) for name, p in OPERATIONS)))
+
+
 def operation(line: Column) -> Column:
     """The operation of one line; null for lines without one."""
-    text = F.regexp_replace(line, r"^\s+|\s+$", "")
-    return F.when(~text.isin("", "{", "}", ")"), F.coalesce(*(F.when(text.rlike(p), F.lit(name)) for name, p in OPERATIONS)))
+    return _named(_trimmed(line))
 
 
 def sequence(body: Column) -> Column:
     """Operations of a body in order; runs of one operation are one."""
-    found = F.array_compact(F.transform(F.split(body, "\n"), operation))
-    return F.filter(found, lambda x, i: (i == 0) | (x != F.get(found, i - 1)))
+    # bound, as the operations would be worked out anew for each of them
+    return bind(F.array_compact(F.transform(F.transform(F.split(body, "\n"), _trimmed), _named)), lambda found: F.filter(found, lambda x, i: (i == 0) | (x != F.get(found, i - 1))))
 
 
 def _shared_run(a: list[str], b: list[str]) -> list[str]:
@@ -82,9 +90,11 @@ def telling(run: Column) -> Column:
 
 def classes(functions: DataFrame) -> DataFrame:
     """domain, sequence, id, functions, files, shipped: functions (path, domain, body) with the same sequence of three operations or more."""
-    rows = functions.select("path", "domain", sequence(F.col("body")).alias("sequence")).where((F.size("sequence") >= LEAST_OPS) & ~F.col("domain").isin(*NO_DOMAIN))
-    out = rows.groupBy("domain", "sequence").agg(F.count("*").alias("functions"), F.count_distinct("path").alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"), F.count_if(~non_shippable(F.col("path"))).alias("shipped"))
-    return out.withColumn("id", F.xxhash64("domain", "sequence"))
+    rows = functions.where(~F.col("domain").isin(*NO_DOMAIN)).select("path", "domain", sequence(F.col("body")).alias("sequence"))
+    # counted by file first: distinct files need no second copy of the rows, and no second look at their bodies
+    files = rows.groupBy("domain", "sequence", "path").agg(F.count("*").alias("n"))
+    out = files.groupBy("domain", "sequence").agg(F.sum("n").alias("functions"), F.count("*").alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"), F.sum(F.when(non_shippable(F.col("path")), 0).otherwise(F.col("n"))).alias("shipped"))
+    return out.where(F.size("sequence") >= LEAST_OPS).withColumn("id", F.xxhash64("domain", "sequence"))
 
 
 def _keys(rows: DataFrame) -> DataFrame:
