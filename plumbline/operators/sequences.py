@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.operators.code import non_shippable
-from plumbline.operators.similarity import bind
 
 # Operations and their patterns, the first that fits a line names it.
 OPERATIONS = [
@@ -54,10 +56,34 @@ def operation(line: Column) -> Column:
     return _named(_trimmed(line))
 
 
-def sequence(body: Column) -> Column:
-    """Operations of a body in order; runs of one operation are one."""
-    # bound, as the operations would be worked out anew for each of them
-    return bind(F.array_compact(F.transform(F.transform(F.split(body, "\n"), _trimmed), _named)), lambda found: F.filter(found, lambda x, i: (i == 0) | (x != F.get(found, i - 1))))
+_BLANKS = " \t\n\x0b\f\r"
+# as Spark reads them: letters, digits and blanks are those of ASCII, words end as in any script, a dot takes no line separator
+_COMPILED = [(name, re.compile("(?ai:" + p.removeprefix("(?i)").replace(".*", "[^\\n\\r\\u0085\\u2028\\u2029]*").replace(r"\b", r"(?u:\b)") + ")")) for name, p in OPERATIONS]
+# No pattern tells numbers of the same first digit and of three digits or more apart.
+_NUMBER = re.compile(r"([0-9])([0-9]{1,2})[0-9]*")
+
+
+@lru_cache(65536)
+def _operation(line: str) -> str | None:
+    return next((name for name, p in _COMPILED if p.search(line)), None)
+
+
+def sequence_of(body: str) -> list[str]:
+    """Operations of a body in order; runs of one operation are one. Lines that are alike but for their numbers are looked at once."""
+    out: list[str] = []
+    for line in body.split("\n"):
+        text = line.strip(_BLANKS)
+        if text not in ("", "{", "}", ")"):
+            found = _operation(_NUMBER.sub(lambda m: m[1] + "0" * len(m[2]), text))
+            if found and (not out or out[-1] != found):
+                out.append(found)
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def sequence(body: pd.Series) -> pd.Series:
+    """``sequence_of`` of each body; null has none."""
+    return body.map(lambda b: None if b is None else sequence_of(b))
 
 
 def _shared_run(a: list[str], b: list[str]) -> list[str]:

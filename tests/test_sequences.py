@@ -116,3 +116,13 @@ def test_calls_hand_inputs_on(spark):
     ]
     got = {r.name: (r.reaching, r.categories) for r in taint.summaries(FN.extract(files)).collect()}
     assert got == {"save": ([1], ["sql_injection"]), "run": ([0], ["command_injection"]), "erase": ([0], ["path_traversal"])}
+
+
+def test_lines_are_looked_at_once(spark):
+    """Lines that are alike but for their numbers share one look; numbers that tell something do not."""
+    S._operation.cache_clear()
+    body = "\n".join(["  run%d(id)" % n for n in range(5000, 6000)] + ["res.status(404)", "res.status(40)", "x.save(1)", "return c.JSON(2)", "return c.JSON(34)", "\u00e9retry (", "retry ("])
+    assert S.sequence_of(body) == ["RETURN_ERR", "MUTATE", "RETURN_OK", "RETRY"]
+    assert S._operation.cache_info().misses == 8
+    lines = spark.createDataFrame([(x,) for x in set(body.split("\n"))], "t string").select("t", S.operation(F.col("t")).alias("o")).collect()
+    assert all(S.sequence_of(r.t) == ([r.o] if r.o else []) for r in lines)
