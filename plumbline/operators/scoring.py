@@ -93,10 +93,13 @@ def category_scores(damages: DataFrame, categories: DataFrame, lines: int) -> Da
 
 
 def file_scores(findings: DataFrame) -> DataFrame:
-    """100 x the product over a file's analyzers of 1 - severity x confidence x importance, rounded."""
+    """100 x the product over a file's analyzers of 1 - severity x confidence x importance, rounded.
+
+    Halves go up. Products are taken to 9 places first: the order in which a group's rows come changes their last bits.
+    """
     sev = F.max(F.coalesce(*(F.when(F.col("severity") == k, v) for k, v in SEVERITY.items()), F.lit(0.0)))
     each = findings.groupBy("path", "analyzer").agg(F.least(F.lit(MAX_DAMAGE), sev * F.avg("confidence") * F.max("importance")).alias("d"), F.count("*").alias("n"))
-    return each.groupBy("path").agg(F.sum("n").alias("findings"), F.floor(100 * F.product(1 - F.col("d")) + 0.5).cast("long").alias("score"))
+    return each.groupBy("path").agg(F.sum("n").alias("findings"), F.floor(F.round(100 * F.product(1 - F.col("d")), 9) + 0.5).cast("long").alias("score"))
 
 
 def zone(drift: Column) -> Column:

@@ -97,3 +97,10 @@ def test_stream_and_batch_agree(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("found").collect() == batch and batch[0].raised == 1 and batch[0].state == "resolve"
+
+
+def test_file_scores_do_not_hang_on_the_order_of_findings(spark):
+    rows = [("p", "a", "error", c, 1.0) for c in (0.3 + 0.1 * 6, 0.3, 0.3 + 0.1 * 6, 0.3 + 0.1 * 6)]
+    for given in (rows, [rows[i] for i in (0, 2, 1, 3)]):
+        found = spark.createDataFrame(given, "path string, analyzer string, severity string, confidence double, importance double").coalesce(1)
+        assert [tuple(r) for r in scoring.file_scores(found).collect()] == [("p", 4, 48)]  # 100 * (1 - 0.7 * 0.75) is 47.5
