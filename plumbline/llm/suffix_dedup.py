@@ -35,6 +35,8 @@ CHUNK = 1 << 18
 POS_BITS = 19
 #: Bytes of classes that one suffix array holds.
 ARRAY_BYTES = 1 << 20
+#: Positions whose common prefixes are measured at once.
+BLOCK = 1 << 16
 #: Bytes of distinct classes of one anchor beyond which windows meet by digest.
 GROUP_BYTES = 4 << 20
 
@@ -155,7 +157,14 @@ def _runs(docs: DataFrame, length: int) -> DataFrame:
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
-    return np.unique(keys, return_inverse=True)[1].astype(np.int64)
+    order = np.argsort(keys, kind="stable")
+    rises = np.zeros(len(keys), np.bool_)
+    in_order = keys[order]
+    np.not_equal(in_order[1:], in_order[:-1], out=rises[1:])
+    del in_order
+    rank = np.empty(len(keys), np.int32)
+    rank[order] = np.cumsum(rises, dtype=np.int32)
+    return rank
 
 
 def prefix_ranks(data: np.ndarray, length: int) -> dict[int, np.ndarray]:
@@ -164,13 +173,15 @@ def prefix_ranks(data: np.ndarray, length: int) -> dict[int, np.ndarray]:
     padded = np.concatenate([data, np.zeros(8, np.uint8)])
     word = np.zeros(n, np.uint64)
     for i in range(8):
-        word = (word << np.uint64(8)) | padded[i : i + n].astype(np.uint64)
+        word <<= np.uint64(8)
+        word |= padded[i : i + n]
     ranks, size = {8: _dense(word)}, 8
+    del word
     while 2 * size <= length:
         now = ranks[size]
-        ahead = np.zeros(n, np.int64)
-        ahead[: max(0, n - size)] = now[size:]
-        ranks[2 * size] = _dense((now << 32) | ahead)
+        both = now.astype(np.int64) << 32
+        both[: max(0, n - size)] |= now[size:]
+        ranks[2 * size] = _dense(both)
         size *= 2
     return ranks
 
@@ -181,7 +192,7 @@ def _nearest(pos: np.ndarray, step: int) -> np.ndarray:
     if step > 0:
         found = _nearest(pos[::-1], -1)[::-1]
         return np.where(found < 0, -1, n - 1 - found)
-    near = np.arange(-1, n - 1)
+    near = np.arange(-1, n - 1, dtype=np.int32)
     todo = np.flatnonzero((near >= 0) & (pos[near] > pos))
     while len(todo):
         near[todo] = near[near[todo]]
@@ -192,13 +203,13 @@ def _nearest(pos: np.ndarray, step: int) -> np.ndarray:
 
 def _common(ranks: dict[int, np.ndarray], a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     """Length of the common prefix of suffixes a and b, counted up to ``length``; b may be -1 (0)."""
-    out = np.zeros(len(a), np.int64)
+    out = np.zeros(len(a), np.int32)
     ok = np.flatnonzero(b >= 0)
     x, y = a[ok], b[ok]
     top = max(ranks)
     full = (ranks[top][x] == ranks[top][y]) & (ranks[top][x + length - top] == ranks[top][y + length - top])
     out[ok[full]] = length
-    part, at = ok[~full], np.zeros(int((~full).sum()), np.int64)
+    part, at = ok[~full], np.zeros(int((~full).sum()), np.int32)
     x, y = x[~full], y[~full]
     for size in sorted(ranks, reverse=True):
         same = ranks[size][x + at] == ranks[size][y + at]
@@ -215,15 +226,18 @@ def factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarr
     """
     ranks = prefix_ranks(data, length)
     top = max(ranks)
-    order = np.lexsort((starts, ranks[top][starts + length - top], ranks[top][starts]))
-    pos = starts[order]
+    order = np.lexsort((starts, ranks[top][starts + length - top], ranks[top][starts])).astype(np.int32)
+    pos = starts[order].astype(np.int32)
     out = []
     for sign in (1, -1):
-        best = np.zeros(len(pos), np.int64)
+        best = np.zeros(len(pos), np.int32)
         for step in (-1, 1):
             near = _nearest(sign * pos, step)
-            best = np.maximum(best, _common(ranks, pos, np.where(near >= 0, pos[near], -1), length))
-        back = np.empty(len(pos), np.int64)
+            for lo in range(0, len(pos), BLOCK):
+                part = slice(lo, lo + BLOCK)
+                other = np.where(near[part] >= 0, pos[near[part]], -1)
+                best[part] = np.maximum(best[part], _common(ranks, pos[part], other, length))
+        back = np.empty(len(pos), np.int32)
         back[order] = best
         out.append(back)
     return out[0], out[1]
@@ -251,7 +265,7 @@ def _matched(segments: DataFrame, length: int) -> DataFrame:
             counts = np.array([r["n"] for r in group], np.int64)
             at = np.concatenate(([0], np.cumsum([len(r["bytes"]) for r in group])[:-1])).astype(np.int64)
             ends = np.cumsum(counts)
-            starts = np.repeat(at, counts) + np.arange(ends[-1]) - np.repeat(ends - counts, counts)
+            starts = np.arange(ends[-1], dtype=np.int32) + np.repeat((at - ends + counts).astype(np.int32), counts)
             before, after = factors(np.frombuffer(raw, np.uint8), starts, length)
             old, new = before >= length, (before >= length) | (after >= length)
             cut = list(zip((ends - counts).tolist(), ends.tolist(), strict=True))

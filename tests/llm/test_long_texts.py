@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from plumbline.llm import langid, token_offsets
+from plumbline.llm import langid, suffix_dedup, token_offsets
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 BYTES = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -85,3 +85,19 @@ def test_predictions_are_recomputed():
         assert model.langs[int(np.argmax(cosines))] == lang == want
         nearest = [max(c for c, w in zip(cosines, model.langs, strict=True) if w == name) for name in ("x", "y")]
         assert score == pytest.approx(1 / sum(np.exp(12 * (c - max(nearest))) for c in nearest), abs=1e-5)
+
+
+def test_suffix_arrays_take_few_bytes_a_position():
+    import tracemalloc
+
+    import numpy as np
+
+    data = np.random.default_rng(1).integers(97, 123, 1 << 19, dtype=np.uint8)
+    data[1 << 18 : (1 << 18) + 5000] = data[:5000]
+    starts = np.arange(len(data) - 250 + 1, dtype=np.int32)
+    tracemalloc.start()
+    before, after = suffix_dedup.factors(data, starts, 250)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80 * len(data)
+    assert (before >= 250).sum() == (after >= 250).sum() == 4751
