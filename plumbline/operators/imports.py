@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.operators.graph import stored
 from plumbline.operators.similarity import bind
 
 # Endings tried for a specifier without one, endings that stand for others, and index files, in order.
@@ -53,51 +54,81 @@ def base_key(path: Column) -> Column:
     return F.when((last == "index") & (folder != ""), folder).otherwise(last)
 
 
-def candidates(path: Column, spec: Column, aliases: dict[str, str] | None = None) -> Column:
-    """Paths that ``spec`` may stand for, best first; null for bare packages and protocols."""
+def _target(path: Column, spec: Column, aliases: dict[str, str] | None) -> Column:
+    """The path that ``spec`` names from ``path``, before any ending; null for bare packages and protocols."""
     folder = F.regexp_extract(path, r"^(.*/)[^/]*$", 1)
     target = F.when(spec.startswith("."), normal_path(F.concat(folder, spec)))
     for pattern, place in reversed((aliases or {}).items()):
         prefix = pattern.replace("*", "")
         target = F.when(spec.startswith(prefix), normal_path(F.concat(F.lit(place.replace("*", "")), F.substr(spec, F.lit(len(prefix) + 1))))).otherwise(target)
-    target = F.when(~spec.contains(":"), target)
-    ending = F.regexp_extract(F.regexp_extract(spec, r"([^/]*)$", 1), r"^[^.].*(\.[^.]+)$", 1)
-
-    def listed(at: Column) -> Column:
-        whole, end = at["target"], at["ending"]
-        stem = whole.substr(F.lit(1), F.length(whole) - F.length(end))
-        none = F.array().cast("array<string>")
-        mapped = none
-        for given, stands in MAPPED.items():
-            mapped = F.when(end == given, F.array(*(F.concat(stem, F.lit(s)) for s in stands))).otherwise(mapped)
-        added = F.when(end == "", F.array(*(F.concat(whole, F.lit(s)) for s in ENDINGS))).otherwise(none)
-        inside = F.array(*(F.concat(whole, F.lit("/" + s)) for s in INDEXES))
-        inside_stem = F.when(end != "", F.array(*(F.concat(stem, F.lit("/" + s)) for s in INDEXES))).otherwise(none)
-        return F.when(whole.isNotNull(), F.concat(mapped, F.array(whole), added, inside, inside_stem))
+    return F.when(~spec.contains(":"), target)
+
+
+def _ending(spec: Column) -> Column:
+    return F.regexp_extract(F.regexp_extract(spec, r"([^/]*)$", 1), r"^[^.].*(\.[^.]+)$", 1)
+
 
+def _listed(whole: Column, end: Column) -> Column:
+    """Paths that a target with an ending may stand for, best first."""
+    stem = whole.substr(F.lit(1), F.length(whole) - F.length(end))
+    none = F.array().cast("array<string>")
+    mapped = none
+    for given, stands in MAPPED.items():
+        mapped = F.when(end == given, F.array(*(F.concat(stem, F.lit(s)) for s in stands))).otherwise(mapped)
+    added = F.when(end == "", F.array(*(F.concat(whole, F.lit(s)) for s in ENDINGS))).otherwise(none)
+    inside = F.array(*(F.concat(whole, F.lit("/" + s)) for s in INDEXES))
+    inside_stem = F.when(end != "", F.array(*(F.concat(stem, F.lit("/" + s)) for s in INDEXES))).otherwise(none)
+    return F.when(whole.isNotNull(), F.concat(mapped, F.array(whole), added, inside, inside_stem))
+
+
+def candidates(path: Column, spec: Column, aliases: dict[str, str] | None = None) -> Column:
+    """Paths that ``spec`` may stand for, best first; null for bare packages and protocols."""
     # bound, as the target would be worked out anew for each candidate
-    return bind(F.struct(target.alias("target"), ending.alias("ending")), listed)
+    return bind(F.struct(_target(path, spec, aliases).alias("target"), _ending(spec).alias("ending")), lambda at: _listed(at["target"], at["ending"]))
+
+
+#: Endings of everything that ``candidates`` may add or put in place of another.
+_KNOWN = r"\.(?:ts|tsx|js|jsx|mjs|cjs|mts|cts)$"
+
+
+def _stem(path: Column) -> Column:
+    """``path`` without a known ending, and then without the name of an index file."""
+    bare = F.regexp_replace(path, _KNOWN, "")
+    return F.when(bare != path, F.regexp_replace(bare, "/index$", "")).otherwise(path)
+
+
+def _stems(target: Column, ending: Column) -> Column:
+    """The distinct stems of all ``candidates`` of a target: one or two, where the candidates are up to sixteen."""
+    cut = target.substr(F.lit(1), F.length(target) - F.length(ending))
+    both = lambda p: (p, F.regexp_replace(p, "/index$", ""))
+    return F.array_distinct(F.when(ending == "", F.array(_stem(target), *both(target))).otherwise(F.array(_stem(target), target, *both(cut))))
 
 
 def resolve(found: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
     """(path, spec, target) of distinct imports; target is the first candidate that is a file, else null.
 
-    One equi-join on the candidate path: candidates are a bounded list per import, files are looked up by their path.
+    Imports meet files by the stem that they share, one or two rows for each import; the place of the file in the list
+    of candidates then tells. An import that stands for no path meets none under a stem of its own, so that no null key grows hot.
     """
-    rows = found.select("path", "spec").distinct()
-    tried = rows.select("path", "spec", F.posexplode(candidates(F.col("path"), F.col("spec"), aliases)).alias("pos", "target"))
-    hits = tried.join(files.select(F.col("path").alias("target")).distinct(), "target").groupBy("path", "spec").agg(F.min_by("target", "pos").alias("target"))
-    return rows.join(hits, ["path", "spec"], "left")
+    rows = found.select("path", "spec", _target(F.col("path"), F.col("spec"), aliases).alias("aim"), _ending(F.col("spec")).alias("ending"))
+    stems = F.when(F.col("aim").isNotNull(), _stems(F.col("aim"), F.col("ending"))).otherwise(F.array(F.concat(F.lit("//"), F.col("path"))))
+    tried = rows.select("path", "spec", "aim", "ending", F.explode(stems).alias("stem"))
+    named = files.select(F.col("path").alias("target"), _stem(F.col("path")).alias("stem"))
+    place = bind(F.array_position(_listed(F.col("aim"), F.col("ending")), F.col("target")), lambda at: F.when(at > 0, F.struct(at.alias("place"), F.col("target"))))
+    met = tried.join(named, "stem", "left").select("path", "spec", F.when(F.col("target").isNotNull(), place).alias("hit"))
+    return met.groupBy("path", "spec").agg(F.min("hit").alias("hit")).select("path", "spec", F.col("hit.target").alias("target"))
 
 
 def edges(found: DataFrame, files: DataFrame, aliases: dict[str, str] | None = None) -> DataFrame:
-    """Distinct (path, target): resolved imports, and for the others every file of that base name; none to itself."""
-    seen = resolve(found, files, aliases)
-    names = files.select("path").distinct().select(F.col("path").alias("target"), base_key(F.col("path")).alias("key"))
-    # a resolved import gets a key of its own that no file has, so that no null key grows hot
-    key = F.when(F.col("target").isNull(), base_key(F.col("spec"))).otherwise(F.concat(F.lit("/"), F.col("path"), F.lit(" "), F.col("spec")))
-    met = seen.withColumn("key", key).join(names.withColumnRenamed("target", "named"), "key", "left")
-    return met.select("path", F.coalesce("target", "named").alias("target")).where("path <> target").distinct()
+    """Distinct (path, target): resolved imports, and for the others every file of that base name; none to itself.
+
+    Only what is not resolved meets names. ``files`` may repeat a path.
+    """
+    seen = stored(resolve(found, files, aliases))
+    left = seen.where("target is null").select("path", base_key(F.col("spec")).alias("key"))
+    names = files.select(F.col("path").alias("target"), base_key(F.col("path")).alias("key"))
+    by_name = left.join(names, "key").select("path", "target")
+    return seen.where("target is not null").select("path", "target").unionByName(by_name).where("path <> target").distinct()
 
 
 def in_degree(files: DataFrame, links: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import experiments as X
 from plumbline.operators import imports as I
+from plumbline.operators.graph import stored
 from plumbline.plans import standin
 from plumbline.plans.registry import query
 
@@ -34,7 +35,7 @@ def _imports(t):
 
 
 def _files(t):
-    return t("lineitem").select(F.expr(standin.PATH).alias("path")).distinct()
+    return stored(t("lineitem").select(F.expr(standin.PATH).alias("path")).distinct())  # several steps read it
 
 
 @query(f"with {_RESOLVED} select * from resolved")
