@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from plumbline.operators import similarity
 from plumbline.plans.catalog import QUERIES
 
@@ -62,3 +64,11 @@ def test_vector_search_in_blocks_against_brute_force(spark):
         c = {i: cosine(vectors[q], v) for i, v in vectors.items() if i != q}
         assert got[q] == [(round(c[i], 9) + 0.0, i) for i in sorted(c, key=lambda i: (-c[i], i))[:20]]
         assert counts[q] == sum(0.72 <= x < 0.9 for x in c.values())
+
+
+def test_signatures_of_texts_are_those_of_their_shingles(spark):
+    texts = ["One two, three-four five SIX seven", "one two three four", None, "", "\u212Aelvin \u0130 b c d e f \u00e9t\u00e9 g9 0", "a b c d e " * 300, "x" * 5000 + " b c d e f"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    rows = docs.select("id", F.transform(similarity.shingles(similarity.tokens(F.col("text"))), lambda s: F.xxhash64(s)).alias("h")).where(F.size("h") > 0)
+    want, got = similarity.wide_signatures(rows, "id", "h"), similarity.text_signatures(docs, "id", "text")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == 4
