@@ -250,7 +250,7 @@ def _mask_sql(col: str) -> str:
 
 @query(f"""{LINES} select {_mask_sql("text")} as masked, count(*) as n from lines where {_mask_sql("text")} <> text group by 1""")
 def secret_masking(t):
-    return standin.lines(t).select("text", C.mask_secrets(F.col("text")).alias("masked")).where("masked <> text").groupBy("masked").agg(F.count("*").alias("n"))
+    return C.masked_lines(standin.lines(t))
 
 
 @query(f"""{LINES}, d as (select distinct path, line, text from lines), s as (select path, line, text, lead(line) over (partition by path order by line, text) nxt, max(line) over (partition by path) last from d where regexp_matches(text, '\\bfunction\\b')) select path, line, coalesce(nxt - 1, last) as end_line from s""")
