@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import vote as V
+from plumbline.operators.similarity import bind
 
 # Files that are judged, and files that may hold queries.
 NOT_JUDGED = r"(?i)(?:test|spec|mock|fixture|__test__|__mocks__|\.test\.|\.spec\.)|(?:\.config\.|\.d\.ts$|node_modules|dist/|build/)"
@@ -112,7 +113,10 @@ def _bare(body: Column) -> Column:
 
 def return_shape(body: Column) -> Column:
     """The error path that a body uses most; null without one. A caught error that is thrown on counts where there is nothing else."""
-    text = _bare(body)
+    return bind(_bare(body), _shape)  # bound, as remarks would be taken out anew for each form
+
+
+def _shape(text: Column) -> Column:
     count = lambda p: F.regexp_count(text, F.lit(p))
     others = {n: count(p) for n, p in SHAPES.items() if n != "throws"}
     rest = sum(others.values(), F.lit(0))
@@ -122,8 +126,7 @@ def return_shape(body: Column) -> Column:
 
 
 def has_shape(body: Column, name: Column) -> Column:
-    text = _bare(body)
-    return F.coalesce(*(F.when(name == n, text.rlike(p)) for n, p in SHAPES.items()), F.lit(True))
+    return bind(_bare(body), lambda text: F.coalesce(*(F.when(name == n, text.rlike(p)) for n, p in SHAPES.items()), F.lit(True)))
 
 
 def shape_findings(functions: DataFrame) -> DataFrame:
