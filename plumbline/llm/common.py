@@ -81,13 +81,14 @@ def trim() -> None:
         give_back(0)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` for a function from one batch to one batch."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, rows: int | None = None) -> DataFrame:
+    """``mapInArrow`` for a function from one batch to one batch; with ``rows``, a batch of more is taken in parts of so many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+            for at in range(0, batch.num_rows, rows or batch.num_rows or 1):
+                if (out := fn(batch.slice(at, rows) if rows else batch)) is not None:
+                    yield out
         trim()
 
     return df.mapInArrow(run, schema)

@@ -37,6 +37,8 @@ SEPARATING = 30.0
 SAME = 0.8
 #: Frequent terms that are kept as a matrix; examples of a block; texts that are scored at once.
 DENSE, BLOCK, CHUNK = 512, 64, 64
+#: Scored rows that are sent back at once: whole texts are held in memory on both sides.
+ROWS = 8 * CHUNK
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -269,11 +271,12 @@ def score(docs: DataFrame, model: Neighbours, text: str = "text", keep: tuple[st
     are taken whole; equal texts have equal scores; examples of one cosine rank by their place in the
     index; repeated rows stay; an empty table gives an empty result. Columns that are not kept are ignored.
     """
+    sent = [*keep, *({text} - set(keep))]  # a text that is kept goes once, not once more to be scored
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep) + ", score double, predicted int, evidence array<struct<doc_id:long,toxic:int,cosine:double>>"
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("toxic", pa.int32()), ("cosine", pa.float64())]))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, scores, why = batch.column(len(keep)), [], []
+        texts, scores, why = batch.column(sent.index(text)), [], []
         for lo in range(0, batch.num_rows, CHUNK):
             s, cosines, near = model.score([Counter(terms(t)) for t in texts.slice(lo, CHUNK).to_pylist()])
             scores += s.tolist()
@@ -282,4 +285,4 @@ def score(docs: DataFrame, model: Neighbours, text: str = "text", keep: tuple[st
         cols = [*batch.columns[: len(keep)], pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32()), pa.array(why, kind)]
         return pa.RecordBatch.from_arrays(cols, [*keep, "score", "predicted", "evidence"])
 
-    return map_batches(docs.select(*keep, F.col(text).alias("__text")), run, schema)
+    return map_batches(docs.select(*sent), run, schema, rows=ROWS)

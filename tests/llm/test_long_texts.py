@@ -5,6 +5,7 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from plumbline.llm import langid, suffix_dedup, token_offsets
@@ -101,3 +102,17 @@ def test_suffix_arrays_take_few_bytes_a_position():
     tracemalloc.stop()
     assert peak < 80 * len(data)
     assert (before >= 250).sum() == (after >= 250).sum() == 4751
+
+
+def test_kept_texts_go_to_the_toxicity_model_once_and_in_parts(spark):
+    from plumbline.llm import toxic_neighbours
+    from plumbline.llm.common import map_batches
+
+    sizes = map_batches(spark.range(10, numPartitions=1), lambda b: pa.RecordBatch.from_pydict({"id": [b.num_rows]}), "id long", rows=4)
+    assert sorted(r.id for r in sizes.collect()) == [2, 4, 4]
+    model = toxic_neighbours.Neighbours([{"good": 1}, {"bad": 1}], [0, 1], (1.0, 1.0))
+    docs = spark.createDataFrame([(i, "bad" if i % 2 else None) for i in range(2 * toxic_neighbours.ROWS + 1)], "doc_id long, text string").coalesce(1)
+    out = toxic_neighbours.score(docs, model, keep=("doc_id", "text"))
+    assert "__text" not in out._jdf.queryExecution().analyzed().toString()
+    got = {r.doc_id: (r.text, r.predicted) for r in out.collect()}
+    assert got == {i: ("bad", 1) if i % 2 else (None, got[0][1]) for i in range(2 * toxic_neighbours.ROWS + 1)}
