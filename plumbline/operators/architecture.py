@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import vote as V
-from plumbline.operators.similarity import bind
+from plumbline.operators.similarity import bind, holds
 
 # Files that are judged, and files that may hold queries.
 NOT_JUDGED = r"(?i)(?:test|spec|mock|fixture|__test__|__mocks__|\.test\.|\.spec\.)|(?:\.config\.|\.d\.ts$|node_modules|dist/|build/)"
@@ -34,6 +34,12 @@ AXES = [
     ("dependency_injection", "constructor_injection", ("javascript", "typescript"), r"constructor\s*\([^)]*(?:private|readonly|public)\s+\w+"),
     ("dependency_injection", "constructor_injection", ("javascript", "typescript"), r"(?:create|make|build)\w+\s*\([^)]*(?:store|repo|service|client)"),
 ]
+# Words of which every match of a pattern holds one, in the order of AXES; the one that heeds no case has none.
+WORDS = [
+    ("store.", "repo.", "repository."), (), (".Where", ".Find", ".Create", ".Save", ".Delete", ".First", ".Preload", ".find", ".objects.filter"), ("db.", "pool.", "client."), ("fetch", "axios", "http.", "requests."),
+    ("fmt.Errorf(",), ("return",), ("_",), ("echo.NewHTTPError", "http.Error", "c.JSON("), ("Error(",), ("catch",), ("res.status(", ".json("), ("Result<", "Either<", ".ok(", ".err("), ("except",), ("raise",),
+    ("process.env.", "os.Getenv(", "os.environ", "import.meta.env.", "env::var("), ("cfg.", "config.", "settings."), ("func",), ("constructor",), ("create", "make", "build"),
+]
 OUTSIDE_REPOSITORIES = ("raw_sql", "direct_db")
 # Order in which a single body's ties are broken, and how many places count.
 BODY_ORDER = ("raw_sql", "direct_db", "http_client", "orm", "repository")
@@ -50,24 +56,32 @@ STRONG_THROW, ANY_THROW, NEW_THROW = r"\b(?:throw\s+new\s+\w+|raise\s+\w+|panic\
 SHAPE_LANGUAGES = ("javascript", "typescript", "python", "go", "rust")
 
 
-def _meets(pattern: str, languages: tuple[str, ...] | None, name: str) -> Column:
-    hit = F.col("content").rlike(pattern)
+def _meets(content: Column, pattern: str, languages: tuple[str, ...] | None, name: str, words: tuple[str, ...]) -> Column:
+    hit = holds(content, words)
     if languages:
-        hit = hit & F.col("language").isin(*languages)
+        hit = F.col("language").isin(*languages) & hit
+    hit = hit & content.rlike(pattern)
     return hit & ~F.col("path").rlike(REPOSITORY) if name in OUTSIDE_REPOSITORIES else hit
 
 
+def _choices(content: Column) -> Column:
+    """(axis, pattern) of the axes that a file decides, as an array; null where it shows nothing but how it injects."""
+    first = {a: F.coalesce(*(F.when(_meets(content, p, langs, name, words), F.lit(name)) for (axis, name, langs, p), words in zip(AXES, WORDS, strict=True) if axis == a)) for a in dict.fromkeys(axis for axis, *_ in AXES)}
+    told = lambda a, c: F.struct(F.lit(a).alias("axis"), c.alias("pattern"))
+    shown = F.filter(F.array(*(told(a, c) for a, c in first.items() if a != "dependency_injection")), lambda x: x["pattern"].isNotNull())
+    injected = F.array(told("dependency_injection", F.coalesce(first["dependency_injection"], F.lit("no_di"))))
+    return bind(shown, lambda s: F.when(F.size(s) > 0, F.concat(s, injected)))
+
+
 def profiles(files: DataFrame) -> DataFrame:
     """path, folder, axis, pattern of ``files`` (path, language, content): one row for each axis on which a file shows a choice.
 
     Files that show nothing of data access, error handling or configuration have no row; the others that inject nothing have ``no_di``.
     """
     judged = files.where(F.col("language").isNotNull() & F.col("content").isNotNull() & ~F.col("path").rlike(NOT_JUDGED))
-    first = {a: F.coalesce(*(F.when(_meets(p, langs, name), F.lit(name)) for axis, name, langs, p in AXES if axis == a)) for a in dict.fromkeys(axis for axis, *_ in AXES)}
-    wide = judged.select("path", *(c.alias(a) for a, c in first.items())).where("coalesce(data_access, error_handling, configuration) is not null")
-    wide = wide.withColumn("dependency_injection", F.coalesce("dependency_injection", F.lit("no_di")))
-    long = F.explode(F.array(*(F.struct(F.lit(a).alias("axis"), F.col(a).alias("pattern")) for a in first)))
-    return wide.select("path", long.alias("x")).select("path", _folder("path").alias("folder"), "x.*").where("pattern is not null")
+    # bound, as the content would be written out anew for each pattern; outer, as a plain explode first asks for the size of what it is given and so works it out again
+    each = judged.select("path", F.explode_outer(bind(F.col("content"), _choices)).alias("x")).where("x is not null")
+    return each.select("path", _folder("path").alias("folder"), "x.*")
 
 
 def _folder(path: str) -> Column:
@@ -77,8 +91,7 @@ def _folder(path: str) -> Column:
 def _flags(rows: DataFrame, keys: list[str], least: int, weight: Column | None = None) -> DataFrame:
     """Votes of three files or more with a dominant share of .7: keys, dominant, dominant_count, total, consistency, deviators, severity."""
     # with a share of .7 no two patterns tie, so any number of a file does for their order
-    one = rows.withColumn("__group", F.to_json(F.struct(*keys))).withColumn("__order", F.crc32("path"))
-    votes = V.vote(one, "__group", "pattern", "__order", weight).where("flagged").join(one.select("__group", *keys).distinct(), "__group")
+    votes = V.vote(rows.withColumn("__order", F.crc32("path")), keys, "pattern", "__order", weight).where("flagged")
     away = F.col("total") - F.col("dominant_count")
     return votes.select(*keys, "dominant", "dominant_count", "total", "consistency", away.alias("deviators"), F.when(away >= least, "error").otherwise("warning").alias("severity"))
 

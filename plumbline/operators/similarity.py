@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Callable, Iterator
 
@@ -25,6 +26,11 @@ def bind(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def holds(text: Column, words: tuple[str, ...]) -> Column:
+    """Whether ``text`` holds one of ``words``, if there are any: sooner known than whether it meets a pattern that needs one."""
+    return functools.reduce(Column.__or__, (text.contains(w) for w in words)) if words else F.lit(True)
+
+
 def shingles(words: Column, n: int = 5) -> Column:
     """Distinct runs of ``n`` words; shorter texts have none."""
 

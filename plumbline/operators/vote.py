@@ -24,13 +24,18 @@ def distribution(rows: DataFrame, group: str | list[str], pattern: str, entity:
     return rows.groupBy(*keys, F.col(pattern).alias("pattern")).agg(F.count("*").alias("cnt"), F.sum(weight).alias("weight"), F.min(entity).alias("first_entity"))
 
 
-def vote(rows: DataFrame, group: str, pattern: str, entity: str, weight: Column | None = None, min_group: int = 3, threshold: float = 0.7) -> DataFrame:
+def vote(rows: DataFrame, group: str | list[str], pattern: str, entity: str, weight: Column | None = None, min_group: int = 3, threshold: float = 0.7) -> DataFrame:
     """The dominant pattern of each group, its raw count and its weighted share in percent."""
-    dist = distribution(rows, group, pattern, entity, weight)
+    return decided(distribution(rows, group, pattern, entity, weight), group, min_group, threshold)
+
+
+def decided(dist: DataFrame, group: str | list[str], min_group: int = 3, threshold: float = 0.7) -> DataFrame:
+    """The vote of each group of a ``distribution``; a null key is a group too."""
+    keys = [group] if isinstance(group, str) else group
     best = F.max_by(F.struct("pattern", "cnt", "weight"), F.struct("weight", (-F.col("first_entity")).alias("f")))
-    out = dist.groupBy(group).agg(F.sum("cnt").alias("total"), F.sum("weight").alias("total_weight"), best.alias("b"))
+    out = dist.groupBy(*keys).agg(F.sum("cnt").alias("total"), F.sum("weight").alias("total_weight"), best.alias("b"))
     share = F.col("b.weight") / F.col("total_weight")
-    return out.select(group, F.col("b.pattern").alias("dominant"), F.col("b.cnt").alias("dominant_count"), "total", F.floor(share * 100 + 0.5).cast("long").alias("consistency"), ((F.col("total") >= min_group) & (share >= threshold) & (F.col("b.cnt") < F.col("total"))).alias("flagged"))
+    return out.select(*keys, F.col("b.pattern").alias("dominant"), F.col("b.cnt").alias("dominant_count"), "total", F.floor(share * 100 + 0.5).cast("long").alias("consistency"), ((F.col("total") >= min_group) & (share >= threshold) & (F.col("b.cnt") < F.col("total"))).alias("flagged"))
 
 
 def deviators(rows: DataFrame, votes: DataFrame, group: str, pattern: str) -> DataFrame:
@@ -50,7 +55,11 @@ def seeded_vote(rows: DataFrame, group: str, pattern: str, entity: str, hint: st
 
 def entropy_gate(rows: DataFrame, group: str, pattern: str, limit: float = 0.8) -> DataFrame:
     """Shannon entropy of each group's patterns; near-uniform groups have no convention."""
-    dist = rows.groupBy(group, pattern).count()
+    return gated(rows.groupBy(group, pattern).count(), group, limit)
+
+
+def gated(dist: DataFrame, group: str, limit: float = 0.8) -> DataFrame:
+    """The entropy gate of rows that are counted by group and pattern (``count``)."""
     w = Window.partitionBy(group)
     p = F.col("count") / F.sum("count").over(w)
     out = dist.withColumn("p", p).groupBy(group).agg(F.sum("count").alias("total"), F.count("*").alias("k"), F.sum(-F.col("p") * F.log2("p")).alias("entropy"), F.max("p").alias("top"))

@@ -86,3 +86,28 @@ def test_remarks_are_taken_out_once(spark):
     shown = spark.createDataFrame([("throw new A(1); // return null\n",)], "b string").select(architecture.return_shape(F.col("b")).alias("s"))
     assert shown._jdf.queryExecution().analyzed().toString().count("regexp_replace") == 3
     assert shown.first().s == "throws"
+
+
+def test_words_of_patterns_lose_no_match(spark):
+    """Patterns are looked for only where one of their words stands; these texts meet each pattern in odd ways."""
+    from plumbline.operators import architecture, security
+
+    met = {
+        "hardcoded-api-key": "API_secret = '0123456789abcdefX'", "hardcoded-token": "Secret-KEY: 'abcdefghijklmnopqrst'", "aws-key": "ASIAABCDEFGHIJKLMNOP", "sql-injection": "Raw ( `select ${", "weak-hash-md5": "hashlib.MD5(MD5)", "weak-hash-sha1": "SHA1.new('Sha1')",
+        "path-traversal": "createReadStream(a + b", "ssrf-risk": "httpClient(a +", "eval-usage": "eval (x", "function-constructor": "new  Function (", "dangerously-set-html": "dangerouslySetInnerHTML",
+    }
+    rows = [(f"src/{rule}.js", "javascript", text) for rule, text in met.items()]
+    got = {r.path: r.rule for r in security.scan(spark.createDataFrame(rows, "path string, language string, content string")).collect()}
+    assert got == {f"src/{rule}.js": rule for rule in met}
+    texts = ["repository.all (", "Delete\n\tFROM x", "x.findMany(", "pool. raw(", "http.Put(", "_ = a.b(", "new XError(a +", "catch (e) { logger.x }", ".json({ error", ".err(", "raise X", "import.meta.env.A", "settings.a", "make1 (a client", "constructor(private a"]
+    files = spark.createDataFrame([(f"a/f{i}", lang, text + "\ncfg.x") for i, text in enumerate(texts) for lang in ("go", "javascript", "python")], "path string, language string, content string")
+    want = set()
+    for i, text in enumerate(texts):
+        for lang in ("go", "javascript", "python"):
+            hits = {}
+            for axis, name, langs, p in architecture.AXES:
+                if (not langs or lang in langs) and re.search(p, text + "\ncfg.x", re.A):
+                    hits.setdefault(axis, name)
+            want |= {(f"a/f{i}", lang, axis, name) for axis, name in ({"dependency_injection": "no_di"} | hits).items()}
+    got = {(r.path, lang, r.axis, r.pattern) for lang in ("go", "javascript", "python") for r in architecture.profiles(files.where(F.col("language") == lang)).collect()}
+    assert got == want
