@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators.graph import stored
-from plumbline.operators.similarity import bind
+from plumbline.operators.similarity import bind, holds
 
 # Endings tried for a specifier without one, endings that stand for others, and index files, in order.
 ENDINGS = [".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs"]
@@ -27,17 +29,30 @@ def _names(clause: Column) -> Column:
 
 def imports(lines: DataFrame, path: str = "path", text: str = "text") -> DataFrame:
     """(path, spec, names) of each import, re-export and require that stands on one line; re-exports bind no name."""
-    hit = lambda p, i: F.regexp_extract(text, p, i)
-    from_spec, req_spec = hit(_FROM, 3), hit(_REQUIRE, 2)
-    clause = F.when(hit(_FROM, 1) == "import", hit(_FROM, 2)).when(req_spec != "", hit(_REQUIRE, 1)).otherwise("")
-    found = lines.select(path, F.when(from_spec != "", from_spec).otherwise(req_spec).alias("spec"), _names(clause).alias("names"))
-    return found.where("spec <> ''").select(F.col(path).alias("path"), "spec", "names")
+
+    def found(t: Column) -> Column:
+        hit = lambda p, i: F.regexp_extract(t, p, i)
+        from_spec, req_spec = hit(_FROM, 3), hit(_REQUIRE, 2)
+        clause = F.when(hit(_FROM, 1) == "import", hit(_FROM, 2)).when(req_spec != "", hit(_REQUIRE, 1)).otherwise("")
+        return F.struct(F.when(from_spec != "", from_spec).otherwise(req_spec).alias("spec"), _names(clause).alias("names"))
+
+    # every form holds one of these words, which are sooner looked for than five patterns
+    return _taken(lines, [path], text, ("import", "export", "require"), found).where("spec <> ''").select(F.col(path).alias("path"), "spec", "names")
 
 
 def exports(lines: DataFrame, path: str = "path", line: str = "line", text: str = "text") -> DataFrame:
     """(path, line, name, is_default) of each declaration that is exported where it stands."""
-    name = F.regexp_extract(text, _EXPORT, 2)
-    return lines.select(F.col(path).alias("path"), F.col(line).alias("line"), name.alias("name"), (F.regexp_extract(text, _EXPORT, 1) != "").alias("is_default")).where("name <> ''")
+    found = lambda t: F.struct(F.regexp_extract(t, _EXPORT, 2).alias("name"), (F.regexp_extract(t, _EXPORT, 1) != "").alias("is_default"))
+    return _taken(lines, [path, line], text, ("export",), found).where("name <> ''").select(F.col(path).alias("path"), F.col(line).alias("line"), "name", "is_default")
+
+
+def _taken(lines: DataFrame, keep: list[str], text: str, words: tuple[str, ...], found: Callable[[Column], Column]) -> DataFrame:
+    """``keep`` and the fields of ``found`` of lines that hold one of ``words``.
+
+    The text is bound and exploded from, so that no filter is pushed into the expression that the text comes from.
+    """
+    some = F.explode_outer(bind(F.col(text), lambda t: F.when(holds(t, words), F.array(found(t)))))
+    return lines.select(*keep, some.alias("__found")).where("__found is not null").select(*keep, "__found.*")
 
 
 def normal_path(path: Column) -> Column:
@@ -137,10 +152,17 @@ def in_degree(files: DataFrame, links: DataFrame) -> DataFrame:
     return files.select("path").distinct().join(counts, "path", "left").fillna(0, ["in_degree"])
 
 
+#: Names of exports up to which they are broadcast.
+FEW_NAMES = 100_000
+
+
 def dead_exports(lines: DataFrame, path: str = "path", line: str = "line", text: str = "text") -> DataFrame:
     """Exports (path, line, name) that no file imports by name and whose own file does not use the name again."""
-    out = exports(lines, path, line, text)
     bound = imports(lines, path, text).select(F.explode("names").alias("name")).distinct()
+    left = stored(exports(lines, path, line, text).join(bound, "name", "left_anti").select("path", "line", "name"))
     words = lines.select(F.col(path).alias("path"), F.explode(F.regexp_extract_all(F.col(text), F.lit(r"([A-Za-z_$][\w$]*)"), F.lit(1))).alias("name"))
-    again = words.join(out.select("path", "name").distinct(), ["path", "name"], "left_semi").groupBy("path", "name").agg(F.count("*").alias("n")).where("n > 1")
-    return out.join(bound, "name", "left_anti").join(again, ["path", "name"], "left_anti").select("path", "line", "name")
+    # few names meet the words where these lie; of many, each file's meet its own words
+    names = left.select("name").distinct()
+    some = words.join(F.broadcast(names), "name", "left_semi") if names.limit(FEW_NAMES + 1).count() <= FEW_NAMES else words.join(left.select("path", "name").distinct(), ["path", "name"], "left_semi")
+    again = some.groupBy("path", "name").agg(F.count("*").alias("n")).where("n > 1")
+    return left.join(again, ["path", "name"], "left_anti").select("path", "line", "name")

@@ -111,3 +111,18 @@ def test_words_of_patterns_lose_no_match(spark):
             want |= {(f"a/f{i}", lang, axis, name) for axis, name in ({"dependency_injection": "no_di"} | hits).items()}
     got = {(r.path, lang, r.axis, r.pattern) for lang in ("go", "javascript", "python") for r in architecture.profiles(files.where(F.col("language") == lang)).collect()}
     assert got == want
+
+
+def test_texts_are_taken_apart_once(spark):
+    """What a plan asks twice it works out twice: the text's expression stands once under each pattern's filter."""
+    from plumbline.operators import architecture, imports, security
+
+    text = F.concat(F.lit("x"), F.col("k").cast("string"), F.lit("marked"))
+    files = spark.range(3).select(F.col("id").alias("k")).select(F.col("k").cast("string").alias("path"), F.lit("javascript").alias("language"), F.lit(1).alias("line"), text.alias("text"), text.alias("content"))
+    for frame in (architecture.profiles(files), security.scan(files), imports.exports(files), imports.imports(files)):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("marked") <= 2
+    rows = spark.createDataFrame([("a", "export const total = 1;"), ("a", "total"), ("b", "export const other = 1;"), ("c", "import { gone } from './b'"), ("c", "export class gone {"), ("d", None)], "path string, text string").withColumn("line", F.lit(1))
+    for few in (100, 0):
+        imports.FEW_NAMES, kept = few, imports.FEW_NAMES
+        assert [tuple(r) for r in imports.dead_exports(rows).collect()] == [("b", 1, "other")]
+        imports.FEW_NAMES = kept
