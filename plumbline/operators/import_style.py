@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from plumbline.operators import vote as V
 from plumbline.operators.architecture import NOT_JUDGED
+from plumbline.operators.graph import stored
 
 # Axes and their patterns.
 AXES = {
@@ -30,11 +31,18 @@ REMARK = r"^\s*(?://|/\*|\*)"
 def _lines(files: DataFrame, *languages: str) -> DataFrame:
     """path, row, text, blanks (blank lines up to the row) of judged files of some languages."""
     judged = files.where(F.col("language").isin(*languages) & F.col("content").isNotNull() & ~F.col("path").rlike(NOT_JUDGED))
-    rows = judged.select("path", F.posexplode(F.split("content", "\n")).alias("row", "text"))
+    # dealt out as files, so that their lines need not be
+    rows = judged.select("path", "content").repartition("path").select("path", F.posexplode(F.split("content", "\n")).alias("row", "text"))
     w = Window.partitionBy("path").orderBy("row")
     return rows.withColumn("blanks", F.sum((F.trim(F.regexp_replace("text", r"\s", "")) == "").cast("int")).over(w))
 
 
+def _told(sums: DataFrame, *axes: tuple[str, str, Column]) -> DataFrame:
+    """path, axis, pattern of (condition, axis, pattern), all from one pass over the sums of files."""
+    told = (F.when(F.expr(condition), F.struct(F.lit(axis).alias("axis"), pattern.alias("pattern"))) for condition, axis, pattern in axes)
+    return sums.select("path", F.explode(F.array_compact(F.array(*told))).alias("x")).select("path", "x.*")
+
+
 def _majority(a: str, a_name: str, b: str, b_name: str) -> Column:
     """The name of the larger count; a tie goes to the first."""
     return F.when(F.col(a) >= F.col(b), a_name).otherwise(b_name)
@@ -71,8 +79,7 @@ def _go(files: DataFrame) -> DataFrame:
     rows = specs.withColumn("parted", parted).withColumn("fell", F.coalesce(~parted & (F.col("spec") < F.lag("spec").over(w)), F.lit(False)))
     outside = F.split("spec", "/")[0].contains(".")
     sums = rows.groupBy("path").agg(F.count("*").alias("n"), F.count_if(outside).alias("outside"), F.max("parted").alias("parted"), F.max("fell").alias("fell"))
-    grouping = sums.where("outside > 0 and outside < n").select("path", F.lit("go_grouping").alias("axis"), F.when(F.col("parted"), "grouped").otherwise("flat").alias("pattern"))
-    return grouping.unionByName(sums.where("n >= 3").select("path", F.lit("go_ordering").alias("axis"), F.when(F.col("fell"), "unordered").otherwise("ordered").alias("pattern")))
+    return _told(sums, ("outside > 0 and outside < n", "go_grouping", F.when(F.col("parted"), "grouped").otherwise("flat")), ("n >= 3", "go_ordering", F.when(F.col("fell"), "unordered").otherwise("ordered")))
 
 
 def _python(files: DataFrame) -> DataFrame:
@@ -81,8 +88,7 @@ def _python(files: DataFrame) -> DataFrame:
     own = F.array_contains(F.slice(F.split("path", "/"), 1, F.size(F.split("path", "/")) - 1), F.split(F.regexp_extract("text", PY_ABSOLUTE, 1), r"\.")[0])
     near = F.col("text").rlike(PY_RELATIVE)
     sums = rows.groupBy("path").agg(F.count_if(near).alias("relative"), F.count_if(~near & F.col("text").rlike(PY_ABSOLUTE) & own).alias("absolute"), F.count("*").alias("n"), F.count_if(F.col("text").rlike(PY_STAR)).alias("stars"))
-    style = sums.where("relative + absolute >= 2").select("path", F.lit("py_path_style").alias("axis"), _majority("relative", "relative", "absolute", "absolute").alias("pattern"))
-    return style.unionByName(sums.where("stars > 0 or n >= 2").select("path", F.lit("py_wildcard").alias("axis"), F.when(F.col("stars") > 0, "wildcard").otherwise("explicit").alias("pattern")))
+    return _told(sums, ("relative + absolute >= 2", "py_path_style", _majority("relative", "relative", "absolute", "absolute")), ("stars > 0 or n >= 2", "py_wildcard", F.when(F.col("stars") > 0, "wildcard").otherwise("explicit")))
 
 
 def _uses(files: DataFrame) -> DataFrame:
@@ -112,10 +118,10 @@ def _rust(files: DataFrame) -> DataFrame:
         F.count_if(~F.col("idiom")).alias("n"), F.count_if(~F.col("idiom") & F.col("glob")).alias("globs"), F.count_if(plain & (F.col("head") == "crate")).alias("crate"), F.count_if(plain & F.col("head").isin("super", "self")).alias("relative"),
         F.count_distinct("origin").alias("origins"), F.max("parted").alias("parted"),
     )
-    glob = sums.where("globs > 0 or n >= 2").select("path", F.lit("rust_glob").alias("axis"), F.when(F.col("globs") > 0, "glob").otherwise("explicit").alias("pattern"))
-    use = sums.where("crate + relative >= 2").select("path", F.lit("rust_use_path").alias("axis"), _majority("crate", "crate", "relative", "relative").alias("pattern"))
-    group = sums.where("origins >= 2").select("path", F.lit("rust_grouping").alias("axis"), F.when(F.col("parted"), "grouped").otherwise("flat").alias("pattern"))
-    return glob.unionByName(use).unionByName(group)
+    return _told(
+        sums, ("globs > 0 or n >= 2", "rust_glob", F.when(F.col("globs") > 0, "glob").otherwise("explicit")), ("crate + relative >= 2", "rust_use_path", _majority("crate", "crate", "relative", "relative")),
+        ("origins >= 2", "rust_grouping", F.when(F.col("parted"), "grouped").otherwise("flat")),
+    )
 
 
 def classify(files: DataFrame) -> DataFrame:
@@ -130,11 +136,11 @@ def findings(rows: DataFrame) -> DataFrame:
     else folders of three files with a share of .7 flag the others, three of them as a warning.
     """
     folder = F.when(F.col("path").contains("/"), F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.lit("."))
-    known = rows.withColumn("folder", folder).withColumn("__order", F.crc32("path"))
-    gate = V.entropy_gate(rows, "axis", "pattern").where("total >= 3")
+    # both the gate and the votes need counts alone; counted once, as files would be taken apart anew for each
+    dist = stored(V.distribution(rows.withColumn("folder", folder).withColumn("__order", F.crc32("path")), ["axis", "folder"], "pattern", "__order"))
+    gate = V.gated(dist.groupBy("axis", "pattern").agg(F.sum("cnt").alias("count")), "axis").where("total >= 3")
     none = gate.where("no_convention").select("axis", F.lit(None).cast("string").alias("folder"), F.lit(None).cast("string").alias("dominant"), F.lit(None).cast("long").alias("dominant_count"), "total", F.col("score").alias("consistency"), F.lit(None).cast("long").alias("deviators"), F.lit("warning").alias("severity"), "confidence")
-    each = known.withColumn("__group", F.to_json(F.struct("axis", "folder")))
-    votes = V.vote(each, "__group", "pattern", "__order").where("flagged").join(each.select("__group", "axis", "folder").distinct(), "__group")
+    votes = V.decided(dist, ["axis", "folder"]).where("flagged")
     away = F.col("total") - F.col("dominant_count")
     some = votes.join(gate.where("not no_convention").select("axis", "confidence"), "axis").select("axis", "folder", "dominant", "dominant_count", "total", "consistency", away.alias("deviators"), F.when(away >= 3, "warning").otherwise("info").alias("severity"), "confidence")
     return some.unionByName(none)
