@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from plumbline.llm import components, divergence, langid, licences, piece_bpe, pigeonhole, simhash_vp, slots, suffix_dedup, token_offsets, toxic_neighbours
+from plumbline.llm import components, divergence, langid, licences, piece_bpe, pigeonhole, queries, simhash_vp, slots, suffix_dedup, token_offsets, toxic_neighbours
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -174,6 +174,23 @@ def test_suffix_dedup_odd(odd):
     assert suffix_dedup.dedup_substrings(odd.where("false"), 400).count() == 0
 
 
+def test_suffix_dedup_query_shows_planted_passages(spark, tmp_path):
+    rng = random.Random(9)
+    words = lambda n, size: " ".join("".join(rng.choice("abcdefghij") for _ in range(size)) for _ in range(n))
+    passage, short = words(60, 9), words(51, 6)  # 599 and 356 bytes: the shorter one is under the 400 of the contract
+    own = [words(80, 7) for _ in range(6)]
+    rows = [(1, f"{own[0]} {passage} {own[1]}"), (2, f"{passage} {own[2]}"), (3, f"{own[3]} {short}"), (4, f"{short} {own[4]}"), (5, f"{own[5]}é🙂"), (6, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in queries.op9_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert passage not in got[1].text and own[0] in got[1].text and own[1] in got[1].text
+    assert passage not in got[2].text and own[2] in got[2].text
+    assert [got[d].text for d in (3, 4, 5, 6)] == [t or "" for _, t in rows[2:]]
+    brute = brute_removed(rows, 400, False)
+    for d, r in got.items():
+        assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == brute[d]
+        assert hashlib.sha256(r.text.encode()).hexdigest() == r.kept_sha256  # no span of these rows cuts a character
+
+
 def test_longest_factors():
     data = np.frombuffer(b"abcdefghijklmnopXYabcdefghijklmnopZ" * 1, np.uint8)
     starts = np.arange(len(data) - 16 + 1)
