@@ -69,15 +69,25 @@ def _operation(line: str) -> str | None:
 
 
 def sequence_of(body: str) -> list[str]:
-    """Operations of a body in order; runs of one operation are one. Lines that are alike but for their numbers are looked at once."""
+    """Operations of a body in order; runs of one operation are one. Lines that are alike but for their numbers are looked at once, and so are short bodies."""
+    alike = _NUMBER.sub(lambda m: m[1] + "0" * len(m[2]), body)
+    return list((_alike_sequence if len(alike) <= ALIKE_CHARS else _sequence)(alike))
+
+
+def _sequence(alike: str) -> tuple[str, ...]:
     out: list[str] = []
-    for line in body.split("\n"):
+    for line in alike.split("\n"):
         text = line.strip(_BLANKS)
         if text not in ("", "{", "}", ")"):
-            found = _operation(_NUMBER.sub(lambda m: m[1] + "0" * len(m[2]), text))
+            found = _operation(text)
             if found and (not out or out[-1] != found):
                 out.append(found)
-    return out
+    return tuple(out)
+
+
+#: Characters of a body that is kept with its operations.
+ALIKE_CHARS = 2000
+_alike_sequence = lru_cache(8192)(_sequence)
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -115,8 +125,8 @@ def telling(run: Column) -> Column:
 
 
 def classes(functions: DataFrame) -> DataFrame:
-    """domain, sequence, id, functions, files, shipped: functions (path, domain, body) with the same sequence of three operations or more."""
-    rows = functions.where(~F.col("domain").isin(*NO_DOMAIN)).select("path", "domain", sequence(F.col("body")).alias("sequence"))
+    """domain, sequence, id, functions, files, shipped: functions (path, domain, body, or their sequence in its place) with the same sequence of three operations or more."""
+    rows = functions.where(~F.col("domain").isin(*NO_DOMAIN)).select("path", "domain", F.col("sequence") if "sequence" in functions.columns else sequence(F.col("body")).alias("sequence"))
     # counted by file first: distinct files need no second copy of the rows, and no second look at their bodies
     files = rows.groupBy("domain", "sequence", "path").agg(F.count("*").alias("n"))
     out = files.groupBy("domain", "sequence").agg(F.sum("n").alias("functions"), F.count("*").alias("files"), F.min("path").alias("first_path"), F.max("path").alias("last_path"), F.sum(F.when(non_shippable(F.col("path")), 0).otherwise(F.col("n"))).alias("shipped"))

@@ -65,3 +65,13 @@ def test_report_and_typical(spark):
     for path in {r[0] for r in rows}:
         values = sorted(r[3] for r in rows if r[0] == path)
         assert typical[path] == (len(values), values[len(values) // 2], values[max(0, int(len(values) * 0.9) - 1)], values[-1])
+
+
+def test_bodies_alike_but_for_numbers_are_scored_once():
+    from plumbline.operators import complexity as X
+
+    X._alike_score.cache_clear()
+    bodies = [f"if (a{k} > {10**k}) {{ b(); }} else if (c && {k}) {{ d(); }}" for k in range(5)]
+    assert [X.score_of(b, "go") for b in bodies] == [X._score(b, "go") for b in bodies]
+    assert X._alike_score.cache_info().misses == 1 and X.score_of("x = 1\n" * 1000, "go") == 0
+    assert X._alike_score.cache_info().misses == 1  # a long body is not kept

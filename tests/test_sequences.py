@@ -126,3 +126,12 @@ def test_lines_are_looked_at_once(spark):
     assert S._operation.cache_info().misses == 8
     lines = spark.createDataFrame([(x,) for x in set(body.split("\n"))], "t string").select("t", S.operation(F.col("t")).alias("o")).collect()
     assert all(S.sequence_of(r.t) == ([r.o] if r.o else []) for r in lines)
+
+
+def test_bodies_alike_but_for_numbers_are_read_once():
+    from plumbline.operators import sequences as S
+
+    S._alike_sequence.cache_clear()
+    bodies = [f"validate(a)\nrun1{k}00(a)\nfor x in y:\nreturn jsonify({k + 1000})" for k in range(5)]
+    assert len({tuple(S.sequence_of(b)) for b in bodies}) == 1 and S._alike_sequence.cache_info().misses <= 5
+    assert S.sequence_of(bodies[0]) == S.sequence_of(bodies[0]) and S._alike_sequence.cache_info().hits >= 2
